@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,12 +49,12 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.number = spark, {}, count()
         self.base = f"{shared_folder(spark)}/tellurix/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
-        return f"{self.base}/{name}-{len(self.paths)}"
+        return f"{self.base}/{name}-{next(self.number)}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tellurix.llm import mixing, quality
+from tellurix.llm import mixing, neardup, quality, secrets
 from tellurix.llm.common import table
 
 
@@ -16,5 +16,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op4(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_mixing)}
+def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), spark)
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.op8(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_mixing, op7_minhash_neardup, op8_secret_scan)}
 ORACLE_SQL = {"op3_quality_rules": quality.SQL, "op4_mixing": mixing.SQL}
