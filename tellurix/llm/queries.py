@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tellurix.llm import mixing, neardup, quality, secrets
+from tellurix.llm import bpe, mixing, neardup, quality, secrets
 from tellurix.llm.common import table
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op3(table(spark, sf_dir, "documents"), spark)
@@ -24,5 +27,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op8(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_mixing, op7_minhash_neardup, op8_secret_scan)}
+def op5_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(table(spark, sf_dir, "documents"), spark, WORD_BPE)
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_mixing, op5_bpe_chunk_reuse, op7_minhash_neardup, op8_secret_scan)}
 ORACLE_SQL = {"op3_quality_rules": quality.SQL, "op4_mixing": mixing.SQL}
