@@ -8,7 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from itertools import count
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,3 +98,38 @@ def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
 
 def record_batch(columns: dict[str, tuple[list, pa.DataType]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], names=list(columns))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered up to a number of words."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > 1 << 20:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers after which the smallest of them are as good as a random choice."""
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+def rolling(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words, from those of the words."""
+    n = max(0, len(h) - k + 1)
+    out = h[:n].copy()
+    for j in range(1, k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + h[j : j + n]
+    return mixed(out)
+
+
+def long_lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """A list column of 64-bit numbers, without a Python object for each."""
+    flat = np.concatenate(arrays).view(np.int64) if arrays else np.array([], np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
