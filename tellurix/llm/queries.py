@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tellurix.llm import bpe, html, licenses, mixing, neardup, quality, secrets
+from tellurix.llm import bpe, embeddings, html, licenses, mixing, neardup, quality, secrets
 from tellurix.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,9 +35,13 @@ def op5_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), spark, WORD_BPE)
 
 
+def op9_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), spark)
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), spark)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_mixing, op5_bpe_chunk_reuse, op6_license_scan, op7_minhash_neardup, op8_secret_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_mixing, op5_bpe_chunk_reuse, op6_license_scan, op7_minhash_neardup, op8_secret_scan, op9_embedding_neardup, op10_html_extraction)}
 ORACLE_SQL = {"op3_quality_rules": quality.SQL, "op4_mixing": mixing.SQL}
