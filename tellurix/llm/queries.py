@@ -5,12 +5,20 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tellurix.llm import bpe, embeddings, html, licenses, mixing, neardup, quality, secrets
+from tellurix.llm import bpe, chat, embeddings, html, licenses, mixing, neardup, quality, secrets, warc
 from tellurix.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op1(table(spark, sf_dir, "pages"), spark)
+
+
+def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op2(table(spark, sf_dir, "conversations"), spark)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op3(table(spark, sf_dir, "documents"), spark)
 
@@ -43,5 +51,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), spark)
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op4_mixing, op5_bpe_chunk_reuse, op6_license_scan, op7_minhash_neardup, op8_secret_scan, op9_embedding_neardup, op10_html_extraction)}
-ORACLE_SQL = {"op3_quality_rules": quality.SQL, "op4_mixing": mixing.SQL}
+QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_tool_call_linking, op3_quality_rules, op4_mixing, op5_bpe_chunk_reuse, op6_license_scan, op7_minhash_neardup, op8_secret_scan, op9_embedding_neardup, op10_html_extraction)}
+ORACLE_SQL = {"op1_warc_index_merge": warc.SQL, "op2_tool_call_linking": chat.SQL, "op3_quality_rules": quality.SQL, "op4_mixing": mixing.SQL}
