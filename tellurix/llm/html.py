@@ -201,6 +201,5 @@ def extract(pages: DataFrame, spark: SparkSession) -> DataFrame:
     template = scratch.table(counted.where(F.col("n") >= MANY).join(hosts, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "hash"), "template")
     found = trees.select("key", "host", F.inline(F.arrays_zip("number", "hash"))).join(template, ["host", "hash"])
     gone = scratch.table(found.groupBy("key").agg(F.collect_set("number").alias("gone")), "gone")
-    out = scratch.table(per_batch(keyed.join(gone, "key", "left").select("page_id", "url", "html", "gone"), extracted, "page_id long, url string, text string, n_chars long"), "text")
-    scratch.drop_all_but(out)
-    return out
+    scratch.drop_all_but(gone)
+    return per_batch(keyed.join(gone, "key", "left").select("page_id", "url", "html", "gone"), extracted, "page_id long, url string, text string, n_chars long")
