@@ -21,7 +21,7 @@ from tellurix.llm.common import Scratch, per_batch, record_batch
 #: A chunk ends where the hash of the last 32 bytes has MEAN_BITS zero bits, and has LEAST bytes or more.
 MEAN_BITS, LEAST = 10, 256
 #: Encoded words that a worker remembers at a time.
-MEMO = 600_000
+MEMO = 400_000
 GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32)
 SPACES = b" \t\n\r\x0b\x0c"
 IS_SPACE = np.zeros(256, bool)

@@ -14,6 +14,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words that a worker remembers at a time for one purpose; workers live on from operator to operator.
+MEMO = 1 << 17
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -108,7 +111,7 @@ class WordHashes(dict):
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > 1 << 20:
+        if len(self) > MEMO:
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurix.llm.common import WORD, Scratch, per_batch, record_batch
+from tellurix.llm.common import MEMO, WORD, Scratch, per_batch, record_batch
 
 #: A line counts as frequent above this number of documents of its host and above this share of them.
 MAX_DOCS, MAX_SHARE = 50, 0.01
@@ -19,8 +19,6 @@ MIN_DIFFERENT = 0.5
 #: A document is depleted when less than this share of its words is outside frequent lines.
 MIN_LEFT = 0.3
 SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
-#: Words that a worker keeps numbered at a time; 20 bits each in a window's key.
-MEMO = 1 << 20
 
 SCHEMA = (
     "doc_id long, host string, word_chars long, n_words long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -44,7 +42,7 @@ def repeated_words(numbers: np.ndarray) -> int:
     """Words that stand in a 3-word window found twice or more in the text."""
     if len(numbers) < 4:
         return 0
-    if numbers.max() < MEMO:
+    if numbers.max() < 1 << 20:
         keys = numbers[:-2] << 40 | numbers[1:-1] << 20 | numbers[2:]
     else:  # a text of very many distinct words: number the pairs first
         pairs = np.unique(numbers[:-1] << 32 | numbers[1:], return_inverse=True)[1]
@@ -68,9 +66,9 @@ def text_statistics(batch: pa.RecordBatch, memo=[Numbers()]) -> pa.RecordBatch:
     for text in batch.column("text").to_pylist():
         raw = (text or "").encode()
         words = raw.split()
-        if len(memo[0]) + len(words) > MEMO:
+        if len(memo[0]) > MEMO:
             memo[0] = Numbers()
-        numbers = np.fromiter(map(memo[0].__getitem__, words), np.int64, len(words)) if len(words) < MEMO else np.unique(np.array(words, object), return_inverse=True)[1]
+        numbers = np.fromiter(map(memo[0].__getitem__, words), np.int64, len(words))
         seen, dup, lines = set(), 0, {}
         for line in raw.split(b"\n"):
             own = line.lower().split()
