@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tellurix.llm.common import WORD, n_words
+from tellurix.llm.common import WORD, Scratch, n_words
 
 #: Hexadecimal digits of the key that name a coarse and, within it, a fine key range: 256 and 256 * 4,096 of a source.
 COARSE, FINE = 2, 3
@@ -51,10 +51,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     those meet per (source, coarse), and only sums of these per source, at most 16 ** COARSE of them. So a source that
     holds most rows is no heavier than the others.
     """
+    scratch = Scratch(docs.sparkSession, "mixing")
     rows = docs.select(
         "doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"),
     ).withColumns({"_c": F.substring("_key", 1, COARSE), "_f": F.substring("_key", COARSE + 1, FINE), "_s": F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))})
+    rows = scratch.table(rows, "rows")  # the texts are read once, for their sizes
     fine = rows.groupBy("_s", "_c", "_f").agg(F.sum("size").alias("_n"), F.first("source").alias("source"))
     coarse = fine.groupBy("_s", "_c").agg(F.sum("_n").alias("_n"), F.first("source").alias("source"))
     sources = coarse.groupBy("_s").agg(F.sum("_n").alias("source_size"), F.first("source").alias("source"))
