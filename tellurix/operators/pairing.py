@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,3 +12,34 @@ def persistence(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     """Forecast `f`: the key's value before this one in `order`; observation `o`: this one. One shuffle on the keys."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.select(*keys, F.lag(value).over(w).alias("f"), F.col(value).alias("o"))
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, value: str, name: str) -> DataFrame:
+    """`left` with the column `name`: the `value` of the key's last row of `right` at or before the left row's `time`.
+
+    Both sides are put under one another and sorted once by key and time, so a key costs its rows and not its pairs. A
+    right row at the same instant counts; of several, one with a value. Left rows without any get null.
+    """
+    tagged = left.withColumns({"_side": F.lit(1), "_v": F.lit(None).cast(right.schema[value].dataType)}).unionByName(
+        right.select(*keys, time, F.lit(0).alias("_side"), F.col(value).alias("_v")), allowMissingColumns=True
+    )
+    w = Window.partitionBy(*keys).orderBy(time, "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    return tagged.withColumn(name, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_side", "_v")
+
+
+def within(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, right_time: str, seconds: int) -> DataFrame:
+    """Pairs of rows with equal keys in which the right time is at most `seconds` before the left one, and not after it.
+
+    Time is cut into buckets of that length; a right row can only match in its own bucket and the next one, so it is
+    listed in both and the join is an equi-join on key and bucket. A busy key is dealt out by its buckets.
+    """
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (seconds * 1_000_000))
+    a = left.withColumn("_bucket", bucket(time))
+    b = right.withColumn("_bucket", F.explode(F.array(bucket(right_time), bucket(right_time) + 1)))
+    gap = F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col(right_time).cast("timestamp"))
+    return a.join(b, [*keys, "_bucket"]).where(gap.between(0, seconds * 1_000_000)).drop("_bucket")
+
+
+def stratified(df: DataFrame, by: Sequence[str], columns: Sequence[Column]) -> DataFrame:
+    """The aggregates for every combination of strata, with their totals; `level` tells which strata are summed over."""
+    return df.cube(*by).agg(F.grouping_id().cast("int").alias("level"), *columns)

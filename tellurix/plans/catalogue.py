@@ -1,42 +1,6 @@
-"""The engine's registered queries and, for each, the DuckDB SQL that gives the same rows."""
+"""All of the engine's registered queries."""
 
-from __future__ import annotations
+from tellurix.plans import aggregation, extension, relational, scalar, temporal, verification  # noqa: F401  each registers its own
+from tellurix.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tellurix.functions import scores
-from tellurix.operators import pairing
-from tellurix.sources.tables import table
-
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register the function below under its own name, with its oracle."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-@query(
-    """
-    WITH p AS (
-      SELECT event_type, value AS o,
-             lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS f
-      FROM events)
-    SELECT event_type, count(*)::BIGINT AS n, round(avg(f - o), 6) AS bias, round(avg(abs(f - o)), 6) AS mae,
-           round(sqrt(avg((f - o) * (f - o))), 6) AS rmse, round(corr(f, o), 6) AS r
-    FROM p WHERE f IS NOT NULL AND o IS NOT NULL GROUP BY event_type
-    """
-)
-def persistence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well the previous value of a user's event predicts the next one, by event type."""
-    pairs = pairing.persistence(table(spark, sf_dir, "events"), keys=["user_id", "event_type"], order=["ts", "event_id"], value="value")
-    return scores.deterministic(pairs, by=["event_type"])
+__all__ = ["ORACLE_SQL", "QUERIES"]
