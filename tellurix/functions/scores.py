@@ -36,7 +36,8 @@ def deterministic(pairs: DataFrame, by: Sequence[str | Column]) -> DataFrame:
 
 
 def deterministic_columns(e: Column, digits: int = DIGITS) -> list[Column]:
-    own = {"bias": F.avg(e), "mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e)), "r": F.corr("f", "o")}
+    """corr() itself fails in ANSI mode where a stratum has no spread."""
+    own = {"bias": F.avg(e), "mae": F.avg(F.abs(e)), "rmse": F.sqrt(F.avg(e * e)), "r": F.try_divide(F.covar_pop("f", "o"), F.stddev_pop("f") * F.stddev_pop("o"))}
     return [F.count("*").alias("n"), *[rounded(c, name, digits) for name, c in own.items()]]
 
 
