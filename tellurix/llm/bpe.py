@@ -175,7 +175,7 @@ def encode(docs: DataFrame, spark: SparkSession, tokenizer: str) -> DataFrame:
     keyed = docs.select(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text")).alias("key"), "doc_id", "text")
     cut = scratch.table(per_batch(keyed, chunks, "key string, doc_id long, hash array<binary>, `from` array<int>, `to` array<int>"), "chunks")
     places = cut.select("key", F.inline(F.arrays_zip("hash", "from", "to")))
-    shared = scratch.table(places.groupBy("hash").agg(F.count("*").alias("c"), F.min(F.struct("key", "from")).alias("owner")).where("c > 1").drop("c"), "shared")
+    shared = scratch.table(places.groupBy("hash").agg(F.min(F.struct("key", "from")).alias("owner"), F.max(F.struct("key", "from")).alias("last")).where("owner < last").drop("last"), "shared")
     owned = F.struct("key", "from") == F.col("owner")
     lists = places.join(shared, "hash").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("from", "to", "hash", owned.alias("owned")))).alias("shared"))
     lists = scratch.table(lists, "lists")
