@@ -15,9 +15,10 @@ from tellurix.llm.queries import WORD_BPE
 
 
 def only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id has a verdict `kept`."""
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """The rows of `docs` but those with a rejected id. The rejected are the fewer ones; where they are few enough, Spark
+    sends their ids to all tasks and leaves the texts in place."""
+    gone = verdicts.where("not kept").select(F.col("doc_id").alias("_id"))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
