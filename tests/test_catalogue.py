@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL, rows_of, rows_of_sql
+from helpers import SMALL, rows_of, rows_of_sql
 
 import __spark_entry__
 from tellurix.plans.catalogue import ORACLE_SQL, QUERIES
