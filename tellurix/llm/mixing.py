@@ -80,15 +80,15 @@ def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     cut after its last taken word. n_chars follows a cut text. Ids are taken to be unique; rows with a null id go, as
     do documents of which the mix takes nothing. Only ids and counts meet the texts.
     """
-    takes = mixed.where((F.col("taken") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    whole, rest = F.expr("_taken div _size"), F.expr("_taken % _size")
-    pieces = F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))
-    out = docs.join(takes, "doc_id").withColumns({"_whole": whole, "_rest": rest}).withColumn("_piece", F.explode(pieces))
+    takes = mixed.where((F.col("taken") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
+    whole, rest = F.expr("__mix_taken div __mix_size"), F.expr("__mix_taken % __mix_size")
+    pieces = F.sequence(F.lit(1), F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))
+    out = docs.join(takes, "doc_id").withColumns({"__mix_whole": whole, "__mix_rest": rest}).withColumn("__mix_piece", F.explode(pieces))
     # split() with a limit leaves all that follows the last wanted word in the last element
     skipped = F.when(F.regexp_like("text", F.lit(r"^[\x20\x09-\x0D]")), 1).otherwise(0)
-    tail = F.element_at(F.split("text", r"[\x20\x09-\x0D]+", (F.col("_rest") + 1 + skipped).cast("int")), -1)
-    cut = F.when(F.col("_piece") > F.col("_whole"), F.expr("rtrim(substring(text, 1, length(text) - length(_tail)))")).otherwise(F.col("text"))
-    out = out.withColumn("_tail", F.when(F.col("_piece") > F.col("_whole"), tail)).withColumn("text", cut)
+    tail = F.element_at(F.split("text", r"[\x20\x09-\x0D]+", (F.col("__mix_rest") + 1 + skipped).cast("int")), -1)
+    cut = F.when(F.col("__mix_piece") > F.col("__mix_whole"), F.expr("rtrim(substring(text, 1, length(text) - length(__mix_tail)))")).otherwise(F.col("text"))
+    out = out.withColumn("__mix_tail", F.when(F.col("__mix_piece") > F.col("__mix_whole"), tail)).withColumn("text", cut)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import count
 
 import numpy as np
@@ -14,8 +15,8 @@ from tellurix.llm.common import MEMO, WORD, Scratch, per_batch, record_batch
 
 #: A line counts as frequent above this number of documents of its host and above this share of them.
 MAX_DOCS, MAX_SHARE = 50, 0.01
-#: Of the documents that hold a frequent line, at least this share must differ from each other otherwise.
-MIN_DIFFERENT = 0.5
+#: Documents that hold a frequent line must differ from each other in this share of their words, or they are copies.
+MIN_DIFFERENT = 0.2
 #: A document is depleted when less than this share of its words is outside frequent lines.
 MIN_LEFT = 0.3
 SPACE, SYMBOLS = b" \t\n\r\x0b\x0c", b"#*$%&|<>"
@@ -61,6 +62,11 @@ def hash60(b: bytes) -> int:
     return int(hashlib.md5(b).hexdigest()[:15], 16)
 
 
+def chance(h: int, words: int) -> float:
+    """The line for which this is smallest is, over all hashes, a random line of the text in proportion to its words."""
+    return -math.log((h + 1) / (1 << 60)) / words
+
+
 def text_statistics(batch: pa.RecordBatch, memo=[Numbers()]) -> pa.RecordBatch:  # noqa: B006  kept between batches
     out = {k: [] for k in ("word_chars", "n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "sketch", "line_hash", "line_words")}
     for text in batch.column("text").to_pylist():
@@ -84,7 +90,7 @@ def text_statistics(batch: pa.RecordBatch, memo=[Numbers()]) -> pa.RecordBatch:
         out["n_dup_lines"].append(dup)
         out["n_repeat_words"].append(repeated_words(numbers))
         out["text_hash"].append(hash60(raw))
-        out["sketch"].append(min(hashes, default=None))
+        out["sketch"].append(min(zip(map(chance, hashes, lines.values()), hashes, strict=True), default=(0, None))[1])
         out["line_hash"].append(hashes)
         out["line_words"].append(list(lines.values()))
     types = {"line_hash": pa.list_(pa.int64()), "line_words": pa.list_(pa.int32())}
@@ -97,9 +103,10 @@ def rules(docs: DataFrame, spark: SparkSession, host: str = "source") -> DataFra
 
     Lines are lower-cased in A-Z, their white space made single blanks, and hashed. For each host and line, distinct
     documents are counted, exact copies once. A line above MAX_DOCS documents and MAX_SHARE of its host's is removed,
-    if the documents differ otherwise: near copies, known by a common smallest line hash, are for deduplication to
-    thin out, and do not make their whole text a boilerplate line. A document that keeps less than MIN_LEFT of its
-    words is depleted.
+    if the documents differ otherwise: each is sketched by one line, drawn by hash in proportion to its words, and the
+    sketches of documents that have most words in common are mostly the same. Copies with small changes are for
+    deduplication to thin out, and don't make their text boilerplate. A document that keeps less than MIN_LEFT of
+    its words is depleted.
 
     Returns doc_id, the statistics, base_failed, removed_words, removed (hashes of its removed lines) and kept. A null
     or empty text has no words and so fails the base rules; null hosts are one host; repeated rows are judged each.
@@ -153,7 +160,7 @@ l AS (
   FROM (SELECT r, source, h, unnest(string_split(text, chr(10))) AS line FROM d)),
 dup AS (SELECT r, sum(c - 1) AS n FROM (SELECT r, line, count(*) AS c FROM l WHERE n > 0 GROUP BY r, line) GROUP BY r),
 k AS (SELECT r, source, h, md5(norm)[:15] AS lh, sum(n) AS n FROM l WHERE n > 0 GROUP BY ALL),
-m AS (SELECT *, min(lh) OVER (PARTITION BY r) AS sk FROM k),
+m AS (SELECT *, arg_min(lh, -ln((('0x' || lh)::BIGINT + 1) / 1152921504606846976.0::DOUBLE) / n) OVER (PARTITION BY r) AS sk FROM k),
 hosts AS (SELECT source, count(DISTINCT h) AS n FROM d GROUP BY source),
 c AS (SELECT source, lh, count(DISTINCT h) AS n, count(DISTINCT sk) AS s FROM m GROUP BY source, lh),
 f AS (SELECT c.source, lh FROM c JOIN hosts ON c.source IS NOT DISTINCT FROM hosts.source WHERE c.n > {MAX_DOCS} AND c.s >= {MIN_DIFFERENT} * c.n AND c.n > {MAX_SHARE} * hosts.n),
