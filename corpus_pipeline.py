@@ -15,10 +15,10 @@ from tellurix.llm.queries import WORD_BPE
 
 
 def only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of `docs` but those with a rejected id. The rejected are the fewer ones; where they are few enough, Spark
-    sends their ids to all tasks and leaves the texts in place."""
+    """The rows of `docs` but those with a rejected id. Both sides are dealt out by id, whatever their size: the rejected
+    grow with the input, and are not for sending to all tasks."""
     gone = verdicts.where("not kept").select(F.col("doc_id").alias("_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    return docs.hint("merge").join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
