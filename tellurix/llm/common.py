@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -32,13 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='tellurix-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = own_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
+@lru_cache
+def own_folder(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tellurix-')}"
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is not None:
