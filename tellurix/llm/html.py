@@ -25,7 +25,7 @@ CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search"
 CHROME_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "footer masthead cookie cookies consent notice popup modal newsletter subscribe share sharing social related recommended comment comments "
-    "commentlist respond disqus reply replies pagination pager widget toolbar login signup".split()
+    "commentlist respond disqus reply replies pagination pager widget toolbar topbar login signup adsbygoogle adbox adslot notices alert announcement".split()
 )
 MAIN = {"article", "main"}
 BLOCK = {
@@ -54,7 +54,7 @@ def is_chrome(tag: str, attributes: str, in_main: bool) -> bool:
         return True
     for name, value in ATTRIBUTE.findall(attributes) if "=" in attributes else ():
         words = set(SPLIT.split(value.lower()))
-        if words & (CHROME_ROLES if name.lower() == "role" else CHROME_WORDS) and tag not in ("html", "body"):
+        if tag not in ("html", "body") and (words & (CHROME_ROLES if name.lower() == "role" else CHROME_WORDS) or ("header" in words and not in_main)):
             return True
     return False
 

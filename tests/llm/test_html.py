@@ -19,7 +19,7 @@ def test_blocks_references_and_white_space(spark):
         ("http://a.com/1", page("<h1>One &lt;b&gt;</h1><p><b>A\n  b.<br><p>C&nbsp;d &eacute;&#128512;<ul><li>x<li>y <i>z</i></ul><table><tr><td>1<td>2</table><pre>k\n l</pre>")),
         ("http://b.com/1", page("<p>text <!-- <p>no --> on <a href='?a=1>2'>link</a> 1 < 2 &amp &copy</p>", "<form><input>Name <button>Send</button></form><aside>Side</aside>")),
         ("http://c.com/1", page("<header><h1>Title</h1></header><p>Body</p><section id='comments'><p>First!</p></section><div class='share-buttons'>Share</div><style>p{}</style><noscript>no</noscript>")),
-        ("http://d.com/1", "<div>plain <span>page</span></div><div role=navigation>skip</div><p>more"), ("x:[", None), (None, ""), ("http://e.com", "<p"), ("http://f.com", "no markup &#x41;\x00 <3"),
+        ("http://d.com/1", "<div class='site-header'>Site</div><div>plain <span>page</span></div><div role=navigation>skip</div><p>more"), ("x:[", None), (None, ""), ("http://e.com", "<p"), ("http://f.com", "no markup &#x41;\x00 <3"),
     ]
     out = texts(spark, rows)
     assert out[0] == "One <b>\nA b.\nC d é😀\nx\ny z\n1\n2\nk l" and out[1] == "text on link 1 < 2 & ©" and out[2] == "Title\nBody"
