@@ -298,3 +298,14 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession) -> DataFrame:
     out = scratch.table(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "result")
     scratch.drop_all_but(out)
     return out
+
+
+SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 WHERE list_dot_product(a.x, b.x) >= {COSINE} * a.n * b.n),
+r AS (SELECT vec_id AS id, vec_id AS root FROM embeddings UNION SELECT b, root FROM r JOIN e ON id = a),
+m AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
+k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN m ON m.id = vec_id LEFT JOIN k ON k.a = vec_id
+"""

@@ -57,5 +57,27 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_index_merge, op2_tool_call_linking, op3_quality_rules, op4_mixing, op5_bpe_chunk_reuse, op6_license_scan, op7_minhash_neardup, op8_secret_scan, op9_embedding_neardup, op10_html_extraction, pipeline)}
-ORACLE_SQL = {"op1_warc_index_merge": warc.SQL, "op2_tool_call_linking": chat.SQL, "op3_quality_rules": quality.SQL, "op4_mixing": mixing.SQL}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_index_merge,
+        op2_tool_call_linking,
+        op3_quality_rules,
+        op4_mixing,
+        op5_bpe_chunk_reuse,
+        op6_license_scan,
+        op7_minhash_neardup,
+        op8_secret_scan,
+        op9_embedding_neardup,
+        op10_html_extraction,
+        pipeline,
+    )
+}
+ORACLE_SQL = {
+    "op1_warc_index_merge": warc.SQL,
+    "op2_tool_call_linking": chat.SQL,
+    "op3_quality_rules": quality.SQL,
+    "op4_mixing": mixing.SQL,
+    "op7_minhash_neardup": neardup.SQL,
+    "op9_embedding_neardup": embeddings.SQL,
+}
