@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tellurix.functions.scores import rounded
 from tellurix.operators import pairing
 from tellurix.plans.registry import query
+from tellurix.sources import formats
 from tellurix.sources.tables import table
 
 
@@ -144,3 +145,21 @@ def except_all(spark: SparkSession, d: str) -> DataFrame:
 def except_distinct(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_type", "value")
     return e.select("user_id", "event_type").subtract(e.where("value > 300").select("user_id", "event_type"))
+
+
+@query("SELECT event_id, user_id, value, event_type FROM events WHERE event_type = 'purchase'")
+def partitioned_files(spark: SparkSession, d: str) -> DataFrame:
+    """Events written in folders by type, and one folder read back: the filter leaves the others unread."""
+    path = formats.shared_folder(spark)
+    formats.write(table(spark, d, "events").select("event_id", "user_id", "value", "event_type"), path, by=["event_type"])
+    return formats.read(spark, path).where("event_type = 'purchase'")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier WHERE s_acctbal > 0")
+def text_formats(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers through CSV, JSON and ORC, with the schema declared each time."""
+    df, path, schema = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal"), formats.shared_folder(spark), "s_suppkey long, s_name string, s_acctbal double"
+    for kind in ("csv", "json", "orc"):
+        formats.write(df, f"{path}/{kind}", kind)
+        df = formats.read(spark, f"{path}/{kind}", kind, schema)
+    return df.where("s_acctbal > 0")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellurix.plans.registry import query
+from tellurix.sources import formats
 from tellurix.sources.tables import table
 from tellurix.streaming import verification
 
@@ -41,3 +44,33 @@ def sliding_scores(spark: SparkSession, d: str) -> DataFrame:
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     out = verification.sessions(table(spark, d, "events"), "ts", "12 hours", "user_id")
     return out.select("user_id", F.date_format("start", TEXT).alias("start"), "n")
+
+
+def streamed(df: DataFrame, mode: str) -> DataFrame:
+    """The result of a stream over all files that are there. Results of windows are few; the sink holds them in memory."""
+    spark, name = df.sparkSession, f"stream_{uuid.uuid4().hex}"
+    run = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", formats.shared_folder(spark)).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.table(name)
+
+
+def event_stream(spark: SparkSession, d: str) -> DataFrame:
+    return formats.stream(spark, d, table(spark, d, "events").schema, names="events.parquet")
+
+
+@query("""
+    SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*)::BIGINT AS n, round(avg(100 - value), 9) AS bias
+    FROM events GROUP BY 1, 2""")
+def streamed_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A constant forecast scored by day on a stream: in complete mode the batch form's rows."""
+    pairs = event_stream(spark, d).select("ts", "event_type", F.lit(100.0).alias("f"), F.col("value").alias("o"))
+    out = streamed(verification.scores_by_window(pairs, "ts", "1 day", by=["event_type"]), "complete")
+    return out.select(F.date_format("start", TEXT).alias("start"), "event_type", "n", "bias")
+
+
+@query("SELECT count(*)::BIGINT AS n, count(DISTINCT event_id)::BIGINT AS ids FROM events")
+def streamed_first_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Each event once, though the stream brings it twice; only its count is kept."""
+    twice = event_stream(spark, d).select("ts", "event_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    out = streamed(verification.once(twice, "ts", ["event_id"]).select("event_id"), "append")
+    return out.agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))

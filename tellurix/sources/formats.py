@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,17 @@ def write(df: DataFrame, path: str, kind: str = "parquet", by: Sequence[str] = (
     (writer.partitionBy(*by) if by else writer).save(path)
 
 
-def stream(spark: SparkSession, folder: str, schema: StructType | str, kind: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
-    """Files as they come into a folder, oldest first by modification time."""
-    options = {"maxFilesPerTrigger": str(files_per_batch)} if files_per_batch else {}
+def stream(spark: SparkSession, folder: str, schema: StructType | str, kind: str = "parquet", files_per_batch: int | None = None, names: str = "*") -> DataFrame:
+    """Files of the pattern `names` as they come into a folder, oldest first by modification time."""
+    options = {"pathGlobFilter": names} | ({"maxFilesPerTrigger": str(files_per_batch)} if files_per_batch else {})
     return spark.readStream.format(kind).schema(schema).options(**options).load(folder)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in the one that driver and executors share (spark.checkpoint.dir); a local master may do without."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/tellurix/{uuid.uuid4().hex}"
