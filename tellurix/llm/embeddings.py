@@ -70,11 +70,19 @@ def covering(x: np.ndarray, nodes: np.ndarray, of: np.ndarray) -> np.ndarray:
     return out
 
 
+def inherited(mask: np.ndarray, above: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """For each node of a level a row of `mask`, whose rows are the nodes of a level above: true where it is so for any
+    node that the points of this one are of there. Points go to the nearest node of each level, so they are of several."""
+    node, parent = np.divmod(np.unique(of * len(mask) + above), len(mask))
+    return np.logical_or.reduceat(mask[parent], np.flatnonzero(np.diff(node, prepend=-1)), axis=0)
+
+
 def dual(xa: np.ndarray, xb: np.ndarray, ta: list, tb: list) -> tuple[list, np.ndarray]:
     """Linked pairs of two blocks: node pairs all of whose points link, as (nodes' points a, points b), and pairs of
     points. Level by level, node pairs farther apart than their covering radii and the threshold are dropped, and
     pairs that lie within the threshold with their radii are taken whole; what is left in the end is compared point by
     point. A level with nearly as many nodes as the next one is passed over, as it can drop nothing that this doesn't.
+    A node pair is dropped for a level above only if all pairs of nodes that their points are of there were.
     """
     depth = min(len(ta), len(tb))
     alive = None
@@ -84,6 +92,9 @@ def dual(xa: np.ndarray, xb: np.ndarray, ta: list, tb: list) -> tuple[list, np.n
         if not last and len(na) * len(nb) > 0.25 * len(ta[level + 1][0]) * len(tb[level + 1][0]):
             continue
         ra, rb = covering(xa, na, oa), covering(xb, nb, ob)
+        if alive is not None:
+            pa_, pb_, mask = alive
+            mask = inherited(inherited(mask, pa_, oa).T, pb_, ob).T
         whole, split = [], []
         for at in range(0, len(na), 1024):  # bounds the memory of a level
             rows = slice(at, at + 1024)
@@ -91,8 +102,7 @@ def dual(xa: np.ndarray, xb: np.ndarray, ta: list, tb: list) -> tuple[list, np.n
             low = d - ra[rows, None] - rb[None, :]
             maybe = low <= NEAR + ROUNDING
             if alive is not None:
-                pa_, pb_, mask = alive
-                maybe &= mask[pa_[na[rows]]][:, pb_[nb]]
+                maybe &= mask[rows]
             if not last:
                 split.append(maybe)
                 continue

@@ -65,3 +65,21 @@ def test_levels_cover_and_nest():
     for (nodes, of), radius in zip(embeddings.cover_tree(x), embeddings.RADII, strict=False):
         assert set(before) <= set(nodes) and embeddings.covering(x, nodes, of).max() <= radius + 1e-9
         before = nodes
+
+
+def dual_links(x, y):
+    whole, pairs = embeddings.dual(x, y, embeddings.cover_tree(x), embeddings.cover_tree(y))
+    return sorted([*zip(*pairs.tolist(), strict=True), *((int(i), int(j)) for p, q in whole for i in p for j in q)])
+
+
+def test_a_point_in_another_node_above_than_its_centre(monkeypatch):
+    """Points and clusters on a sphere: levels above drop node pairs, and none that a link is in."""
+    kept, own = [], embeddings.inherited
+    monkeypatch.setattr(embeddings, "inherited", lambda *a: kept.append(a[0].mean()) or own(*a))
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        even, clusters = (lambda: r.normal(size=(300, 3))), (lambda: np.concatenate([cloud(r, 20, 3, 0.1) for _ in range(12)]))  # noqa: B023
+        for some in (even, clusters):
+            x, y = embeddings.unit(some()), embeddings.unit(some())
+            assert dual_links(x, y) == [(int(i), int(j)) for i, j in zip(*np.nonzero(x @ y.T >= embeddings.COSINE), strict=True)]
+    assert len(kept) > 20 and min(kept) < 0.7
