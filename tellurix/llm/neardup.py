@@ -61,9 +61,13 @@ def rows_of(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
 
 
 def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The pairs whose union's sketch holds enough common values; of sets that sketches hold whole, exactly enough."""
+    """The pairs whose union's sketch holds enough common values; of sets that sketches hold whole, exactly enough.
+    Stars all stay: what a member has besides its pivot's set is needed most where they are unlike."""
     keep = []
-    for a, b, na, nb in zip(rows_of(batch, "sa"), rows_of(batch, "sb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True):
+    for a, b, na, nb, star in zip(rows_of(batch, "sa"), rows_of(batch, "sb"), *(batch.column(c).to_pylist() for c in ("na", "nb", "star")), strict=True):
+        if star:
+            keep.append(True)
+            continue
         both = np.intersect1d(a, b, assume_unique=True)
         if max(na, nb) <= KEPT:
             keep.append(100 * len(both) >= PERCENT * (na + nb - len(both)))

@@ -93,3 +93,17 @@ def test_odd_documents(spark):
     assert of(1) == {(1, True)} and of(2) == {(2, True)} and of(5) == {(5, True)} and of(6) == {(5, False)} and of(8) == {(7, False)} and of(10) == {(10, True)}
     assert of(None) == {(5, True), (None, True)} and len(out) == 13
     assert neardup.near_duplicates(no_documents(spark), spark).count() == 0
+
+
+def test_links_of_members_unlike_their_pivot(spark):
+    """Pairs of pages made of three passages: other pages with each passage are the pivots of all lists they share."""
+    r, passage, own = random.Random(7), lambda k: [f"v{k}.{i}" for i in range(40)], lambda n: [f"o{r.random()}" for _ in range(n)]
+    texts = []
+    for k in range(12):
+        texts += [[*passage(k), *own(4), *passage((k + 1) % 12), *own(4), *passage((k + 5) % 12)] for _ in range(2)]
+        texts += [[*passage(k), *own(1), *(f"u{i}" for i in range(79))] for _ in range(8)]
+        texts += [[*passage(k), *own(83)] for _ in range(20)]
+    r.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert len(set(brute(rows).values())) == 12 * (1 + 1 + 20)
+    check(spark, rows)
