@@ -16,18 +16,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
 
     def least(e: DataFrame) -> DataFrame:
-        return scratch.table(e.groupBy("u").agg(F.min("v").alias("m")), "least")
+        return e.groupBy("u").agg(F.min("v").alias("m"))
 
     now = scratch.table(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = least(both)
-        large = both.join(m, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = both.join(least(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = scratch.table(large.where("u != v").distinct(), "large")
         s = least(large)
         small = large.join(s, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(s.select("u", F.col("m").alias("v")))
         after = scratch.table(small.where("u != v").distinct(), "small")
-        scratch.drop(m, s, large, now)
+        scratch.drop(large, now)
         now = after
         # done when each vertex has one edge, to a vertex that has none: stars around the smallest vertices
         ends = now.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("v", F.lit(0), F.lit(1)))

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellurix.llm.common import WORD, Scratch, WordHashes, long_lists, per_batch, record_batch, rolling
@@ -19,11 +19,11 @@ from tellurix.llm.graph import components
 WORDS, PERCENT = 5, 75
 #: Values kept in a sketch, and standard deviations allowed for when a sketch stands for its set.
 KEPT, SLACK = 64, 5
-#: Lists of up to this many documents give all their pairs; longer ones, pairs with a pivot first.
-#: The first lists are many and hold mostly what is soon ruled out; those of later rounds are few.
-SMALL, MORE = 8, 100
-#: Size classes between the sizes of two sets that may just link.
-CLASSES = 2
+#: Lists with up to this many documents beside their most frequent component give all pairs of these, others pairs with a
+#: hub or pivot. The first lists are many and hold mostly what is soon ruled out; those of later rounds are few.
+SMALL, MORE = 8, 300
+#: Size classes between the sizes of two sets that may just link, for the first lists and for those of the rounds.
+CLASSES, FINE = 2, 6
 SPREAD = math.sqrt(KEPT * PERCENT / 100 * (1 - PERCENT / 100))
 LEAST = int(KEPT * PERCENT / 100 - SLACK * SPREAD)
 #: Up to this size, a set and all that may link with it are kept whole in their sketches.
@@ -61,20 +61,16 @@ def rows_of(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
 
 
 def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """The pairs whose union's sketch holds enough common values; of sets that sketches hold whole, exactly enough.
-    Stars all stay: what a member has besides its pivot's set is needed most where they are unlike."""
+    """The pairs whose union's sketch holds enough common values; of sets that sketches hold whole, exactly enough."""
     keep = []
-    for a, b, na, nb, star in zip(rows_of(batch, "sa"), rows_of(batch, "sb"), *(batch.column(c).to_pylist() for c in ("na", "nb", "star")), strict=True):
-        if star:
-            keep.append(True)
-            continue
+    for a, b, na, nb in zip(rows_of(batch, "sa"), rows_of(batch, "sb"), *(batch.column(c).to_pylist() for c in ("na", "nb")), strict=True):
         both = np.intersect1d(a, b, assume_unique=True)
         if max(na, nb) <= KEPT:
             keep.append(100 * len(both) >= PERCENT * (na + nb - len(both)))
         else:
             union = np.union1d(a, b)[:KEPT]
             keep.append(np.searchsorted(both, union[-1], "right") >= LEAST)
-    return batch.select(["a", "b", "star"]).filter(pa.array(keep, pa.bool_()))
+    return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def confirmed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -96,33 +92,60 @@ def confirmed(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *own], names=["a", "b", "linked", "n", "rest"])
 
 
-def in_bands(rows: DataFrame) -> DataFrame:
+def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The whole sets of packed texts."""
+    own = [shingles(zstandard.ZstdDecompressor().decompress(z).decode()) for z in batch.column("packed").to_pylist()]
+    return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(len, own), pa.int64()), long_lists(own)], names=["id", "n", "v"])
+
+
+def in_bands(rows: DataFrame, classes: int = CLASSES) -> DataFrame:
     """Each row once for its own size class and once for each class below from which a set may link with it."""
-    own = F.floor(F.log(F.col("n")) / math.log(100 / PERCENT) * CLASSES)
-    return rows.withColumn("size", own).withColumn("band", F.explode(F.sequence(own - CLASSES, own)))
+    own = F.floor(F.log(F.col("n")) / math.log(100 / PERCENT) * classes)
+    return rows.withColumn("size", own).withColumn("band", F.explode(F.sequence(own - classes, own)))
+
+
+def within_reach(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Of rows (id, n, size, band, top) in lists named by `by` those that a new link may hold. A pair's smaller set is of
+    its band's own class, so a list without such a set has no pair, and a row links with none in it if the smallest
+    such set is larger than its `top`."""
+    low = rows.groupBy(*by).agg(F.min(F.when(F.col("size") == F.col("band"), F.col("n"))).alias("low"))
+    return rows.join(low.where("low is not null"), by).where("top >= low").drop("low")
 
 
-def pairs_in(rows: DataFrame, by: list[str], small: int, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, star) of the rows (id, n, size, hot, component) in each list that is named by `by`, each pair once.
-    Rows of one component have nothing left to find out about each other.
+def open_lists(rows: DataFrame, by: list[str], scratch: Scratch, hub: Column | None = None) -> DataFrame:
+    """The rows (id, n, component) of the lists, named by `by`, that hold several components: each row once, with its
+    list's most frequent component, the number `few` of its rows of other components, its pivot (the smallest set, by n
+    and id) and the row that is largest by `hub`.
 
-    A list of up to `small` rows gives all its pairs. A longer one pairs each row with a pivot, the row of the
-    smallest size class with the largest `hot`: these pairs are stars. Lists are counted before they are shuffled, and
-    rows meet their list's pivot in a join that Spark can split.
+    Rows of one component have nothing left to find out about each other. Lists are counted before they are shuffled,
+    and rows meet their list's counts in a join that Spark can split.
     """
-    best = F.max_by(F.struct("id", "component"), F.struct(-F.col("size"), "hot", -F.col("n"), -F.col("id")))
-    lists = rows.groupBy(*by).agg(F.count("*").alias("c"), F.min("component").alias("_lo"), F.max("component").alias("_hi"), best.alias("pivot"))
-    lists = scratch.table(lists.where("_lo < _hi").select(*by, "c", "pivot"), "lists")
-    members = scratch.table(rows.join(lists, by).select(*by, "id", "component", "pivot", "c"), "members")
-    stars = members.where((F.col("c") > small) & (F.col("component") != F.col("pivot.component"))).select(F.col("pivot.id").alias("a"), F.col("id").alias("b"), F.lit(True).alias("star"))
-    short = members.where(F.col("c") <= small).groupBy(*by).agg(F.array_sort(F.collect_set(F.struct("id", "component"))).alias("own"))
-    short = short.select(F.posexplode("own").alias("i", "a"), "own").select("a", F.explode(F.slice("own", F.col("i") + 2, F.lit(small))).alias("b"))
-    short = short.where("a.component != b.component").select("a.id", "b.id", F.lit(False)).toDF("a", "b", "star")
-    return stars.union(short).groupBy("a", "b").agg(F.max("star").alias("star"))
+    largest = F.lit(None) if hub is None else F.max(F.struct(hub.alias("by"), "id"))
+    own = rows.groupBy(*by, "component").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("_least"), largest.alias("_hub"))
+    own = own.groupBy(*by).agg(
+        F.count("*").alias("_n"), F.max(F.struct("c", "component"))["component"].alias("most"), (F.sum("c") - F.max("c")).alias("few"), F.min("_least")["id"].alias("pivot"),
+        (F.lit(None).cast("long") if hub is None else F.max("_hub")["id"]).alias("hub"),
+    )
+    return scratch.table(rows.select(*by, "id", "n", "top", "component").join(own.where("_n > 1").drop("_n"), by), "members")
+
+
+def stars(members: DataFrame, center: str, few: int) -> DataFrame:
+    """Pairs (a, b) of the center of each list with more than `few` rows beside its most frequent component, and the
+    list's other rows."""
+    return members.where(F.col("few") > few).where(f"id != {center}").select(F.col(center).alias("a"), F.col("id").alias("b")).distinct()
+
+
+def all_pairs(members: DataFrame, by: list[str], few: int) -> DataFrame:
+    """Pairs (a, b), a below b, of different components in each list with up to `few` rows beside its most frequent
+    component: those rows with all."""
+    short = members.where(F.col("few") <= few)
+    others = short.where("component != most").groupBy(*by).agg(F.collect_set(F.struct("id", "component", "n", "top")).alias("others"))
+    pairs = short.select(*by, "id", "component", "n", "top").join(others, by).select("id", "component", "n", "top", F.explode("others").alias("o"))
+    return pairs.where("o.component != component and n <= o.top and o.n <= top").select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
 
 
 def needed(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of rows (of, id, n, size, component, rest, v, band) those whose value a new link may be found by.
+    """Of rows (of, id, n, top, size, component, rest, v, band) those whose value a new link may be found by.
 
     In a band, one member of a pair is of its lowest size class, so the least size bounds from below how many values
     the pair has in common. All but those in the pivot's set are among the values that members have besides, and of
@@ -130,8 +153,8 @@ def needed(rows: DataFrame, scratch: Scratch) -> DataFrame:
     and as in any prefix filter all but that number less one of its most common ones can be left out.
     """
     lists = rows.groupBy("of", "v", "band").agg(F.count("*").alias("c"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    lists = scratch.table(lists.where("_lo < _hi").select("of", "v", "band", "c"), "useful")
-    lowest = F.pow(F.lit(100 / PERCENT), F.col("band") / CLASSES)
+    lists = lists.where("_lo < _hi").select("of", "v", "band", "c")
+    lowest = F.pow(F.lit(100 / PERCENT), F.col("band") / FINE)
     common = F.ceil((F.col("n") + lowest - 1e-6) * (PERCENT / (100 + PERCENT)) - 1e-6)
     need = F.greatest(F.lit(1), common - (F.col("n") - F.col("rest")))
     own = Window.partitionBy("of", "band", "id")
@@ -139,14 +162,14 @@ def needed(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(ranked.where(F.col("_r") <= F.col("_n") - need + 1).drop("_r", "_n", "c"), "needed")
 
 
-def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, star) of set representatives (id, n, sketch) that share retained values.
+def listed(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Inverted lists of retained values: rows (id, n, v, hot) of set representatives (id, n, sketch).
 
     Values go from rare to common. Two sets similar enough share at least m of the values that they retain (for sets
     kept whole, by arithmetic; else by a bound that a pair at the very threshold fails less than once in a million
     times), so they share one among the rarest s - m + 1 of each one's s values, and only these are listed. A passage
     that very many documents repeat is among the common ones and seldom listed at all. In a group of copies the
-    document whose values are most common, the pivot of its lists, is the one that the others derive from.
+    document whose values are most common (hot) is the one that the others derive from.
     """
     values = classes.select("id", "n", F.explode("sketch").alias("v"))
     common = scratch.table(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "common")
@@ -154,47 +177,84 @@ def candidates(classes: DataFrame, scratch: Scratch) -> DataFrame:
     own, least = Window.partitionBy("id"), F.when(F.col("n") <= WHOLE, F.ceil(F.col("n") * PERCENT / 100)).otherwise(F.least(F.lit(LEAST), F.ceil(F.col("n") * LEAST / KEPT)))
     kept = F.least("n", F.lit(KEPT))
     ranked = shared.withColumns({"_r": F.row_number().over(own.orderBy("df", "v")), "_c": F.count("*").over(own), "hot": F.sum("df").over(own) / kept})
-    listed = ranked.where(kept - F.col("_c") + F.col("_r") <= kept - least + 1)
-    listed = scratch.table(listed.select("id", "n", "v", "hot", F.col("id").alias("component")), "listed")
-    return scratch.table(pairs_in(in_bands(listed), ["v", "band"], SMALL, scratch), "pairs")
+    return scratch.table(ranked.where(kept - F.col("_c") + F.col("_r") <= kept - least + 1).select("id", "n", "v", "hot"), "listed")
+
+
+class Sets:
+    """Sketches of all set representatives, and the texts of those that are to be compared exactly."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, scratch: Scratch):
+        self.docs, self.classes, self.scratch = docs, classes, scratch
+
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        of = lambda x: self.classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "na", "nb", "sa", "sb")
+        return self.scratch.table(per_batch(both, likely, "a long, b long"), "likely")
+
+    def texts(self, ids: DataFrame) -> DataFrame:
+        wanted = self.scratch.table(ids.toDF("doc_id").distinct(), "wanted")
+        return self.scratch.table(per_batch(self.docs.select("doc_id", "text").join(wanted, "doc_id"), packed, "id long, packed binary"), "texts")
+
+    def tops(self, texts: DataFrame) -> DataFrame:
+        """For the whole sets of `texts` id, n and the size (top) beyond which no other one of them links with it: what they
+        have in common is among the values that two of them hold."""
+        sets = self.scratch.table(per_batch(texts, opened, "id long, n long, v array<long>"), "sets")
+        values = sets.select("id", F.explode("v").alias("v"))
+        held = values.join(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").drop("df"), "v").groupBy("id").agg(F.count("*").alias("held"))
+        top = F.floor(F.col("held") * ((100 + PERCENT) / PERCENT) - F.col("n") + 1e-6)
+        return self.scratch.table(sets.select("id", "n").join(held, "id").select("id", "n", top.alias("top")).where(F.col("top") >= F.col("n") * (PERCENT / 100)), "tops")
+
+    def confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
+        """`pairs` (a, b, star) with linked, b's size n and its rest."""
+        of = lambda x: texts.select(F.col("id").alias(x), F.col("packed").alias(f"z{x}"))
+        both = pairs.join(of("b"), "b").join(of("a"), "a")
+        return self.scratch.table(per_batch(both, confirmed, "a long, b long, linked boolean, n long, rest array<long>"), "confirmed")
 
 
 def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
     """id and component of every set representative (id, n, sketch) with a link, but the components' smallest.
 
-    Two members of a long list that are both linked to its pivot are in one component, and are not compared. Two
-    that are linked with each other, but not both with the pivot, have a value in common that the pivot lacks: with none,
-    neither would be closer to the other than to a pivot that is no larger. So what members have besides their
-    pivot's values makes new lists, of whole sets and not of sketches, in which only pairs of different components
-    matter, and so on until no pair is left.
+    First, short lists give all their pairs, and long ones the pairs of their hub, which in a group of copies links
+    most of it at once. Long lists that then still hold several components are finished exactly. Of their members, many
+    have so many values that no other one holds that they can link with none of their size, and drop out. A list in
+    which all but a few are of one component gives the pairs of these few. The others go through rounds. In each,
+    all members of a list meet its pivot, the smallest of their sets. Take two members b and c that are linked. If all
+    that they have in common is in the pivot's set, both are linked with the pivot, as it is no larger than either and
+    has as much in common with each; they are in one component. Else they have a value in common that the pivot
+    lacks. So what members have besides their pivot makes new lists, of whole sets and not of sketches, and lists
+    with several components go on to the next round. Pivots grow from round to round, so there is an end. How few rows
+    a list must hold to give all their pairs decides only which way links are found.
     """
-    of = lambda x: classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    seen = fresh = candidates(classes, scratch)
-    fresh = fresh.join(of("b"), "b").join(of("a"), "a").select("a", "b", "star", "na", "nb", "sa", "sb")
-    fresh = scratch.table(per_batch(fresh, likely, "a long, b long, star boolean"), "likely")
-    wanted = scratch.table(fresh.select(F.col("a").alias("doc_id")).union(fresh.select("b")).distinct(), "wanted")
-    texts = scratch.table(per_batch(docs.select("doc_id", "text").join(wanted, "doc_id"), packed, "id long, packed binary"), "texts")
-    text = lambda x: texts.select(F.col("id").alias(x), F.col("packed").alias(f"z{x}"))
-    joined = docs.sparkSession.createDataFrame([], "id long, component long")
+    sets = Sets(docs, classes, scratch)
+    rows = in_bands(listed(classes, scratch)).withColumns({"component": F.col("id"), "top": F.lit(1 << 62)})
+    first = open_lists(scratch.table(rows, "rows"), ["v", "band"], scratch, F.struct(-F.col("size"), "hot", -F.col("n"), -F.col("id")))
+    near = stars(first, "hub", SMALL).union(all_pairs(first, ["v", "band"], SMALL)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    compared = sets.likely(near.distinct())
+    done = sets.confirmed(compared.withColumn("star", F.lit(False)), sets.texts(compared.select("a").union(compared.select("b"))))
+    joined = scratch.table(components(done.where("linked").select("a", "b"), scratch), "components")
+    rows = first.where(F.col("few") > SMALL).select("v", "band", "id", "n", "top").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = open_lists(rows, ["v", "band"], scratch)
+    if members.isEmpty():
+        return joined
+    texts = sets.texts(members.select("id"))  # those of the rounds, too
+    tops = sets.tops(texts)
+    rows, by = in_bands(members.select("v", "id").distinct().join(tops, "id"), FINE), ["v", "band"]
     while True:
-        done = per_batch(fresh.join(text("b"), "b").join(text("a"), "a"), confirmed, "a long, b long, linked boolean, n long, rest array<long>")
-        done = scratch.table(done, "confirmed")
-        linked = done.where("linked").select("a", "b")
-        if not linked.isEmpty():
-            joined = scratch.table(components(linked.union(joined), scratch), "components")
-        stars = done.where("size(rest) > 0").select(F.col("a").alias("of"), F.col("b").alias("id"), "n", "rest").join(joined, "id", "left")
-        stars = scratch.table(stars.withColumn("component", F.coalesce("component", "id")), "stars")
-        open_ = stars.groupBy("of").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("of")
-        rest = stars.join(scratch.table(open_, "open"), "of").select("of", "id", "n", "component", F.size("rest").alias("rest"), (-F.size("rest") / F.col("n")).alias("hot"), F.explode("rest").alias("v"))
-        useful = needed(in_bands(rest), scratch)
-        if useful.isEmpty():
-            return joined
-        known = seen.select(F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
-        fresh = pairs_in(useful, ["of", "v", "band"], MORE, scratch).join(known, (F.least("a", "b") == F.col("_a")) & (F.greatest("a", "b") == F.col("_b")), "left_anti")
-        fresh = scratch.table(fresh, "pairs")
-        if fresh.isEmpty():
+        rows = within_reach(rows, by).join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        members = open_lists(rows, by, scratch)
+        if members.isEmpty():
             return joined
-        seen = seen.union(fresh)
+        short = sets.likely(all_pairs(members, by, MORE).join(compared, ["a", "b"], "left_anti"))
+        compared = compared.union(short)
+        done = sets.confirmed(stars(members, "pivot", MORE).withColumn("star", F.lit(True)).union(short.withColumn("star", F.lit(False))), texts)
+        fresh = done.where("linked").select("a", "b")
+        if not fresh.isEmpty():
+            joined = scratch.table(components(fresh.union(joined), scratch), "components")
+        rest = done.where("size(rest) > 0").select(F.col("a").alias("of"), F.col("b").alias("id"), "rest").join(tops, "id").join(joined, "id", "left")
+        rest = scratch.table(rest.withColumn("component", F.coalesce("component", "id")), "rest")
+        open_ = rest.groupBy("of").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("of")
+        rest = rest.join(open_, "of").select("of", "id", "n", "top", "component", F.size("rest").alias("rest"), F.explode("rest").alias("v"))
+        rows, by = needed(in_bands(rest, FINE), scratch).select("of", "v", "band", "size", "id", "n", "top"), ["of", "v", "band"]
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:

@@ -107,3 +107,35 @@ def test_links_of_members_unlike_their_pivot(spark):
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
     assert len(set(brute(rows).values())) == 12 * (1 + 1 + 20)
     check(spark, rows)
+
+
+@pytest.mark.parametrize("few", [(8, 300), (2, 3)])
+def test_links_beside_a_larger_document_of_their_lists(spark, monkeypatch, few):
+    """Twelve documents that link with each other; a larger one holds all that they share, short ones its other words.
+    Whether lists give pairs or go through rounds, the links are the same."""
+    monkeypatch.setattr(neardup, "SMALL", few[0])
+    monkeypatch.setattr(neardup, "MORE", few[1])
+    word = lambda p, n: [f"{p}{i}" for i in range(n)]
+    shared, more = word("s", 53), word("m", 19)
+    texts = [[*shared, *word(f"own{k}.", 8)] for k in range(12)] + [[*shared, *more[4:]]] + [[*more, *word(f"x{k}.", 3)] for k in range(40)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    assert set(list(brute(rows).values())[:12]) == {0}
+    check(spark, rows)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_random_mixtures_of_passages(spark, seed):
+    """Texts of 20 to 400 words put together from the same few passages, whole and in part, with edits: long lists in
+    which links lie beside the pivots."""
+    r = random.Random(seed)
+    passages = [[f"p{k}.{i}" for i in range(r.choice([20, 35, 60, 110]))] for k in range(7)]
+    texts = []
+    for _ in range(25):
+        parts = r.sample(passages, r.randint(1, 4))
+        core = [w for p in parts for w in (p if r.random() < 0.7 else p[r.randint(0, len(p) // 2) :])]
+        core += [f"c{r.random()}" for _ in range(r.choice([0, 5, 20]))]
+        for _ in range(r.choice([1, 2, 3, 30])):
+            texts.append(edited(r, core, r.randint(0, 3))[r.choice([0, 0, 3]) :])
+    texts += [[*r.choice(passages), *(f"o{r.random()}" for _ in range(r.randint(1, 60)))] for _ in range(60)]
+    r.shuffle(texts)
+    check(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
