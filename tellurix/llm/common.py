@@ -89,6 +89,11 @@ class Scratch:
             pass
 
 
+def row_key(*columns: str) -> Column:
+    """A digest of a row's values, nulls told apart: rows with the same one are alike in these columns."""
+    return F.md5(F.concat_ws("\0", *[F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("-")) for c in columns]))
+
+
 def n_words(text: Column) -> Column:
     """Words of a whole text; 0 of a null one."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -195,22 +195,27 @@ def load(b: dict) -> dict:
     for n in b["sizes"]:
         tree.append((flat[at : at + n], flat[at + n : at + n + len(ids)]))
         at += n + len(ids)
-    return {"ids": ids, "copies": copies, "x": unit(np.frombuffer(b["vectors"], np.float32).reshape(len(ids), -1)), "tree": tree}
+    kind = np.float32 if b["narrow"] else np.float64
+    return {"ids": ids, "copies": copies, "x": unit(np.frombuffer(b["vectors"], kind).reshape(len(ids), -1)), "tree": tree}
 
 
-BLOCK_SCHEMA = "block long, ids binary, copies binary, vectors binary, tree binary, sizes array<int>"
+BLOCK_SCHEMA = "block long, ids binary, copies binary, vectors binary, narrow boolean, tree binary, sizes array<int>"
 
 
 def built(t: pa.Table) -> pa.Table:
     """One row for a block: its vectors and their cover tree."""
-    v = np.stack(t.column("embedding").to_numpy()).astype(np.float32)
+    v = np.stack(t.column("embedding").to_numpy()).astype(np.float64)
     tree = cover_tree(unit(v))
+    with np.errstate(over="ignore"):
+        narrow = v.astype(np.float32)
+    same = bool((narrow == v).all())  # floats, stored as they came
     return pa.table(
         {
             "block": pa.array([t.column("block")[0].as_py()], pa.int64()),
             "ids": [t.column("id").to_numpy().astype(np.int64).tobytes()],
             "copies": [t.column("copies").to_numpy().astype(np.int64).tobytes()],
-            "vectors": [v.tobytes()],
+            "vectors": [(narrow if same else v).tobytes()],
+            "narrow": [same],
             "tree": [np.concatenate([np.concatenate(x) for x in tree]).astype(np.int64).tobytes()],
             "sizes": pa.array([[len(n) for n, _ in tree]], pa.list_(pa.int32())),
         }
@@ -256,7 +261,7 @@ def links(classes: DataFrame, spark: SparkSession, scratch: Scratch) -> DataFram
     has a row for each pair of blocks in which it has links."""
     sample = classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("embedding").collect()
     centers = unit([r[0] for r in sample])
-    schema = "id long, embedding array<float>, copies long, cell int, away double"
+    schema = f"id long, embedding {classes.schema['embedding'].dataType.simpleString()}, copies long, cell int, away double"
     own = scratch.table(per_batch(classes.select("id", "embedding", "copies"), placed(centers), schema), "placed")
     cells = {r[0]: (r[1], r[2]) for r in own.groupBy("cell").agg(F.count("*"), F.max("away")).collect()}
     rows, near = groups_of(centers, cells)
@@ -268,7 +273,7 @@ def links(classes: DataFrame, spark: SparkSession, scratch: Scratch) -> DataFram
     pairs = spark.createDataFrame([(g, h, parts[g], parts[h]) for g, h in near], "g long, h long, p long, q long")
     pairs = pairs.select("g", "h", "q", F.explode(F.sequence(F.lit(0), F.col("p") - 1)).alias("s")).select("g", "h", "s", F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("t"))
     pairs = pairs.select(number("g", F.col("s")).alias("i"), number("h", F.col("t")).alias("j")).where("i <= j")
-    side = lambda key, name: blocks.select(F.col("block").alias(key), F.struct("ids", "copies", "vectors", "tree", "sizes").alias(name))
+    side = lambda key, name: blocks.select(F.col("block").alias(key), F.struct("ids", "copies", "vectors", "narrow", "tree", "sizes").alias(name))
     return scratch.table(per_batch(pairs.join(side("i", "a"), "i").join(side("j", "b"), "j"), compared, "id long, n long, least long"), "compared")
 
 
@@ -282,6 +287,8 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession) -> DataFrame:
     skew, and returns sums and one edge for a linked vector. In data without clusters no bound can drop anything, and
     the work is that of all pairs, in blocks.
 
+    Components may be of any number type; floats stay floats when moved, and all else is a double.
+
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and vectors of
     different dimension don't link. A null id has no links of its own to count; repeated ids are one vector each.
     """
@@ -290,7 +297,9 @@ def near_duplicates(vectors: DataFrame, spark: SparkSession) -> DataFrame:
         "embedding IS NOT NULL AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < float('Infinity')) AND exists(embedding, x -> x != 0)"
     )
     key = F.when(ok, F.concat_ws(":", F.size("embedding"), F.xxhash64("embedding"), F.xxhash64(F.lit(1), "embedding")))
-    own = scratch.table(vectors.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding")).withColumn("same", F.when(F.col("vec_id").isNotNull(), key)), "vectors")
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    wide = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    own = scratch.table(vectors.select("vec_id", wide.alias("embedding")).withColumn("same", F.when(F.col("vec_id").isNotNull(), key)), "vectors")
     classes = own.where("same is not null").groupBy("same").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     classes = scratch.table(classes, "classes")
     found = None

@@ -39,21 +39,23 @@ def targets(sources: DataFrame, weights: Sequence[int], share: float, epochs: in
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, epochs: int = 2, seed: str = "mix") -> DataFrame:
-    """How many words the mix takes of each row of `docs` (doc_id, source, size; other columns are dropped).
+    """How many words the mix takes of each row of `docs` (doc_id, source, size, and if given `row`, a row's own number, and
+    `tie`, which orders rows of one id and size; other columns are dropped).
 
-    Returns doc_id, size, source_size, target and taken. A source with target T and S words is taken floor(T / S) times
+    Returns doc_id, size, source_size, target, taken and, if given, row. A source with target T and S words is taken floor(T / S) times
     over, and then in the order of the documents' random keys until floor(T) words: the document on the cut gives
     only the words up to it. The key is a hash of the seed and doc_id, so reruns agree whatever the partitions.
-    Null sizes count as 0, a null source is a source, documents with one id and size are in any order as they
-    are alike, and an empty table gives an empty mix.
+    Null sizes count as 0, a null source is a source, rows with one id and size are in any order if nothing else tells
+    them apart, and an empty table gives an empty mix. Rows with a null or repeated id are taken each for itself.
 
     A source is dealt out by key range, not by its name: rows meet in (source, coarse, fine) groups, only sums of
     those meet per (source, coarse), and only sums of these per source, at most 16 ** COARSE of them. So a source that
     holds most rows is no heavier than the others.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
+    more = [c for c in ("tie", "row") if c in docs.columns]
     rows = docs.select(
-        "doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"),
+        "doc_id", "source", *more, F.coalesce("size", F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"),
     ).withColumns({"_c": F.substring("_key", 1, COARSE), "_f": F.substring("_key", COARSE + 1, FINE), "_s": F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit("")))})
     rows = scratch.table(rows, "rows")  # the texts are read once, for their sizes
@@ -67,23 +69,26 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
 
     coarse = coarse.select("_s", "_c", before("_s", "_c").alias("_coarse")).join(plan, "_s")
     fine = fine.select("_s", "_c", "_f", before("_s", "_c", "_f").alias("_fine")).join(coarse, ["_s", "_c"])
-    within = Window.partitionBy("_s", "_c", "_f").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_s", "_c", "_f").orderBy("_key", "doc_id", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_row", F.coalesce(F.sum("size").over(within), F.lit(0))).join(fine, ["_s", "_c", "_f"])
     whole = F.when(F.col("source_size") > 0, F.expr("floor(target) div source_size")).otherwise(0)
     rest = F.floor("target") - whole * F.col("source_size") - (F.col("_coarse") + F.col("_fine") + F.col("_row"))
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[c for c in more if c == "row"])
 
 
-def apply(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of `docs` as the mix takes them, with their columns: a document once for each whole time, and once more
-    cut after its last taken word. n_chars follows a cut text. Ids are taken to be unique; rows with a null id go, as
-    do documents of which the mix takes nothing. Only ids and counts meet the texts.
+def apply(docs: DataFrame, **how) -> DataFrame:
+    """The rows of `docs` as `mix`, which gets the arguments `how`, takes them, with their columns: a document once for each
+    whole time, and once more cut after its last taken word. n_chars follows a cut text. Rows are numbered in a written
+    table, so that null and repeated ids are taken just as the mix decides; documents of which it takes nothing go.
+    Only ids and counts meet the texts.
     """
-    takes = mixed.where((F.col("taken") > 0) & F.col("doc_id").isNotNull()).select("doc_id", F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
+    numbered = Scratch(docs.sparkSession, "mixed").table(docs.withColumn("__mix_row", F.monotonically_increasing_id()), "numbered")
+    sized = numbered.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5("text").alias("tie"), F.col("__mix_row").alias("row"))
+    takes = mix(sized, **how).where("taken > 0").select(F.col("row").alias("__mix_row"), F.col("size").alias("__mix_size"), F.col("taken").alias("__mix_taken"))
     whole, rest = F.expr("__mix_taken div __mix_size"), F.expr("__mix_taken % __mix_size")
     pieces = F.sequence(F.lit(1), F.ceil(F.col("__mix_taken") / F.col("__mix_size")).cast("int"))
-    out = docs.join(takes, "doc_id").withColumns({"__mix_whole": whole, "__mix_rest": rest}).withColumn("__mix_piece", F.explode(pieces))
+    out = numbered.join(takes, "__mix_row").withColumns({"__mix_whole": whole, "__mix_rest": rest}).withColumn("__mix_piece", F.explode(pieces))
     # split() with a limit leaves all that follows the last wanted word in the last element
     skipped = F.when(F.regexp_like("text", F.lit(r"^[\x20\x09-\x0D]")), 1).otherwise(0)
     tail = F.element_at(F.split("text", r"[\x20\x09-\x0D]+", (F.col("__mix_rest") + 1 + skipped).cast("int")), -1)

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tellurix.llm.common import WORD, Scratch, WordHashes, long_lists, per_batch, record_batch, rolling
+from tellurix.llm.common import WORD, Scratch, WordHashes, long_lists, per_batch, record_batch, rolling, row_key
 from tellurix.llm.graph import components
 
 WORDS, PERCENT = 5, 75
@@ -45,7 +45,8 @@ def sketches(batch: pa.RecordBatch) -> pa.RecordBatch:
         n.append(len(s))
         same.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
         sketch.append(s[:KEPT])
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(same, pa.string()), long_lists(sketch)], names=["doc_id", "n", "same", "sketch"])
+    own = [pa.array(n, pa.int64()), pa.array(same, pa.string()), long_lists(sketch)]
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_key"), *own], names=["doc_id", "row_key", "n", "same", "sketch"])
 
 
 def packed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -258,22 +259,24 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
-    """Per row of `docs` (doc_id, text; other columns are dropped): doc_id, n_shingles, component_id, kept.
+    """Per row of `docs` (doc_id, text; other columns are dropped): doc_id, n_shingles, component_id, kept, and the
+    row's digest row_key.
 
     Documents whose word 5-grams (A-Z lower-cased) have a Jaccard similarity of 0.75 or more are linked; component_id
     is the smallest doc_id reachable. Documents with the same set are one class from the start, so exact copies never
     form pairs. Null and empty texts have an empty set and link with nothing; rows that repeat an id are one
-    document; a row with a null id has the component of its copies, or null, and is kept.
+    document; a row with a null id has the component of its copies, or null, and is kept. Very long texts are
+    compared whole; an empty table gives an empty one; other columns may have any name.
     """
     scratch = Scratch(spark, "neardup")
-    all_ = scratch.table(per_batch(docs.select("doc_id", "text"), sketches, "doc_id long, n long, same string, sketch array<long>"), "sketches")
+    all_ = scratch.table(per_batch(docs.select("doc_id", row_key("doc_id", "text").alias("row_key"), "text"), sketches, "doc_id long, row_key string, n long, same string, sketch array<long>"), "sketches")
     classes = all_.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = scratch.table(classes.where("id is not null"), "classes")
     found = linked_components(docs, classes, scratch).select("id", F.col("component").alias("_least"))
     ids = classes.select("same", "id")
-    out = all_.select("doc_id", "n", "same").join(ids, "same", "left").join(found, "id", "left")
+    out = all_.select("doc_id", "row_key", "n", "same").join(ids, "same", "left").join(found, "id", "left")
     component = F.when(F.col("n") > 0, F.coalesce("_least", "id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "row_key")
     out = scratch.table(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "result")
     scratch.drop_all_but(out)
     return out

@@ -32,7 +32,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), spark).drop("row_key")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,3 +83,12 @@ def test_a_point_in_another_node_above_than_its_centre(monkeypatch):
             x, y = embeddings.unit(some()), embeddings.unit(some())
             assert dual_links(x, y) == [(int(i), int(j)) for i, j in zip(*np.nonzero(x @ y.T >= embeddings.COSINE), strict=True)]
     assert len(kept) > 20 and min(kept) < 0.7
+
+
+def test_doubles_stay_doubles(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1e39, 2e39]), (3, [1e-60, 2e-60]), (4, [1.0, -2.0]), (5, [1e300, 2e300])]
+    for kind in ("double", "decimal(38,18)"):
+        some = rows if kind == "double" else [rows[0], rows[3]]
+        df = spark.createDataFrame(some, "vec_id long, embedding array<double>").selectExpr("vec_id", f"cast(embedding AS array<{kind}>) AS embedding")
+        out = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, spark).collect()}
+        assert out == ({1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)} if kind == "double" else {1: (0, 1), 4: (0, 4)})

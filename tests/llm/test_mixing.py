@@ -66,8 +66,19 @@ def test_texts_are_repeated_and_cut_at_the_budget(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _size int, _tail string")
     mixed = mixing.mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")))
     taken = {r.doc_id: r.taken for r in mixed.collect() if r.doc_id is not None}
-    out, got, text = mixing.apply(docs, mixed).collect(), defaultdict(int), {r[0]: r[1] for r in rows}
+    out, got, text = mixing.apply(docs).collect(), defaultdict(int), {r[0]: r[1] for r in rows}
     for r in out:
-        got[r.doc_id] += len(r.text.split())
+        if r.doc_id is not None:
+            got[r.doc_id] += len(r.text.split())
         assert text[r.doc_id].startswith(r.text) and r.n_chars == len(r.text) and r["_tail"] == "x"
     assert dict(got) == {i: n for i, n in taken.items() if n} and out[0].asDict().keys() == set(docs.columns)
+
+
+def test_repeated_and_null_ids_keep_the_target(spark):
+    """360 words of one source: 540 are taken, however ids repeat, and no row above twice its size."""
+    text = lambda k, n: " ".join(f"{k}.{i}" for i in range(n))
+    for ids in ([1, 1, 1, 2, 3], [None, None, None, 2, None], [1, 2, 3, 4, 5]):
+        for same in (True, False):
+            rows = [(i, text(0 if same and k < 3 else k, n), "s") for k, (i, n) in enumerate(zip(ids, [80, 80, 80, 60, 60], strict=True))]
+            out = [r.text for r in mixing.apply(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+            assert sum(len(t.split()) for t in out) == 540 and 5 <= len(out) <= 10
