@@ -1,7 +1,8 @@
 """A corpus made ready for training: quality rules, near-duplicates, secrets, source weights, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before has kept; all but the last return the columns
-of `documents`. Rows are told apart by doc_id, null included; rows that repeat an id go or stay together.
+of `documents`. Rows are told apart by their values, so that those with null or repeated ids have their own verdict; rows
+alike in id and text go or stay together. Null texts fail the quality rules; any table, an empty one too, goes through.
 """
 
 from __future__ import annotations
@@ -10,25 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurix.llm import bpe, mixing, neardup, quality, secrets
-from tellurix.llm.common import Scratch, n_words, table
+from tellurix.llm.common import Scratch, row_key, table
 from tellurix.llm.queries import WORD_BPE
 
 
-def only(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows of `docs` but those with a rejected id. Both sides are dealt out by id, whatever their size: the rejected
-    grow with the input, and are not for sending to all tasks."""
-    gone = verdicts.where("not kept").select(F.col("doc_id").alias("_id"))
-    return docs.hint("merge").join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; the others stay as they are."""
-    return only(docs, quality.rules(docs, spark))
+    """Documents that the quality rules reject go; the others lose the lines that are frequent on their host."""
+    return quality.cleaned(docs, quality.rules(docs, spark))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return only(docs, neardup.near_duplicates(docs, spark))
+    """Of each group of near-duplicates the document with the smallest id stays, and all rows with a null id do. Rows are
+    dealt out by id and text, whatever the size: the rejected grow with the input, and are not for sending to all tasks."""
+    gone = neardup.near_duplicates(docs, spark).where("not kept").select(F.col("row_key").alias("__gone"))
+    return docs.hint("merge").join(gone, row_key("doc_id", "text") == F.col("__gone"), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +34,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's weight asks for, the one on the cut up to its last taken word."""
-    return mixing.apply(docs, mixing.mix(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))))
+    return mixing.apply(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
