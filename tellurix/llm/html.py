@@ -12,10 +12,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tellurix.llm.common import Scratch, per_batch, record_batch
+from tellurix.llm.common import Scratch, per_batch, record_batch, row_key
 
-#: A subtree is of the site's template when it stands on this many pages of the host and on this share of them.
-MANY, SHARE = 5, 0.05
+#: A subtree is of the site's template when it stands on MANY different pages of the host or more, and these are SHARE of its
+#: pages or more, or ENOUGH, so that the size of a host doesn't spare a block that very many of its pages repeat.
+MANY, SHARE, ENOUGH = 5, 0.05, 100
 
 # Kinds of elements, by tag, role, and words of class and id.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -27,6 +28,10 @@ CHROME_WORDS = set(
     "footer masthead cookie cookies consent notice popup modal newsletter subscribe share sharing social related recommended comment comments "
     "commentlist respond disqus reply replies pagination pager widget toolbar topbar login signup adsbygoogle adbox adslot notices alert announcement".split()
 )
+# Words that may stand beside those above in the name of page furniture, as in site-footer or share-buttons.
+BESIDE = set("site main page top bottom left right box list area bar button buttons block container wrapper wrap section inner outer link links post posts form item items title unit slot zone".split())
+# Names by which an article element itself is no article: a comment, a teaser, an advert.
+NO_ARTICLE = set("comment comments reply replies related recommended promo promotion sponsored ad ads advert advertisement".split())
 MAIN = {"article", "main"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
@@ -38,46 +43,83 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
-SPLIT = re.compile(r"[^a-z]+")
+PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "chrome", "main", "pieces", "hash", "number")
+    """An element. `chrome` is what its own tag and names say; `holds` is whether it is, or an element within it, a main or
+    article element; `size` counts the characters of all text within."""
 
-    def __init__(self, tag: str, parent: Node | None, chrome: bool, main: bool, number: int):
-        self.tag, self.parent, self.chrome, self.main, self.number = tag, parent, chrome, main, number
-        self.pieces, self.hash = [], None
+    __slots__ = ("tag", "parent", "chrome", "by_tag", "main", "prose", "holds", "pieces", "hash", "size", "number")
 
+    def __init__(self, tag: str, parent: Node | None, number: int):
+        self.tag, self.parent, self.number = tag, parent, number
+        self.chrome = self.by_tag = self.holds = False
+        self.main, self.prose = (parent.main, parent.prose) if parent else (None, False)
+        self.pieces, self.hash, self.size = [], None, 0
 
-def is_chrome(tag: str, attributes: str, in_main: bool) -> bool:
-    if tag in CHROME or (tag == "header" and not in_main):
-        return True
+
+def names_of(attributes: str) -> tuple[set[str], set[str]]:
+    """An opening tag's class and id names, and its roles."""
+    names, roles = set(), set()
     for name, value in ATTRIBUTE.findall(attributes) if "=" in attributes else ():
-        words = set(SPLIT.split(value.lower()))
-        if tag not in ("html", "body") and (words & (CHROME_ROLES if name.lower() == "role" else CHROME_WORDS) or ("header" in words and not in_main)):
-            return True
-    return False
+        (roles if name.lower() == "role" else names).update(value.strip("\"'").split())
+    return names, {r.lower() for r in roles}
+
+
+def of_furniture(name: str, words: set[str] = CHROME_WORDS) -> bool:
+    """A whole class or id name made of such words and, beside at least one, of those that go with them: site-footer is one,
+    no-sidebar and comments-open are not. A number may follow, as in comment-17."""
+    parts = [p.lower() for p in PARTS.split(name) if p and not p.isdigit()]
+    return any(p in words for p in parts) and all(p in words or p in BESIDE for p in parts)
+
 
+def described(node: Node, attributes: str) -> None:
+    """Fills in what an element is by its tag and names."""
+    names, roles = names_of(attributes)
+    if node.tag in MAIN and not any(of_furniture(x, NO_ARTICLE) for x in names):
+        node.main, up = node.main or node, node
+        while up is not None and not up.holds:
+            up.holds, up = True, up.parent
+        return
+    header = node.tag == "header" or any(of_furniture(x, {"header", "heading"}) and "header" in x.lower() for x in names)
+    node.by_tag = node.tag in CHROME
+    node.chrome = node.by_tag or bool(roles & CHROME_ROLES) or any(map(of_furniture, names)) or (header and node.main is None)
+    if node.tag in PROSE:
+        node.prose = True
+        if node.main is not None and not node.by_tag:
+            node.chrome = False  # prose of an article, whatever its class
+    if node.tag in ("html", "body"):
+        node.chrome = False
 
-def parsed(html: str) -> tuple[list[Node], list[tuple[str, Node]]]:
-    """A page's elements, and its blocks of text with the element that each stands in. Unclosed and stray tags are
-    taken as browsers take the common cases: a block ends an open p, an item an open item, and an end tag all that
-    stands open within its element."""
-    root = Node("", None, False, False, 0)
-    nodes, blocks, now, text, at, skip = [root], [], root, [], 0, ""
+
+def parsed(html: str) -> tuple[list[Node], list[list[tuple[str, Node]]]]:
+    """A page's elements, parents before children, and its blocks of text: pieces with the element that each stands in.
+    Unclosed and stray tags are taken as browsers take the common cases: a block ends an open p, an item an open
+    item, and an end tag all that stands open within its element. An inline element's end tag counts within its block."""
+    root = Node("", None, 0)
+    nodes, blocks, now, text, at, open_ = [root], [], root, [], 0, {}
+
+    def say(piece: str) -> None:
+        piece = unescape(piece)
+        text.append((piece, now))
+        own = " ".join(piece.split())
+        if own:
+            now.pieces.append(own)
+            now.size += len(own)
 
     def flush() -> None:
         if text:
-            block = " ".join(unescape("".join(text)).split())
+            blocks.append(text[:])
             text.clear()
-            if block:
-                blocks.append((block, now))
-                now.pieces.append(block)
 
     def close(node: Node) -> None:
         node.hash = xxhash.xxh3_64_intdigest(f"{node.tag}\0" + "\0".join(node.pieces)) >> 1
         if node.parent is not None:
-            node.parent.pieces.append(str(node.hash))
+            open_[node.tag] -= 1
+            if node.pieces:
+                node.parent.pieces.append(str(node.hash))
+            node.parent.size += node.size
 
     def up_to(node: Node) -> Node:
         """Close all open elements as far as `node` and it; what is open then."""
@@ -89,6 +131,8 @@ def parsed(html: str) -> tuple[list[Node], list[tuple[str, Node]]]:
             n = n.parent
 
     def nearest(tags: set[str], within: set[str] = frozenset()) -> Node | None:
+        if not any(open_.get(t) for t in tags):
+            return None
         n = now
         while n.parent is not None and n.tag not in within:
             if n.tag in tags:
@@ -99,44 +143,49 @@ def parsed(html: str) -> tuple[list[Node], list[tuple[str, Node]]]:
     for m in TAG.finditer(html):
         if m.start() < at:
             continue
-        if m.start() > at and not skip:
-            text.append(html[at : m.start()])
+        if m.start() > at:
+            say(html[at : m.start()])
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        block = tag in BLOCK
         if m[1]:
-            if tag in BLOCK or tag == "br":
-                n = nearest({tag})
+            n = nearest({tag}, frozenset() if block or tag in CHROME else BLOCK)
+            if block or tag in CHROME:
                 flush()
-                if n is not None:
-                    now = up_to(n)
+            elif tag == "br":
+                text.append((" ", now))
+            if n is not None:
+                now = up_to(n)
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(html, at)
             at = end.end() if end else len(html)
-            text.append(" ")
+            text.append((" ", now))
             continue
         if tag == "br":
-            text.append(" ")
-        if tag in BLOCK:
+            text.append((" ", now))
+        if block:
             flush()
             p = nearest({"p"}, {"table", "td", "th", "button"})
             if p is not None:
                 now = up_to(p)
             if tag in ENDS and (n := nearest(*ENDS[tag])) is not None:
                 now = up_to(n)
-        if tag in VOID:
+        if tag in VOID or m[3].endswith("/") and not block:
             continue
-        if tag in BLOCK or tag in CHROME:
+        if tag in CHROME and not block:
             flush()
-            main = now.main or (tag in MAIN)
-            nodes.append(now := Node(tag, now, now.chrome or is_chrome(tag, m[3], now.main), main, len(nodes)))
-            if tag in CHROME and tag not in BLOCK and (end := re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(html, at)):
+            if end := re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(html, at):
                 at = end.end()  # nothing within is text
-                now = up_to(now)
+                continue
+        now = Node(tag, now, len(nodes))
+        nodes.append(now)
+        open_[tag] = open_.get(tag, 0) + 1
+        described(now, m[3])
     if at < len(html):
-        text.append(html[at:])
+        say(html[at:])
     flush()
     while now is not None:
         close(now)
@@ -145,8 +194,13 @@ def parsed(html: str) -> tuple[list[Node], list[tuple[str, Node]]]:
 
 
 def removable(node: Node) -> bool:
-    """Templates are made of elements about the article; a sentence that recurs in articles is their text."""
-    return node.parent is not None and node.tag not in ("html", "body", *MAIN) and not (node.main and not node.chrome and node.tag in PROSE)
+    """Templates are made of elements about the article. What is or holds an article, or is more than three quarters of one, is none; nor are
+    sentences of an article, or inline elements of any sentence, that others have, too."""
+    if node.parent is None or node.holds or not node.pieces or node.tag in ("html", "body"):
+        return False
+    if node.tag in PROSE:
+        return node.main is None and not node.parent.prose
+    return not node.prose and (node.main is None or 4 * node.size <= 3 * node.main.size)
 
 
 def host_of(url: str | None) -> str:
@@ -157,49 +211,81 @@ def host_of(url: str | None) -> str:
 
 
 def subtrees(batch: pa.RecordBatch) -> pa.RecordBatch:
-    hosts, numbers, hashes = [], [], []
+    hosts, contents, numbers, hashes = [], [], [], []
     for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-        own = [n for n in parsed(html or "")[0] if n.pieces and removable(n)]
+        nodes, _ = parsed(html or "")
+        own = [n for n in nodes if removable(n)]
         hosts.append(host_of(url))
+        contents.append(nodes[0].hash)
         numbers.append([n.number for n in own])
         hashes.append([n.hash for n in own])
-    return record_batch({"key": (batch.column("key"), pa.string()), "host": (hosts, pa.string()), "number": (numbers, pa.list_(pa.int32())), "hash": (hashes, pa.list_(pa.int64()))})
+    lists = {"number": (numbers, pa.list_(pa.int32())), "hash": (hashes, pa.list_(pa.int64()))}
+    return record_batch({"key": (batch.column("key"), pa.string()), "host": (hosts, pa.string()), "content": (contents, pa.int64())} | lists)
+
+
+def main_text(html: str, templates: set[int]) -> str:
+    """A page's main text, its elements with these numbers being of the site's template.
+
+    Chrome goes by its tag, role or names, but not where it holds the article (a form around the page, a body with a
+    sidebar's name), and navigation by its tag goes in any case. Of what is left, the main text is that in the one
+    outermost main or article element; of several, that in the smallest element that holds them all; of none, all.
+    """
+    nodes, blocks = parsed(html)
+    gone, tops = set(), []
+    for n in nodes:  # parents come before their children
+        chrome = n.chrome and not (n.holds and not (n.by_tag and n.tag != "form"))
+        if chrome or n.number in templates or (n.parent is not None and n.parent.number in gone):
+            gone.add(n.number)
+    texts = [[(t, n) for t, n in b if n.number not in gone] for b in blocks]
+    for b in texts:
+        for t, n in b:
+            if n.main is not None and t.strip() and not any(n.main is x for x in tops[-1:]):
+                tops.append(n.main)
+    chosen = path(tops[0]) if tops else []
+    for top in tops[1:]:
+        up = set(map(id, path(top)))
+        chosen = [n for n in chosen if id(n) in up]
+    if chosen:
+        inside = {id(chosen[0])}
+        for n in nodes:
+            if n.parent is not None and id(n.parent) in inside:
+                inside.add(id(n))
+        texts = [[(t, n) for t, n in b if id(n) in inside] for b in texts]
+    return "\n".join(filter(None, (" ".join("".join(t for t, _ in b).split()) for b in texts)))
+
+
+def path(node: Node) -> list[Node]:
+    out = [node]
+    while out[-1].parent is not None:
+        out.append(out[-1].parent)
+    return out
 
 
 def extracted(batch: pa.RecordBatch) -> pa.RecordBatch:
-    texts = []
-    for html, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True):
-        nodes, blocks = parsed(html or "")
-        dropped = set(gone or ())
-        for n in nodes:  # parents come before their children
-            if n.chrome or (n.parent is not None and n.parent.number in dropped):
-                dropped.add(n.number)
-        left = [(t, n) for t, n in blocks if n.number not in dropped]
-        if any(n.main for _, n in left):
-            left = [(t, n) for t, n in left if n.main]
-        texts.append("\n".join(t for t, _ in left))
+    texts = [main_text(html or "", set(gone or ())) for html, gone in zip(batch.column("html").to_pylist(), batch.column("gone").to_pylist(), strict=True)]
     return record_batch({"page_id": (batch.column("page_id"), pa.int64()), "url": (batch.column("url"), pa.string()), "text": (texts, pa.string()), "n_chars": ([len(t) for t in texts], pa.int64())})
 
 
 def extract(pages: DataFrame, spark: SparkSession) -> DataFrame:
     """Per row of `pages` (page_id, url, html; other columns are dropped): page_id, url, text, n_chars.
 
-    Subtrees (tag and content) are counted over the pages of their host, once in each, and deleted where they stand on MANY
-    and on SHARE of them; so are elements that are menus, adverts and the like by their tag, role, class or id. If
-    text is left in an article or main element, that is the main text, else all that is left. Blocks are in page
-    order, references decoded, white space single. A null or empty html has the empty text; a null or broken url
-    has the empty host; repeated rows count as a page each and have equal results.
+    Subtrees (tag and content) are counted over the pages of their host, once for each different content of a page, and
+    deleted where they recur (MANY, SHARE, ENOUGH); so are elements that are menus, adverts and the like (see
+    `main_text`). Blocks are in page order, references decoded, white space single. A null or empty html has the
+    empty text; a null or broken url has the empty host; pages that are alike but for scripts and markup count once,
+    and repeated rows have equal results; very long pages are parsed whole; an empty table gives an empty one.
 
     A subtree on a third of all pages is a sum before it is shuffled; its removal is a join that Spark can split.
     """
     scratch = Scratch(spark, "html")
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.coalesce("url", F.lit("-")), "html"))
-    keyed = pages.select(key.alias("key"), "page_id", "url", "html")
-    trees = scratch.table(per_batch(keyed.select("key", "url", "html"), subtrees, "key string, host string, number array<int>, hash array<long>"), "trees")
-    hosts = trees.groupBy("host").agg(F.count("*").alias("pages"))
-    counted = trees.select("host", F.explode(F.array_distinct("hash")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n"))
-    template = scratch.table(counted.where(F.col("n") >= MANY).join(hosts, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "hash"), "template")
-    found = trees.select("key", "host", F.inline(F.arrays_zip("number", "hash"))).join(template, ["host", "hash"])
-    gone = scratch.table(found.groupBy("key").agg(F.collect_set("number").alias("gone")), "gone")
+    keyed = pages.select(row_key("page_id", "url", "html").alias("key"), "page_id", "url", "html")
+    trees = scratch.table(per_batch(keyed.select("key", "url", "html"), subtrees, "key string, host string, content long, number array<int>, hash array<long>"), "trees")
+    different = trees.groupBy("host", "content").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("pages"))
+    often = trees.select("host", F.explode(F.array_distinct("hash")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).drop("n")
+    found = trees.select("key", "host", "content", F.inline(F.arrays_zip("number", "hash"))).join(often, ["host", "hash"])
+    counted = found.groupBy("host", "hash", "content").agg(F.lit(1).alias("x")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MANY)
+    template = counted.join(different, "host").where((F.col("n") >= SHARE * F.col("pages")) | (F.col("n") >= ENOUGH)).select("host", "hash")
+    gone = found.join(scratch.table(template, "template"), ["host", "hash"]).groupBy("key").agg(F.collect_set("number").alias("gone"))
+    gone = scratch.table(gone, "gone")
     scratch.drop_all_but(gone)
     return per_batch(keyed.join(gone, "key", "left").select("page_id", "url", "html", "gone"), extracted, "page_id long, url string, text string, n_chars long")

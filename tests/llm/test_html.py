@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import random
+from collections import Counter, defaultdict
+
+from helpers import SMALL
+
 from tellurix.llm import html
 
 
@@ -43,3 +48,63 @@ def test_deep_and_long_pages(spark):
 
 def test_no_pages(spark):
     assert texts(spark, []) == []
+
+
+def test_articles_stay(spark):
+    """Copies of a page, stock class names around and on articles, and prose inside them with the names of furniture."""
+    own = "<h1>Title</h1><div><p>Some text of an article.</p><p>More of it.</p></div>"
+    text = "Title\nSome text of an article.\nMore of it."
+    rows = [(f"http://a.com/{i}", f"<body><script>track({i})</script><main><div>{own}</div></main></body>") for i in range(6)] + [(f"http://b.com/{i}", page(own)) for i in range(6)]
+    rows += [(f"http://c.com/{i}", f"<body><div class='page no-sidebar'><article class='post comments-open'>{own}</article></div></body>") for i in range(3)]
+    rows += [("http://d.com", f"<form id=aspnet><div class='sidebar'><article>{own}</article></div></form>"), ("http://e.com", f"<div class='page no-sidebar'>{own}</div><div class='site-footer'>x</div>")]
+    rows += [("http://f.com", f"<article>{own}<p class='notice'>Mind this.</p><p id='share-prices'>Prices rose.</p></article>")]
+    out = texts(spark, rows)
+    assert out[:17] == [text] * 17 and out[17] == text + "\nMind this.\nPrices rose."
+
+
+def test_furniture_goes(spark):
+    rows = [
+        ("http://a.com", "<article><p>One <ins class=adsbygoogle>Buy</ins> two<span class='share'>Tweet</span>.</p><x-banner class='ad'>Ad</x-banner></article><ol class='comment-list'><article class='comment' id='comment-7'><p>First!</p></article></ol>"),
+        ("http://b.com", "<div class='cookie-banner'>Cookies</div><p>Intro</p><article><p>A</p></article><article><p>B</p></article><div class='related-posts'>See</div>"),
+        ("http://c.com", "<div><article><p>A</p></article><p>Between</p><article><p>B</p></article></div><p>After</p>"),
+        ("http://d.com", "<nav><article>Menu</article></nav><p>Text <b>bold <i>both</b> on</i>.</p>"),
+    ]
+    assert texts(spark, rows) == ["One two.", "Intro\nA\nB", "A\nBetween\nB", "Text bold both on."]
+
+
+def brute(rows):
+    """Every subtree of every page counted in a dict, and the pages' texts without the recurring ones."""
+    seen, pages_of, parsed = defaultdict(set), defaultdict(set), []
+    for url, h in rows:
+        nodes, host = html.parsed(h or "")[0], html.host_of(url)
+        parsed.append((host, h or "", [n for n in nodes if html.removable(n)]))
+        pages_of[host].add(nodes[0].hash)
+        for n in parsed[-1][2]:
+            seen[host, n.hash].add(nodes[0].hash)
+    often = {k for k, v in seen.items() if len(v) >= html.MANY and (len(v) >= html.SHARE * len(pages_of[k[0]]) or len(v) >= html.ENOUGH)}
+    return [html.main_text(h, {n.number for n in own if (host, n.hash) in often}) for host, h, own in parsed]
+
+
+def test_against_brute_force(spark):
+    rows = [(r.url, r.html) for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("url", "html").collect()]
+    r = random.Random(3)
+    blocks = [f"<{t}{c}>" + "".join(f"<{u}>{r.choice('abcdef')} {r.randint(0, 9)}</{u}>" for u in r.choices(["p", "span", "li", "x-y"], k=3)) + f"</{t}>" for t in ("div", "section", "ul", "p", "table") for c in ("", " class=box", " class='site-menu'") for _ in range(4)]
+    for i in range(400):
+        body = "".join(r.choices(blocks, k=r.randint(1, 4)))
+        rows.append((f"http://{r.choice('xyz')}.org/{i}", r.choice(["<article>{}</article>", "<main><div>{}</div></main>", "{}", "<div>{}"]).format(body) + r.choice(blocks) + f"<script>{i}</script>"))
+    rows += rows[-50:]
+    want = brute(rows)
+    assert texts(spark, rows) == want and sum(Counter(want).values()) == len(rows)
+    assert any(html.main_text(h or "", set()) != w for (_, h), w in zip(rows, want, strict=True))
+
+
+def test_the_article_of_each_page(spark):
+    """All pages of the smallest tables keep the sentences of their article, and nothing of menus and adverts."""
+    import re
+    from html import unescape
+
+    for r in html.extract(spark.read.parquet(f"{SMALL}/pages.parquet"), spark).join(spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*)</article>", r.html, re.S)[1]
+        article = re.sub(r"(?s)<(nav|aside|footer|form|script|style).*?</\1>", " ", article)
+        words = Counter(unescape(re.sub(r"(?s)<!--.*?-->|<[^>]*>", " ", article)).split())
+        assert not Counter(r.text.split()) - words and sum((words - Counter(r.text.split())).values()) <= 0.2 * sum(words.values()) + 20
