@@ -140,12 +140,12 @@ def parsed(html: str) -> tuple[list[Node], list[list[tuple[str, Node]]]]:
             n = n.parent
         return None
 
-    for m in TAG.finditer(html):
+    for m in TAG.finditer(html, 0, html.rfind(">") + 1):  # no tag ends later, and none is sought there
         if m.start() < at:
             continue
         if m.start() > at:
             say(html[at : m.start()])
-        at = m.end()
+        at = m.end() if not m[0].startswith("<!--") or m[0].endswith("-->") else len(html)
         tag = (m[2] or "").lower()
         if not tag:
             continue

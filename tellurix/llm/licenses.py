@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,35 +14,70 @@ from tellurix.llm.common import WordHashes, long_lists, per_batch, record_batch,
 # The base phrases and their labels.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-# The notices that the method looks for.
-NOTICES = {
+# Public licence texts by paragraph, and the notices that name a licence.
+AS_IS = "IS PROVIDED {} ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+TEMPLATES = {
     "mit": [
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
-        "Released under the MIT License",
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+        "Released under the MIT License", "Licensed under the MIT License",
     ],
     "apache": [
-        "Licensed under the Apache License, Version 2.0",
-        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
     ],
     "gpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "licensed under the GNU General Public License, version 3",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    ],
+    "lgpl": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "licensed under the GNU Lesser General Public License",
     ],
     "bsd": [
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "licensed under the BSD 3-Clause License",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE " + AS_IS.format("BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS"),
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+        "licensed under the BSD 3-Clause License", "licensed under the BSD 2-Clause License",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
+        "licensed under the ISC License",
+    ],
+    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "licensed under the Mozilla Public License, version 2.0"],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
+    "zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
     "cc-by": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by-sa": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "licensed under the Mozilla Public License, version 2.0"],
 }
+# Identifiers of licences, as in "SPDX-License-Identifier: MIT".
+SPDX = {
+    "mit": ["MIT"], "apache": ["Apache-2.0"], "gpl": ["GPL-2.0", "GPL-3.0"], "lgpl": ["LGPL-2.1", "LGPL-3.0"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "isc": ["ISC"], "mpl": ["MPL-2.0"],
+    "unlicense": ["Unlicense"], "zlib": ["Zlib"], "cc-by": ["CC-BY-4.0"], "cc-by-nc": ["CC-BY-NC-4.0"], "cc-by-sa": ["CC-BY-SA-4.0"],
+}
+NOTICES = {label: [*texts, *(f"SPDX-License-Identifier: {x}" for x in SPDX[label])] for label, texts in TEMPLATES.items()}
 
 #: Words in a k-gram; difference of diagonals and gap in words that are still one span; least part of a notice's words
-#: that a span must hold in place, and least part of the span's own words that these must be.
-K, SLACK, GAP = 3, 4, 8
+#: that a span must hold in order, and least part of the span's own words that these must be.
+K, SLACK, GAP = 4, 4, 8
 LEAST_HELD, LEAST_DENSE = 0.8, 0.6
+#: Notices of fewer words than this differ from each other in one, and must be held whole.
+SHORT = 12
+#: A candidate is looked at word by word when its k-grams hold this part of its notice.
+LEAST_VOTED = 0.4
 DELIMITERS = bytes(32 if c < 0x30 or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 
 
@@ -94,9 +131,10 @@ def spans(keyed: DataFrame, spark: SparkSession) -> DataFrame:
 
     Every k-gram of every text is joined to the notices' positions. A match votes for the diagonal text position -
     notice position; votes are added up by diagonal, and diagonals that lie within SLACK of the one before and within
-    GAP words of its span are one candidate, as words may be missing or put in. A candidate is verified by the notice's
-    words that its k-grams hold in place: LEAST_HELD of the notice and LEAST_DENSE of the span. Equal 64-bit hashes of
-    k words stand for equal words. A diagonal has at most as many votes as its notice has words, so no group is large.
+    GAP words of its span are one candidate, as words may be missing or put in. A candidate is verified word by word: its
+    words and a few on either side are aligned with the notice's, and must hold LEAST_HELD of these in order, as
+    LEAST_DENSE of their own; short notices must stand there whole. A diagonal has at most as many votes as its notice has words, so no group is large; only
+    texts with candidates meet them, a text's candidates being bounded by its words.
     """
     all_ = per_batch(keyed, grams, "key string, grams array<long>").select("key", F.posexplode("grams").alias("pos", "gram"))
     votes = all_.join(F.broadcast(notices(spark)), "gram")
@@ -108,8 +146,28 @@ def spans(keyed: DataFrame, spark: SparkSession) -> DataFrame:
     group = diagonal.withColumn("_g", F.sum(apart.cast("int")).over(w)).groupBy("key", "notice", "label", "size", "_g")
     merged = group.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.flatten(F.collect_list("held")).alias("held"))
     words = F.size(F.array_distinct(F.flatten(F.transform("held", lambda x: F.sequence(x, x + K - 1)))))
-    held = merged.select("key", "label", "start", "end", (words / F.col("size")).alias("held"), (words / (F.col("end") - F.col("start"))).alias("dense"))
-    return held.where((F.col("held") >= LEAST_HELD) & (F.col("dense") >= LEAST_DENSE)).drop("dense")
+    likely = merged.where(words >= LEAST_VOTED * F.col("size")).groupBy("key").agg(F.collect_set(F.struct("notice", "label", "start", "end")).alias("spans"))
+    return per_batch(keyed.join(likely, "key").dropDuplicates(["key"]), verified, "key string, label string, start int, end int, held double")
+
+
+def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Aligns each candidate's words with its notice's."""
+    out = []
+    texts = [words_of(x) for own in NOTICES.values() for x in own]
+    for key, text, spans_ in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "spans")), strict=True):
+        words = words_of(text)
+        for s in spans_:
+            notice = texts[s["notice"]]
+            lo, hi = max(0, s["start"] - SLACK), min(len(words), s["end"] + SLACK)
+            same = [(i, n) for i, _, n in SequenceMatcher(None, words[lo:hi], notice, autojunk=False).get_matching_blocks() if n]
+            held = sum(n for _, n in same)
+            start, end = (lo + same[0][0], lo + same[-1][0] + same[-1][1]) if same else (lo, hi)
+            least = (1, 1) if len(notice) < SHORT else (LEAST_HELD, LEAST_DENSE)
+            if held >= least[0] * len(notice) and held >= least[1] * (end - start):
+                out.append((key, s["label"], start, end, held / len(notice)))
+    columns = list(zip(*out, strict=True)) or [()] * 5
+    types = {"key": pa.string(), "label": pa.string(), "start": pa.int32(), "end": pa.int32(), "held": pa.float64()}
+    return record_batch({k: (list(v), t) for (k, t), v in zip(types.items(), columns, strict=True)})
 
 
 def scan(docs: DataFrame, spark: SparkSession) -> DataFrame:
@@ -118,7 +176,8 @@ def scan(docs: DataFrame, spark: SparkSession) -> DataFrame:
     a notice that the best span holds, else 0.
 
     A-Z are lower-cased. A null or empty text has no words, null places and empty labels; rows equal in id and text
-    have equal results. Only the few matching k-grams leave the first pass.
+    have equal results; very long texts are scanned whole; an empty table gives an empty one. Only the few matching
+    k-grams leave the first pass.
     """
     keyed = docs.select(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text")).alias("key"), "doc_id", "text")
     own = per_batch(keyed, base, "key string, doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels array<string>")

@@ -6,6 +6,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,13 @@ LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 KINDS = ("assign", "access", "hex", "markov")
 
-#: What the models may call a secret: runs of these characters, of this many or more.
+#: What the models may call a secret: parts of runs of these characters, of this many or more.
 RUN_CHARS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-LEAST_RUN = 20
+LEAST_RUN = 16
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RUN},}}")
-#: Log-likelihood ratio for each character above which a run is a secret.
-THRESHOLD = 0.5
+#: A part's characters count with their log-likelihood ratio (random over ordinary) less LEVEL; the sum must reach TOTAL, and
+#: twice that in a part without a digit, as letters alone are mostly words of a language the models have not seen.
+LEVEL, TOTAL = 0.4, 8.0
 #: Labelled samples of each kind that the models are trained on.
 SAMPLES = 4000
 
@@ -78,13 +80,40 @@ def encoded(text: str) -> np.ndarray:
     return PLACE[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
 
 
-def score(ratio: np.ndarray, text: str) -> float:
-    """Mean log-likelihood ratio of a string's characters."""
-    codes = encoded(text)
-    return float(ratio[np.r_[len(RUN_CHARS), codes[:-1]], codes].mean())
+@lru_cache(1)
+def model() -> np.ndarray:
+    """The ratios from SAMPLES labelled strings of each kind, trained once in a process, when first asked for."""
+    return trained(labelled(SAMPLES, seed=1))
 
 
-MODEL = trained(labelled(SAMPLES, seed=1))
+def random_parts(run: str) -> list[tuple[int, int]]:
+    """The parts of a run that are random strings: the part whose characters' ratios less LEVEL have the largest sum, if
+    that is large enough, widened to whole strings of letters and digits, and likewise what lies to both sides of it."""
+    codes = encoded(run)
+    gain = model()[np.r_[len(RUN_CHARS), codes[:-1]], codes] - LEVEL
+    out, todo = [], [(0, len(run))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < LEAST_RUN:
+            continue
+        sums = np.r_[0.0, np.cumsum(gain[lo:hi])]
+        rise = sums - np.minimum.accumulate(sums)
+        end = int(rise.argmax())
+        start = int(sums[: end + 1].argmin())
+        total, a, b = float(rise[end]), lo + start, lo + end
+        while a > lo and run[a - 1].isalnum():
+            a -= 1
+        while b < hi and run[b].isalnum():
+            b += 1
+        part = run[a:b]
+        letters, digits = any(map(str.isalpha, part)), any(map(str.isdigit, part))
+        if total < TOTAL:
+            continue
+        if b - a >= LEAST_RUN and letters and (digits or (total >= 2 * TOTAL and not part.islower() and not part.isupper())):
+            out.append((a, b))
+        todo += [(lo, a), (b, hi)]
+    return sorted(out)
+
 
 # One byte stands for the characters of a class, so that a run of the least length is found by a plain search.
 HEX_MAP = bytes(1 if c in b"0123456789abcdef" else 0 for c in range(256))
@@ -105,17 +134,16 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
 
 
 def markov_spans(text: str, raw: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs apart from the base spans that the models hold to be random; a run without a digit or without a letter is
-    not taken for one, as prose without blanks and long numbers are not secrets."""
+    """Random parts of runs, outside the base spans."""
     if b"\1" * LEAST_RUN not in raw.translate(RUN_MAP):
         return []
     out = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if any(s < m.end() and m.start() < e for s, _, e in base) or run.isalpha() or not any(map(str.isalpha, run)):
-            continue
-        if any(c.isdigit() for c in run) and score(MODEL, run) > THRESHOLD:
-            out.append((m.start(), 3, m.end()))
+        at = m.start()
+        for s, e in [(s, e) for s, _, e in base if s < m.end() and m.start() < e] + [(m.end(), m.end())]:
+            if s - at >= LEAST_RUN:
+                out += [(at + a, 3, at + b) for a, b in random_parts(text[at:s])]
+            at = max(at, e)
     return out
 
 
@@ -144,8 +172,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text; other columns are dropped) the secrets of its whole text.
 
     The base patterns are matched leftmost without overlap for each kind, and matches that are too short dropped. The
-    models add runs of 20 or more characters outside these. starts and ends are the spans' places in code points,
-    ends exclusive; spans lists them as kind:start:end. Null and empty texts have none. A map over rows: no shuffle.
+    models add random parts of 16 or more characters of the runs between these. starts and ends are the spans' places in code points,
+    ends exclusive; spans lists them as kind:start:end. Null and empty texts have none; very long
+    ones are scanned whole; repeated rows have equal results, and an empty table has none. A map over rows: no shuffle.
     """
     return per_batch(docs.select("doc_id", "text"), scanned, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, starts array<int>, ends array<int>")
 

@@ -50,3 +50,44 @@ def test_odd_documents(spark):
     out = sorted(repr((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels)) for r in licenses.scan(docs, spark).collect())
     assert out == sorted(repr((r.doc_id, *brute(r.text))) for r in docs.collect())
     assert licenses.scan(no_documents(spark), spark).count() == 0
+
+
+def test_whole_texts_identifiers_and_changed_words(spark):
+    mit, disclaimer = " ".join(licenses.TEMPLATES["mit"][:3]), licenses.TEMPLATES["bsd"][4]
+    texts = ["SPDX-License-Identifier: Apache-2.0", "// SPDX-License-Identifier: BSD-3-Clause", disclaimer, mit, licenses.TEMPLATES["lgpl"][0], "x " + licenses.TEMPLATES["zlib"][0].upper(), "permission to use the software"]
+    assert [r.labels for _, r in sorted(scan(spark, texts).items())] == ["apache", "bsd", "bsd", "mit", "gpl,lgpl", "zlib", ""]
+
+
+def brute_spans(text):
+    """Whether any window of the text, aligned with a notice, holds enough of it: best part by label."""
+    from difflib import SequenceMatcher
+
+    words, best = licenses.words_of(text), {}
+    for label, notices in licenses.NOTICES.items():
+        for notice in map(licenses.words_of, notices):
+            for at in range(0, max(1, len(words)), 1):
+                window = words[at : at + len(notice)]
+                if len(window) * 2 < len(notice) or window[:1] != notice[:1]:
+                    continue
+                held = sum(n for _, _, n in SequenceMatcher(None, window, notice, autojunk=False).get_matching_blocks())
+                if held >= (1 if len(notice) < licenses.SHORT else licenses.LEAST_HELD) * len(notice):
+                    best[label] = max(best.get(label, 0), held / len(notice))
+    return best
+
+
+def test_labels_against_brute_force(spark):
+    """Notices with one word left out, put in or changed in four, in prose."""
+    import random
+
+    r, texts = random.Random(4), []
+    every = [x for own in licenses.TEMPLATES.values() for x in own]
+    for _ in range(150):
+        w = r.choice(every).split()
+        for _ in range(r.randint(0, len(w) // 12)):
+            w[r.randrange(2, len(w))] = f"w{r.randint(0, 99)}"
+        texts.append(f"{PROSE[: r.randint(0, 200)]} {' '.join(w)} {PROSE[: r.randint(0, 99)]}")
+    out = scan(spark, texts)
+    for i, t in enumerate(texts):
+        want, base = brute_spans(t), set(filter(None, brute(t)[4].split(",")))
+        assert set(filter(None, out[i].labels.split(","))) >= set(want) | base, t
+        assert out[i].score == (1.0 if base else out[i].score) and (base or not want or out[i].score >= max(want.values()) - 0.1)  # longest blocks first: windows differ a little

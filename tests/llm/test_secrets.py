@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 
+import duckdb
+from helpers import SMALL
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from odd import no_documents, odd_documents
@@ -30,11 +34,31 @@ def test_base_spans(pieces):
     assert secrets.base_spans(text, text.encode()) == brute(text)
 
 
+def markov(t):
+    return [(s, e) for s, _, e in secrets.markov_spans(t, t.encode(), secrets.base_spans(t, t.encode()))]
+
+
 def test_models_on_held_out_samples():
     held = secrets.labelled(3000, seed=99)
-    right = [(secrets.score(secrets.MODEL, t) > secrets.THRESHOLD) == bool(label) for t, label in held]
-    false = [t for t, label in held if not label and len(t) >= secrets.LEAST_RUN and secrets.markov_spans(t, t.encode(), [])]
-    assert sum(right) >= 0.97 * len(right) and len(false) <= 0.02 * len(held)
+    found = [(bool(markov("x " + t) or secrets.base_spans(t, t.encode())), label) for t, label in held]
+    assert sum(f for f, label in found if label) >= 0.95 * 3000 and sum(f for f, label in found if not label) <= 0.01 * 3000
+
+
+def test_models_on_keys_planted_into_texts_of_their_own():
+    """Keys of alphabets by other rules, alone, at the end of paths and beside base spans, in prose that nothing was
+    trained on: what is found, and what else."""
+    docs = [t for (t,) in duckdb.sql(f"SELECT text FROM '{SMALL}/documents.parquet' ORDER BY doc_id").fetchall()]
+    r, hits, places, false = random.Random(11), 0, 0, 0
+    alphabets = [string.ascii_letters + string.digits, string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits]
+    for i, t in enumerate(docs * 3):
+        key = "".join(r.choice(alphabets[i % 3]) for _ in range(r.choice([20, 24, 32, 40])))
+        before = ["key ", "https://h.io/services/webhooks/incoming/notifications/project/", f"{'AKIA' + 'Q' * 16}/", "a/very/long_path-to/some/"][i % 4]
+        at = r.choice([x for x, c in enumerate(t) if c in " \n"] or [len(t)])
+        found = markov(t[:at] + f" {before}{key} " + t[at:])
+        start = at + 1 + len(before)
+        hit = [x for x in found if x[0] <= start and start + len(key) <= x[1]]
+        hits, places, false = hits + bool(hit), places + 1, false + len(found) - len(hit)
+    assert hits >= 0.97 * places and false <= 0.02 * places
 
 
 def test_models_add_spans_and_leave_prose(spark):
