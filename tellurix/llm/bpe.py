@@ -4,7 +4,7 @@ once, and the words that chunk borders cut are put together and encoded again.""
 from __future__ import annotations
 
 import hashlib
-import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -23,6 +23,7 @@ MEAN_BITS, LEAST = 10, 256
 #: Encoded words that a worker remembers at a time.
 MEMO = 400_000
 GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32)
+WORDS = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 SPACES = b" \t\n\r\x0b\x0c"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
@@ -52,26 +53,64 @@ def body(raw: bytes, start: int, end: int) -> tuple[int, int] | None:
 
 
 class Words(dict):
-    """A word's ids, as 2 or 4 bytes each. White space ends every piece that merges can reach in this tokenizer, so a
-    word's ids are the same in every text."""
+    """A word's ids, as 2 or 4 bytes each. White space ends every piece that merges can reach in such a tokenizer, so a
+    word's ids are the same in every text; that this is so is tried out on its own pieces when it is read."""
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
-        with open(path) as f:
-            kind = json.load(f)
-        marks = json.dumps(kind["normalizer"]) + json.dumps(kind["pre_tokenizer"])
-        if kind["decoder"] is not None or kind["post_processor"] is not None or "\\\\s" not in marks or any(x.isspace() for t in kind["added_tokens"] for x in t["content"]):
-            raise ValueError(f"{path}: not a tokenizer that drops white space and has no decoder")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tried(path)
         n = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if n <= 1 << 16 else np.uint32
         self.decimal = [str(i).encode() for i in range(n)]
         self.piece = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(n)]
 
+    def plain(self, raw: bytes) -> list[int]:
+        return self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids
+
+    def tried(self, path: str) -> None:
+        """Raises unless words around each kind of white space have the ids that they have alone, and ids decode to their
+        pieces with blanks between: tried on pieces from all over the vocabulary, in ASCII and other scripts, and on marks."""
+        n = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        probes = [self.tokenizer.id_to_token(i) or "" for i in range(0, n, max(1, n // 300))] + ["don't", "a.b,c", "１２", "é", "x\u00a0y", "#", "😀"]
+        probes = [x.encode() for p in probes for x in p.split()]
+        alone = [self.plain(x) for x in probes]
+        for space in (" ", "\n", "\t", "\r", "\x0b", "\x0c", "  \n"):
+            if self.plain(space.join(x.decode() for x in probes).encode()) != [i for ids in alone for i in ids] or self.plain(space.encode()):
+                raise ValueError(f"{path}: a word's ids depend on what stands beyond {space!r}")
+        ids = [i for some in alone for i in some]
+        if self.tokenizer.decode(ids, skip_special_tokens=False) != " ".join(self.tokenizer.id_to_token(i) or "" for i in ids):
+            raise ValueError(f"{path}: not a tokenizer that decodes to its pieces with blanks between")
+
+    def settled(self, raw: bytes, at: int, first: int, last: int, end: int) -> tuple[int, int, int, int] | None:
+        """Where in a chunk's body from `first` to `last` the ids that it has by itself begin and end to hold in a text, and
+        how many of its ids come before and after; None if nowhere. At each join, the word of the text beside the body
+        (which the chunk border may have cut, and which stands between `at` and `end`) is encoded again together
+        with words of the body, one more, then two, four and so on, until the last of these has the ids that it has
+        alone: from there on the ids agree exactly, and the words before it go to the text around."""
+        words = [(m.start(), m.end()) for m in WORDS.finditer(raw, first, last)]
+        beside = [(m.start(), m.end()) for m in WORDS.finditer(raw, at, first)][-1:], [m.span() for m in (WORDS.search(raw, last, end),) if m]
+        cuts = []
+        for side, order in zip(beside, (words, words[::-1]), strict=True):
+            n = 0
+            while side and n < len(order):
+                a, b = order[n]
+                left = order is words
+                lo, hi = (side[0][0], b) if left else (a, side[0][1])
+                own, around = self.plain(raw[a:b]), self.plain(raw[lo:a] if left else raw[b:hi])
+                if self.plain(raw[lo:hi]) == (around + own if left else own + around):
+                    break
+                n = max(1, 2 * n)
+            cuts.append(n)
+        if not words or sum(cuts) >= len(words):
+            return None
+        head, tail = (sum(len(self[raw[a:b]]) for a, b in x) // self.kind().itemsize for x in (words[: cuts[0]], words[len(words) - cuts[1] :]))
+        return (words[cuts[0]][0] if cuts[0] else first, words[-1 - cuts[1]][1] if cuts[1] else last, head, tail)
+
     def __missing__(self, word: bytes) -> bytes:
         self[word] = ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
         return ids
@@ -111,29 +150,34 @@ def encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, z = words(path), zstandard.ZstdCompressor(1)
         for b in batches:
-            cols = {k: [] for k in ("n", "ids_sha256", "decoded_sha256", "own", "need", "gave_hash", "gave")}
+            cols = {k: [] for k in ("n", "ids_sha256", "decoded_sha256", "own", "need", "head", "tail", "gave_hash", "gave")}
             for text, shared in zip(b.column("text").to_pylist(), b.column("shared").to_pylist(), strict=True):
                 raw = (text or "").encode()
-                at, run_, own, need, gave = 0, [], [], [], {}
-                for s in shared or []:
+                at, run_, own, need, head, tail, gave, size = 0, [], [], [], [], [], {}, w.kind().itemsize
+                for s, after in zip(shared or [], [*(shared or []), None][1:], strict=True):
                     first, last = body(raw, s["from"], s["to"])
-                    run_.append(w.encode(raw[at:first]))
                     if s["owned"]:
                         gave[s["hash"]] = w.encode(raw[first:last])
-                        run_.append(gave[s["hash"]])
-                    elif s["hash"] in gave:
-                        run_.append(gave[s["hash"]])
+                    held = w.settled(raw, at, first, last, body(raw, after["from"], after["to"])[0] if after else len(raw))
+                    if held is None:  # the joins never agree: the chunk is encoded with the text around
+                        continue
+                    start, end, skip, drop = held
+                    run_.append(w.encode(raw[at:start]))
+                    if s["hash"] in gave:
+                        run_.append(gave[s["hash"]][skip * size : len(gave[s["hash"]]) - drop * size])
                     else:
                         own.append(b"".join(run_))
                         need.append(s["hash"])
+                        head.append(skip)
+                        tail.append(drop)
                         run_ = []
-                    at = last
+                    at = end
                 run_.append(w.encode(raw[at:]))
                 done = w.digests(b"".join(run_)) if not need else (None, None, None)
                 own.append(b"".join(run_))
-                for k, v in zip(cols, (*done, [z.compress(x) for x in own] if need else None, need or None, list(gave), [z.compress(x) for x in gave.values()]), strict=True):
+                for k, v in zip(cols, (*done, [z.compress(x) for x in own] if need else None, need or None, head, tail, list(gave), [z.compress(x) for x in gave.values()]), strict=True):
                     cols[k].append(v)
-            types = (pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.binary())] * 4)
+            types = (pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.binary())] * 2, *[pa.list_(pa.int32())] * 2, *[pa.list_(pa.binary())] * 2)
             yield record_batch({"key": (b.column("key"), pa.string())} | {k: (v, t) for (k, v), t in zip(cols.items(), types, strict=True)})
 
     return run
@@ -149,7 +193,8 @@ def joined(path: str):
             for own, got in zip(b.column("own").to_pylist(), b.column("got").to_pylist(), strict=True):
                 ids = [z.decompress(own[0])]
                 for x, after in zip(got, own[1:], strict=True):
-                    ids += [z.decompress(x["ids"]), z.decompress(after)]
+                    lent, size = z.decompress(x["ids"]), w.kind().itemsize
+                    ids += [lent[x["head"] * size : len(lent) - x["tail"] * size], z.decompress(after)]
                 out.append(w.digests(b"".join(ids)))
             n, a, d = zip(*out, strict=True) if out else ((), (), ())
             yield record_batch({"key": (b.column("key"), pa.string()), "n": (list(n), pa.int64()), "ids_sha256": (list(a), pa.string()), "decoded_sha256": (list(d), pa.string())})
@@ -160,14 +205,15 @@ def joined(path: str):
 def encode(docs: DataFrame, spark: SparkSession, tokenizer: str) -> DataFrame:
     """Per row of `docs` (doc_id, text; other columns are dropped): doc_id, n_tokens, ids_sha256, decoded_sha256, the
     digests being of the decimal ids and of the decoded text. `tokenizer` is a file's path, the same on all executors.
-    A null text is an empty one; rows equal in id and text have equal results; an id may be null or repeated.
+    A null text is an empty one; rows equal in id and text have equal results; an id may be null or repeated; very long
+    texts are encoded whole, and an empty table gives an empty one.
 
     1. Each text is cut into chunks by a rolling hash; only chunk hashes leave the first pass.
     2. Chunks found in several places get the first of these as their owner.
     3. Each text meets its list of such chunks. It encodes all other text, and the chunks it owns. A chunk's ids are
-       those of its body, from its first to its last white space: there, encoding agrees exactly with that of the
-       whole text. The cut words on either side count to the text around, which is encoded across chunk borders as far
-       as the next body on each side.
+       those of its body, from its first to its last white space. Each join of a body with the text around, whose words
+       the chunk border cut, is repaired: words on both sides are encoded again together, more and more of them, until
+       the ids agree exactly with the body's own, and what comes before that goes to the text around.
     4. The ids of owned chunks go to the texts that borrow them.
     Texts move once; a chunk held by a third of all texts is joined as a row, not gathered.
     """
@@ -180,14 +226,14 @@ def encode(docs: DataFrame, spark: SparkSession, tokenizer: str) -> DataFrame:
     lists = places.join(shared, "hash").groupBy("key").agg(F.array_sort(F.collect_set(F.struct("from", "to", "hash", owned.alias("owned")))).alias("shared"))
     lists = scratch.table(lists, "lists")
     parts = keyed.select("key", "text").join(lists, "key", "left").mapInArrow(
-        encoded(tokenizer), "key string, n long, ids_sha256 string, decoded_sha256 string, own array<binary>, need array<binary>, gave_hash array<binary>, gave array<binary>"
+        encoded(tokenizer), "key string, n long, ids_sha256 string, decoded_sha256 string, own array<binary>, need array<binary>, head array<int>, tail array<int>, gave_hash array<binary>, gave array<binary>"
     )
     parts = scratch.table(parts, "parts")
     scratch.drop(shared, lists)
     gave = parts.where(F.size("gave") > 0).select(F.inline(F.arrays_zip("gave_hash", "gave"))).toDF("hash", "ids")
     waiting = parts.where("need is not null")
-    wanted = waiting.select("key", F.posexplode("need").alias("at", "hash")).join(gave, "hash")
-    got = wanted.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "ids"))).alias("got"))
+    wanted = waiting.select("key", F.posexplode(F.arrays_zip(F.col("need").alias("hash"), "head", "tail")).alias("at", "x")).select("key", "at", "x.*").join(gave, "hash")
+    got = wanted.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("at", "ids", "head", "tail"))).alias("got"))
     late = waiting.select("key", "own").join(got, "key").mapInArrow(joined(tokenizer), "key string, n long, ids_sha256 string, decoded_sha256 string")
     done = parts.where("need is null").select("key", "n", "ids_sha256", "decoded_sha256").union(late).dropDuplicates(["key"])
     out = scratch.table(cut.select("key", "doc_id").join(done, "key").select("doc_id", F.col("n").alias("n_tokens"), "ids_sha256", "decoded_sha256"), "result")

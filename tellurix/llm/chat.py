@@ -44,27 +44,58 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """A level for each call (conv_id, call_id, position, arguments), so that (level, position) puts each call after those
     that it refers to: conv_id, call_id, level, cyclic.
 
-    A reference to an earlier call needs no higher level than that call's, one to a later call the next, and levels are
-    raised along references until none changes: at once where all references point back. A call is on or behind
-    a cycle when its level exceeds the number of its conversation's forward references; it is left at that.
+    A reference to an earlier call needs no higher level than that call's, one to a later call the next. A call on or
+    behind a cycle is cyclic, and has the number of its conversation's forward references and one more.
+
+    Conversations without forward references need nothing. In the others, calls with one reference are a step of a
+    chain: chains are doubled, a step of 2^k calls joined with the one that it ends at, until they end at a call with
+    none or several, in as many rounds as the logarithm of the longest chain; a chain still open when it has more steps
+    than its conversation has such calls runs into a cycle. Then calls with several references get their level once
+    all that they refer to have theirs, in as many rounds as such calls stand behind each other; who never gets one is
+    cyclic, however long the cycle.
     """
     nodes = calls.select("conv_id", "call_id", "position")
     refs = calls.select("conv_id", "call_id", "position", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("to"))
     edges = refs.join(nodes.select("conv_id", F.col("call_id").alias("to"), F.col("position").alias("to_position")), ["conv_id", "to"])
-    edges = scratch.table(edges.select("conv_id", "call_id", "to", (F.col("to_position") >= F.col("position")).cast("int").alias("step")), "references")
-    if not edges.where("step = 1").limit(1).count():
-        return nodes.select("conv_id", "call_id", F.lit(0).alias("level"), F.lit(False).alias("cyclic"))
-    most = scratch.table(edges.groupBy("conv_id").agg(F.sum("step").alias("most")), "forward")
-    now = scratch.table(edges.select("conv_id", "call_id").union(edges.select("conv_id", "to")).distinct().join(most, "conv_id").withColumn("level", F.lit(0)), "levels")
+    step = F.coalesce(F.col("to_position") >= F.col("position"), F.lit(True))  # without a place in the conversation, a call is taken for later
+    edges = scratch.table(edges.select("conv_id", "call_id", "to", step.cast("int").alias("step")), "references")
+    most = scratch.table(edges.groupBy("conv_id").agg(F.sum("step").alias("most")).where("most > 0"), "forward")
+    flat = nodes.select("conv_id", "call_id")
+    if most.isEmpty():
+        return flat.withColumns({"level": F.lit(0), "cyclic": F.lit(False)})
+    edges = edges.join(most.select("conv_id"), "conv_id")
+    degree = edges.groupBy("conv_id", "call_id").agg(F.count("*").alias("out"))
+    edges = scratch.table(edges.join(degree, ["conv_id", "call_id"]), "edges")
+
+    chains = scratch.table(edges.where("out = 1").select("conv_id", "call_id", "to", F.col("step").cast("long").alias("step")), "chains")
+    longest = chains.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    steps = 1
+    while steps <= longest:
+        on = chains.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("end"), F.col("step").alias("more"))
+        after = chains.join(on, ["conv_id", "to"], "left").select("conv_id", "call_id", F.coalesce("end", "to").alias("to"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"))
+        chains, steps = scratch.table(after, "chains"), 2 * steps
+
+    single = chains.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("end"), F.col("step").alias("more"))
+    several = edges.where("out > 1").join(single, ["conv_id", "to"], "left")
+    several = several.select("conv_id", "call_id", F.coalesce("end", "to").alias("to"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"))
+    several = scratch.table(several, "several")  # what a cycle's chain ends at is a step of it, and never has a level
+    sources = edges.select("conv_id", "call_id").distinct()
+    known = edges.select("conv_id", F.col("to").alias("call_id")).distinct().join(sources, ["conv_id", "call_id"], "left_anti")
+    known = scratch.table(known.withColumn("level", F.lit(0).cast("long")), "known")
     while True:
-        raised = edges.join(now.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"]).groupBy("conv_id", "call_id").agg(F.max(F.col("level") + F.col("step")).alias("up"))
-        after = now.join(raised, ["conv_id", "call_id"], "left")
-        after = scratch.table(after.select("conv_id", "call_id", "most", F.col("level").alias("was"), F.least(F.greatest("level", F.coalesce("up", F.lit(0))), F.col("most") + 1).alias("level")), "levels")
-        if not after.where("level > was").limit(1).count():
-            out = nodes.join(after, ["conv_id", "call_id"], "left")
-            return out.select("conv_id", "call_id", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce(F.col("level") > F.col("most"), F.lit(False)).alias("cyclic"))
-        scratch.drop(now)
-        now = after
+        met = several.join(known.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left")
+        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("have"), F.max(F.col("level") + F.col("step")).alias("level")).where("n = have")
+        ready = scratch.table(ready.select("conv_id", "call_id", "level"), "ready")
+        if ready.isEmpty():
+            break
+        known = known.union(ready)
+        several = scratch.table(several.join(ready, ["conv_id", "call_id"], "left_anti"), "several")
+    ends = known.select("conv_id", F.col("call_id").alias("to"), "level")
+    known = known.union(chains.join(ends, ["conv_id", "to"]).select("conv_id", "call_id", (F.col("level") + F.col("step")).alias("level")))
+    out = flat.join(most, "conv_id", "left").join(known, ["conv_id", "call_id"], "left").join(sources.withColumn("refers", F.lit(True)), ["conv_id", "call_id"], "left")
+    cyclic = F.col("level").isNull() & F.col("refers").isNotNull()
+    level = F.when(cyclic, F.col("most") + 1).otherwise(F.coalesce("level", F.lit(0))).cast("int")
+    return out.select("conv_id", "call_id", level.alias("level"), cyclic.alias("cyclic"))
 
 
 def first_of(df: DataFrame, *rest: str) -> DataFrame:
@@ -80,7 +111,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema], spark
     then call_id), call_id, status, problems and message, the canonical JSON (keys sorted, no blanks, null fields left
     out) of call, arguments and result. status is ok, invalid, unanswered, cyclic, early (the result stands before its
     call) or orphan (a result without a call). Of rows that repeat an id in a conversation the first counts, by
-    position and then by content. Rows with a null id are left out, as nothing can link them; a null conversation is one.
+    position (null first) and then by content. Rows with a null id are left out, as nothing can link them; a null
+    conversation is one. Arguments that are no JSON, or more than a variant holds, are invalid, and stand in the
+    message as the text that they are; very long contents stand there whole. Empty tables give an empty one.
 
     The join is on conversation and id, both sides unique on them, so a conversation with a third of all rows is
     spread by its ids, and no conversation is gathered: its order is a pair of columns.
@@ -96,27 +129,45 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, Schema], spark
         F.when(F.col("called").isNull(), "orphan").when(F.col("cyclic"), "cyclic").when(F.size("problems") > 0, "invalid")
         .when(F.col("answered").isNull(), "unanswered").when(F.col("result_position") < F.col("position"), "early").otherwise("ok")
     )
-    parsed = F.coalesce(F.try_parse_json("arguments"), F.try_parse_json(F.to_json(F.struct(F.col("arguments").alias("raw")))))
-    call = F.when(F.col("called"), F.struct(F.col("call_id").alias("id"), "name", parsed.alias("arguments")))
-    result = F.when(F.col("answered"), F.struct(F.col("call_id").alias("call_id"), "content"))
-    message = F.to_json(F.parse_json(F.to_json(F.struct(call.alias("call"), result.alias("result"), F.col("status")))))
+    # canonical arguments are put together with the rest as text, so that no message has to fit into one variant
+    parsed = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.struct(F.col("arguments").alias("raw"))))
+    text = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(c))) - 2)
+    field = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), value))
+    block = lambda *fields: F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
+    some = lambda c: F.when(F.col(c).isNotNull(), text(F.col(c)))
+    call = F.when(F.col("called"), block(field("arguments", parsed), field("id", some("call_id")), field("name", some("name"))))
+    result = F.when(F.col("answered"), block(field("call_id", some("call_id")), field("content", some("content"))))
+    message = block(field("call", call), field("result", result), field("status", text(F.col("status"))))
     out = out.withColumn("problems", wrong).withColumn("status", status)
     out = out.select("conv_id", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("position", "result_position").alias("position"), "call_id", "status", "problems", message.alias("message"))
     return scratch.table(out, "linked")
 
 
 def turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The exchanges of plain conversations (conv_id, turn, role, text) as calls of the tool `reply` and their results: a
-    user's turn t asks and refers to the call of turn t - 2, an assistant's turn t answers turn t - 1. Other roles do
-    neither."""
-    id_ = lambda at: F.concat(F.lit("t"), F.col("turn") - at)
+    """The exchanges of plain conversations (conv_id, turn, role, text), which hold no tool calls, as such by rule: a user's
+    turn is a call of the tool `reply`, and an assistant's turn t the result of turn t - 1. Other roles do neither.
+
+    With r = turn div 2 mod 5, a call refers to nothing (r = 4), or to turns after it: t + 2 and t + 6 (0), t + 2 (1),
+    t + 4 (2); or before it: t - 2 (3). In every seventh conversation, r = 4 refers to t - 4, which closes a cycle.
+    Every eleventh turn calls an unknown tool; a text of a multiple of 13 characters is left out of the arguments, the
+    `limit` of r = 3 is no integer, and r = 1 has an argument that the schema doesn't know.
+    """
+    id_ = lambda at: F.concat(F.lit("t"), F.col("turn") + at)
+    ref = lambda at: F.concat(F.lit("$"), id_(at))
     user, assistant = (conversations.where((F.col("role") == r) & F.col("turn").isNotNull()) for r in ("user", "assistant"))
-    arguments = F.to_json(F.struct(F.col("text").alias("prompt"), F.when(F.col("turn") >= 2, F.concat(F.lit("$"), id_(2))).alias("after")))
-    calls = user.select("conv_id", id_(0).alias("call_id"), F.col("turn").alias("position"), F.lit("reply").alias("name"), arguments.alias("arguments"))
-    return calls, assistant.select("conv_id", id_(1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
+    r = F.expr("turn div 2") % 5
+    after = F.when(r <= 1, ref(2)).when(r == 2, ref(4)).when(r == 3, ref(-2)).when(F.col("conv_id") % 7 == 3, ref(-4))
+    plain = F.to_json(F.struct(
+        after.alias("after"), F.when(r == 0, ref(6)).alias("also"), F.when(r == 1, F.lit(True)).alias("extra"), F.when(r != 3, F.col("turn")).alias("limit"),
+        F.when(F.length("text") % 13 != 0, F.col("text")).alias("prompt"),
+    ))
+    arguments = F.when(r == 3, F.concat(F.lit('{"limit":"x",'), F.substring(plain, 2, 1 << 30))).otherwise(plain)
+    name = F.when(F.col("turn") % 11 == 0, "answer").otherwise("reply")
+    calls = user.select("conv_id", id_(0).alias("call_id"), F.col("turn").alias("position"), name.alias("name"), arguments.alias("arguments"))
+    return calls, assistant.select("conv_id", id_(-1).alias("call_id"), F.col("turn").alias("position"), F.col("text").alias("content"))
 
 
-REPLY: dict[str, Schema] = {"reply": {"prompt": ("string", True), "after": ("string", False)}}
+REPLY: dict[str, Schema] = {"reply": {"prompt": ("string", True), "after": ("string", False), "also": ("string", False), "limit": ("integer", False)}}
 
 
 def op2(conversations: DataFrame, spark: SparkSession) -> DataFrame:
@@ -124,17 +175,36 @@ def op2(conversations: DataFrame, spark: SparkSession) -> DataFrame:
 
 
 SQL = """
-WITH c AS (SELECT conv_id, 't' || turn AS call_id, turn, text,
-                  CASE WHEN turn >= 2 THEN '$t' || (turn - 2) END AS after FROM conversations WHERE role = 'user'),
+WITH RECURSIVE u AS (SELECT conv_id, turn, text, turn // 2 % 5 AS r FROM conversations WHERE role = 'user'),
+c AS (
+  SELECT *, CASE WHEN r <= 1 THEN turn + 2 WHEN r = 2 THEN turn + 4 WHEN r = 3 THEN turn - 2 WHEN conv_id % 7 = 3 THEN turn - 4 END AS after,
+         CASE WHEN r = 0 THEN turn + 6 END AS also FROM u),
+e AS (
+  SELECT a.conv_id, a.turn, a.x AS to_turn, (a.x >= a.turn)::INTEGER AS step
+  FROM (SELECT conv_id, turn, after AS x FROM c UNION SELECT conv_id, turn, also FROM c) a JOIN c d ON d.conv_id = a.conv_id AND d.turn = a.x),
+walk AS (
+  SELECT conv_id, turn, turn AS at, 0 AS level, 0 AS n FROM c
+  UNION SELECT w.conv_id, w.turn, e.to_turn, w.level + e.step, n + 1 FROM walk w JOIN e ON e.conv_id = w.conv_id AND e.turn = w.at WHERE n < 12),
+most AS (SELECT conv_id, sum(step) AS most FROM e GROUP BY conv_id),
+lv AS (
+  SELECT walk.conv_id, walk.turn, max(n) = 12 AS cyclic, CASE WHEN max(n) = 12 THEN any_value(most) + 1 ELSE max(level) END::INTEGER AS level
+  FROM walk LEFT JOIN most ON most.conv_id = walk.conv_id GROUP BY walk.conv_id, walk.turn),
+k AS (
+  SELECT c.conv_id, c.turn, 't' || c.turn AS call_id, CASE WHEN c.turn % 11 = 0 THEN 'answer' ELSE 'reply' END AS name, lv.level, lv.cyclic,
+         CASE WHEN c.turn % 11 = 0 THEN 'unknown tool' ELSE array_to_string(list_filter([CASE WHEN length(text) % 13 = 0 THEN 'missing prompt' END,
+           CASE WHEN r = 3 THEN 'limit is no integer' END, CASE WHEN r = 1 THEN 'unknown extra' END], lambda x: x IS NOT NULL), ',') END AS problems,
+         '{' || array_to_string(list_filter([
+           CASE WHEN after IS NOT NULL THEN '"after":"$t' || after || '"' END, CASE WHEN also IS NOT NULL THEN '"also":"$t' || also || '"' END, CASE WHEN r = 1 THEN '"extra":true' END,
+           CASE WHEN r = 3 THEN '"limit":"x"' ELSE '"limit":' || c.turn END, CASE WHEN length(text) % 13 <> 0 THEN '"prompt":' || to_json(text) END], lambda x: x IS NOT NULL), ',') || '}' AS arguments
+  FROM c JOIN lv ON lv.conv_id = c.conv_id AND lv.turn = c.turn),
 r AS (SELECT conv_id, 't' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'),
 j AS (
-  SELECT coalesce(c.conv_id, r.conv_id)::VARCHAR AS conv_id, coalesce(c.turn, r.turn) AS position, coalesce(c.call_id, r.call_id) AS call_id,
-         CASE WHEN c.turn IS NULL THEN 'orphan' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
-         c.text AS prompt, c.after AS after, r.text AS content, c.turn IS NOT NULL AS called, r.turn IS NOT NULL AS answered
-  FROM c FULL JOIN r ON c.conv_id = r.conv_id AND c.call_id = r.call_id)
-SELECT conv_id, 0 AS level, position, call_id, status, '' AS problems,
-       '{' || CASE WHEN called THEN '"call":{"arguments":{' || CASE WHEN after IS NULL THEN '' ELSE '"after":' || to_json(after) || ',' END
-                || '"prompt":' || to_json(prompt) || '},"id":' || to_json(call_id) || ',"name":"reply"},' ELSE '' END
+  SELECT coalesce(k.conv_id, r.conv_id)::VARCHAR AS conv_id, coalesce(level, 0) AS level, coalesce(k.turn, r.turn) AS position, coalesce(k.call_id, r.call_id) AS call_id, coalesce(problems, '') AS problems,
+         CASE WHEN k.turn IS NULL THEN 'orphan' WHEN cyclic THEN 'cyclic' WHEN problems <> '' THEN 'invalid' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+         name, arguments, r.text AS content, k.turn IS NOT NULL AS called, r.turn IS NOT NULL AS answered
+  FROM k FULL JOIN r ON k.conv_id = r.conv_id AND k.call_id = r.call_id)
+SELECT conv_id, level, position, call_id, status, problems,
+       '{' || CASE WHEN called THEN '"call":{"arguments":' || arguments || ',"id":' || to_json(call_id) || ',"name":"' || name || '"},' ELSE '' END
            || CASE WHEN answered THEN '"result":{"call_id":' || to_json(call_id) || ',"content":' || to_json(content) || '},' ELSE '' END
            || '"status":"' || status || '"}' AS message
 FROM j

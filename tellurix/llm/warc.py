@@ -5,13 +5,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +23,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD_ID = "urn:tellurix:page:"
 #: Level of compression of each record, and archives that a merging task has open at a time.
 LEVEL, OPEN = 3, 64
-INDEX = "url_key string, timestamp string, page_id long, run string, at long, file string, offset long, length long"
-CAPTURES = "page_id long, url_key string, timestamp string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long"
+#: Bytes of records that a merging task reads back, about, and bytes that it holds of all runs' index files at a time.
+TASK_BYTES, BUFFER = 64 << 20, 64 << 20
+INDEX = "url_key string, timestamp string, page_id long, run string, `from` long, `to` long, length long"
+CAPTURES = "page_id long, url_key string, timestamp string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, part int, place long"
 
 
 def url_key(url: Column) -> Column:
@@ -64,38 +66,58 @@ def number(name: str) -> int | None:
     return int(digits) if digits else None
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a URI, by pyarrow, as tasks have no JVM. Names that Spark has for S3 are S3's here."""
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
 def written(folder: str):
-    """Writes a task's rows as one archive, and yields their index rows. A second attempt of a task writes another file,
-    and only the rows of the attempt that Spark commits name one."""
+    """Writes a task's rows, which come sorted, as one archive and one index file, and yields the index rows with their bytes'
+    places in that file. A second attempt of a task writes other files, and only the rows of the attempt that Spark
+    commits name them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = fs.FileSystem.from_uri(folder)
-        name, out, offset, at = f"{uuid.uuid4().hex}.warc.gz", None, 0, 0
+        store, path = opened(folder)
+        name, out, index, offset, at = uuid.uuid4().hex, None, None, 0, 0
         for b in batches:
             if b.num_rows and out is None:
                 store.create_dir(path, recursive=True)
-                out = store.open_output_stream(f"{path}/{name}", compression=None)
-            offsets, lengths = [], []
+                out, index = (store.open_output_stream(f"{path}/{name}{x}", compression=None) for x in (".warc.gz", ".index"))
+            starts, ends, lengths = [], [], []
             payloads = b.column("html").cast(pa.binary())
-            rest = [b.column(c).to_pylist() for c in ("url", "page_id", "timestamp", "digest", "refers_to")]
-            for i, (url, page_id, when, digest, refers_to) in enumerate(zip(*rest, strict=True)):
+            rest = [b.column(c).to_pylist() for c in ("url_key", "url", "page_id", "timestamp", "digest", "refers_to")]
+            for i, (key, url, page_id, when, digest, refers_to) in enumerate(zip(*rest, strict=True)):
                 data = record(url, page_id, when, payloads[i].as_py() or b"", base64.b32encode(bytes.fromhex(digest)).decode(), refers_to)
+                line = json.dumps([key, when, page_id, offset, len(data)], ensure_ascii=False).encode() + b"\n"
                 out.write(data)
-                offsets.append(offset)
+                index.write(line)
+                starts.append(at)
+                ends.append(at := at + len(line))
                 lengths.append(len(data))
                 offset += len(data)
-            n = b.num_rows
-            yield record_batch(
-                {c: (b.column(c), t) for c, t in (("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()))}
-                | {"run": ([name[:32]] * n, pa.string()), "at": (list(range(at, at + n)), pa.int64()), "file": ([f"{folder}/{name}"] * n, pa.string()), "offset": (offsets, pa.int64()), "length": (lengths, pa.int64())}
-            )
-            at += n
+            own = {c: (b.column(c), t) for c, t in (("url_key", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()))}
+            yield record_batch(own | {"run": ([name] * b.num_rows, pa.string()), "from": (starts, pa.int64()), "to": (ends, pa.int64()), "length": (lengths, pa.int64())})
         if out is not None:
             out.close()
+            index.close()
 
     return run
 
 
+def index_rows(folder: str, run: str, start: int, end: int, block: int) -> Iterator[tuple]:
+    """The rows of a sorted run's index file between two places, as (key, archive, offset, length), read block by block."""
+    store, path = opened(folder)
+    with store.open_input_file(f"{path}/{run}.index") as f:
+        rest = b""
+        while start < end:
+            data = f.read_at(min(block, end - start), start)
+            start += len(data)
+            *lines, rest = (rest + data).split(b"\n")
+            for line in lines:
+                key, when, page_id, offset, length = json.loads(line)
+                yield (key, when is not None, when or "", page_id is not None, page_id or 0), run, offset, length
+
+
 class LoserTree:
     """Merges sorted sequences. Each inner node keeps the loser of the match between its subtrees' winners, so that after
     the winner's next key only the matches on its own path are played again."""
@@ -136,7 +158,7 @@ class Archives:
 
     def read(self, file: str, offset: int, length: int) -> bytes:
         if file not in self.open:
-            store, path = fs.FileSystem.from_uri(file)
+            store, path = opened(file)
             self.open[file] = store.open_input_file(path)
             if len(self.open) > OPEN:
                 self.open.popitem(last=False)[1].close()
@@ -144,38 +166,41 @@ class Archives:
         return self.open[file].read_at(length, offset)
 
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merges the runs' slices of one key range, and reads each record back in that order. As each archive is sorted by
-    the same key, a slice's records stand one after the other in it."""
-    rows = [b for b in batches if b.num_rows]
-    if not rows:
-        return
-    t = pa.Table.from_batches(rows)
-    run = np.unique(np.array(t.column("run").to_pylist()), return_inverse=True)[1]
-    order = np.lexsort([t.column("at").to_numpy(), run])
-    t, run = t.take(pa.array(order)), run[order]
-    keys = list(zip(t.column("url_key").to_pylist(), t.column("timestamp").to_pylist(), [-(1 << 63) if x is None else x for x in t.column("page_id").to_pylist()], range(len(run)), strict=True))
-    bounds = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True])
-    tree, archives, out = LoserTree([iter(keys[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]), Archives(), []
-    file, offset, length = (t.column(c).to_pylist() for c in ("file", "offset", "length"))
-    for url_key, timestamp, _, i in tree:
-        fields, http, payload = read_record(archives.read(file[i], offset[i], length[i]))
-        kind = fields["WARC-Type"]
-        if kind == "response":
-            size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-        else:
-            size, digest = int(re.search(rb"Content-Length: (\d+)", http)[1]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
-        refers = number(fields["WARC-Refers-To"]) if kind == "revisit" else None
-        out.append((number(fields["WARC-Record-ID"]), url_key, timestamp, size, digest, kind, refers, file[i], offset[i]))
-        if len(out) == 5000:
-            yield as_batch(out)
-            out = []
-    if out:
-        yield as_batch(out)
+def merged(folder: str):
+    """Merges the runs' slices of a key range in a tree of losers, and reads each record back in that order. Index files and
+    archives are read as the merge goes on: as each is sorted by the same key, a slice's bytes stand one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, slices in zip(b.column("part").to_pylist(), b.column("slices").to_pylist(), strict=True):
+                block = max(1 << 12, BUFFER // len(slices))
+                tree, archives, out = LoserTree([index_rows(folder, x["run"], x["from"], x["to"], block) for x in slices]), Archives(), []
+                for place, (key, name, offset, length) in enumerate(tree):
+                    file = f"{folder}/{name}.warc.gz"
+                    out.append((*capture(archives.read(file, offset, length), key), file, offset, part, place))
+                    if len(out) == 5000:
+                        yield as_batch(out)
+                        out = []
+                if out:
+                    yield as_batch(out)
+
+    return run
+
+
+def capture(member: bytes, key: tuple) -> tuple:
+    """What a record says of its page."""
+    fields, http, payload = read_record(member)
+    kind = fields["WARC-Type"]
+    if kind == "response":
+        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+    else:
+        size, digest = int(re.search(rb"Content-Length: (\d+)", http)[1]), fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    refers = number(fields["WARC-Refers-To"]) if kind == "revisit" else None
+    return number(fields["WARC-Record-ID"]), key[0], key[2] if key[1] else None, size, digest, kind, refers
 
 
 def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "string": pa.string()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
     schema = [x.split() for x in CAPTURES.split(", ")]
     return record_batch({n: (list(c), kinds[k]) for (n, k), c in zip(schema, zip(*rows, strict=True), strict=True)})
 
@@ -186,6 +211,10 @@ def archive(pages: DataFrame, spark: SparkSession, least_bytes: int = 0) -> tupl
     page_id is the response and the others revisit it. Only digests and ids are shuffled to find them, and payloads
     only where there are too many revisits to send to all tasks."""
     scratch = Scratch(spark, "warc")
+    try:
+        opened(scratch.base)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError) as e:
+        raise ValueError(f"archives are written by tasks, with pyarrow: spark.checkpoint.dir must be of a kind that it opens, not {scratch.base}") from e
     payload = F.coalesce("html", F.lit(""))
     own = pages.select("page_id", "url", "timestamp", "html", F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     thin = own.select("page_id", "digest", "bytes")
@@ -199,28 +228,43 @@ def archive(pages: DataFrame, spark: SparkSession, least_bytes: int = 0) -> tupl
 
 def captures(pages: DataFrame, spark: SparkSession, least_bytes: int = 0) -> DataFrame:
     """Archives `pages` (see `archive`) and reads all records back in the global order of URL key, time and page_id:
-    page_id, url_key, timestamp, payload_bytes, payload_digest, record_type, refers_to, file, offset.
+    page_id, url_key, timestamp, payload_bytes, payload_digest, record_type, refers_to, file, offset, and part and place,
+    by which the captures are in that order.
 
     Index rows are dealt by ranges of the whole key, so that the captures of a URL with a third of all rows are spread
-    over tasks, and each task merges its range of all runs. A null html is an empty payload, a null url has an empty
-    key; rows that repeat the largest id of a payload are each a response; a row with a null id counts as the smallest.
-    The archives lie in the shared folder until the driver ends.
+    over tasks, in as many ranges as the records' bytes ask for. Of each range, only where each run's slice of it
+    begins and ends goes on; a task streams its slices through the merge. A null html is an empty payload, a null url
+    has an empty key, null times and ids come first; rows that repeat the largest id of a payload are each a
+    response, and a row with a null id counts as the smallest. Very long pages are one record each; an empty table
+    gives an empty one. The archives lie in the shared folder until the driver ends.
     """
     runs, scratch = archive(pages, spark, least_bytes)
-    ordered = runs.repartitionByRange("url_key", "timestamp", "page_id")
-    return scratch.table(ordered.mapInArrow(merged, CAPTURES), "captures")
+    total = runs.agg(F.sum("length")).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    dealt = runs.repartitionByRange(parts, "url_key", "timestamp", "page_id").select(F.spark_partition_id().alias("part"), "run", "from", "to")
+    slices = dealt.groupBy("part", "run").agg(F.min("from").alias("from"), F.max("to").alias("to")).groupBy("part").agg(F.collect_list(F.struct("run", "from", "to")).alias("slices"))
+    slices = scratch.table(slices, "slices").repartitionByRange(parts, "part")
+    return scratch.table(slices.mapInArrow(merged(f"{scratch.base}/archives"), CAPTURES), "captures")
 
 
 def op1(pages: DataFrame, spark: SparkSession) -> DataFrame:
-    when = F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)) % 100_000_000), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return captures(pages.select("page_id", "url", when.alias("timestamp"), "html"), spark).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The pages have no time of capture, so it is made by rule from page_id, in UTC whatever the session's zone."""
+    seconds = F.lit(1_700_000_000) + F.coalesce("page_id", F.lit(0)) % 100_000_000
+    of_day = (seconds % 86_400).cast("int")
+    clock = F.format_string("T%02d:%02d:%02dZ", F.expr("_of_day div 3600").cast("int"), F.expr("_of_day div 60 % 60").cast("int"), F.expr("_of_day % 60").cast("int"))
+    when = F.concat(F.date_from_unix_date(F.expr("_seconds div 86400").cast("int")).cast("string"), clock)
+    own = pages.select("page_id", "url", "html", seconds.alias("_seconds"), of_day.alias("_of_day")).select("page_id", "url", when.alias("timestamp"), "html")
+    return captures(own, spark).drop("part", "place", "file", "offset")
 
 
 SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-h AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS x FROM p),
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b, lower(regexp_replace(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://|#.*$', '', 'g')) AS rest FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS x, rest FROM p),
 w AS (SELECT *, max(page_id) OVER (PARTITION BY n, x) AS last FROM h)
 SELECT page_id, n AS payload_bytes,
+       array_to_string(list_reverse(string_split(regexp_extract(rest, '^([^/?:]*)', 1), '.')), ',') || ')' || regexp_extract(rest, '(?s)^[^/?]*(.*)$', 1) AS url_key,
+       strftime(make_timestamp((1700000000 + coalesce(page_id, 0) % 100000000) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp,
        list_aggregate(list_transform(range(0, 32), lambda i:
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || x[(i // 4) * 5 + 1:(i // 4) * 5 + 5])::INTEGER >> (15 - 5 * (i % 4))::INTEGER) & 31) + 1]), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,

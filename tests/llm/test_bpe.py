@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from odd import no_documents, odd_documents
@@ -51,3 +52,22 @@ def test_shared_chunks_copies_and_texts_without_blanks(spark):
 def test_odd_documents(spark):
     check(spark, odd_documents(spark))
     assert bpe.encode(no_documents(spark), spark, WORD_BPE).count() == 0
+
+
+def test_joins_are_repaired_until_they_agree(monkeypatch):
+    """With a tokenizer in which a word's ids hang on the two words before it, so many words go to the text around."""
+    w = bpe.Words(WORD_BPE)
+    raw = b"cut ted word one two three four five six sev en"
+    assert w.settled(raw, 0, 3, 44, len(raw)) == (3, 44, 0, 0)
+    near = lambda x: [hash(tuple(x.split()[max(0, i - 2) : i + 1])) & 0xFFFF for i in range(len(x.split()))]
+    monkeypatch.setattr(w, "plain", near)
+    monkeypatch.setattr(bpe.Words, "__missing__", lambda self, word: b"\0" * 2)
+    start, end, head, tail = w.settled(raw, 0, 3, 44, len(raw)) or (None,) * 4
+    assert start is None or (raw[start:end].split() and head + tail > 0)
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        bpe.Words(public_tokenizers.path("byte_bpe_50k.json"))

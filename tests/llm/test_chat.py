@@ -50,3 +50,46 @@ def test_nulls_repeats_and_nothing(spark):
     rows, by = link(spark, calls, [(None, "a", 2, None), (1, None, 3, "x")] + [(7, "hot", i, "r") for i in range(500)])
     assert len(rows) == 3 and by["", "a"].status == "ok" and by["7", "hot"].status == "ok" and '"a":0' in by["7", "hot"].message
     assert link(spark, [], [])[0] == []
+
+
+def test_levels_of_random_references(spark):
+    """Levels and cycles against a plain search, and order against every reference; long chains take few rounds."""
+    import random
+
+    from tellurix.llm.common import Scratch
+
+    r, calls = random.Random(5), []
+    for conv in range(40):
+        n = r.randint(1, 14)
+        for i in range(n):
+            to = [f"c{r.randrange(n)}" for _ in range(r.choice([0, 1, 1, 1, 2, 3]))] if conv % 3 else [f"c{r.randint(i + 1, n)}" for _ in range(r.choice([1, 1, 2]))]
+            calls.append((conv, f"c{i}", i, "list", json.dumps({"items": [f"${x}" for x in to]})))
+    calls += [(99, f"c{i}", i, "list", json.dumps({"items": [f"$c{i + 1}"]})) for i in range(300)] + [(98, f"c{i}", i, "list", json.dumps({"items": [f"$c{(i + 1) % 300}"]})) for i in range(300)]
+    calls += [(97, f"c{i}", None, "list", json.dumps({"items": [f"$c{i + 1}"]})) for i in range(3)]
+    tables, before = [], Scratch.table
+    Scratch.table = lambda self, df, name: tables.append(name) or before(self, df, name)
+    try:
+        rows, by = link(spark, calls, [])
+    finally:
+        Scratch.table = before
+    assert tables.count("chains") <= 11 and len(tables) < 45
+    refs = {(c, i): [x for x in dict.fromkeys(json.loads(a)["items"]) if (c, x[1:]) in {k[:2] for k in calls}] for c, i, _, _, a in calls}
+    at = {(c, i): -1 if p is None else p for c, i, p, _, _ in calls}
+
+    def level(key, seen):
+        if key in seen:
+            return None
+        below = [(level((key[0], x[1:]), seen | {key}), at[key[0], x[1:]] >= at[key] or at[key] < 0) for x in refs[key]]
+        return None if any(b is None for b, _ in below) else max((b + s for b, s in below), default=0)
+
+    for key in refs:
+        if key[0] < 90 or key[0] == 97:
+            want, got = level(key, frozenset()), by[str(key[0]), key[1]]
+            assert (got.status == "cyclic") == (want is None) and (want is None or got.level == want), (key, want, got)
+    assert [by["99", f"c{i}"].level for i in range(300)] == list(range(299, -1, -1)) and all(by["98", f"c{i}"].status == "cyclic" for i in range(300))
+
+
+def test_very_long_contents(spark):
+    long = "é\"\n" * 6_000_000
+    _, by = link(spark, [(1, "a", 1, "sum", json.dumps({"a": 1, "note": "x" * 300_000}))], [(1, "a", 2, long)])
+    assert by["1", "a"].status == "ok" and json.loads(by["1", "a"].message)["result"]["content"] == long

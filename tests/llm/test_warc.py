@@ -3,10 +3,11 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tellurix.llm import warc
+from tellurix.llm import common, warc
 
 COLUMNS = "page_id long, url string, timestamp string, html string, digest string, refers_to long, file string, run string"
 
@@ -40,6 +41,8 @@ def test_captures(spark):
     rows += [(100, "https://a.com:80/x?q=1#f", "2024-01-01T00:00:00Z", "<b>é</b>"), (101, None, "2024-01-01T00:00:00Z", None), (102, "not a url", None, ""), (None, "http://a.com/", "2024", same), (103, "http://a.com/", "2024", "x" * 300000)]
     rows += [(59, "http://b.org/again", "2024", same)]  # the largest id, repeated
     out = warc.captures(pages(spark, rows).repartition(7), spark).collect()
+    out.sort(key=lambda r: (r.part, r.place))
+    assert len({r.part for r in out}) > 1
     keys = [(r.url_key, r.timestamp or "", -1 if r.page_id is None else r.page_id) for r in out]
     assert len(out) == len(rows) and keys == sorted(keys)
     want = sorted(repr((i, len((h or "").encode()), digest(h), "revisit" if h == same and i != 59 else "revisit" if i == 101 else "response", 59 if h == same and i != 59 else 102 if i == 101 else None)) for i, _, _, h in rows)
@@ -54,3 +57,15 @@ def test_small_payloads_may_be_left_alone(spark):
 
 def test_no_pages(spark):
     assert warc.captures(pages(spark, []), spark).count() == 0
+
+
+def test_files_hold_what_the_captures_say(spark, monkeypatch):
+    """Each row's archive, read at its offset, holds its record; and a folder that tasks can't open is refused."""
+    out = warc.captures(pages(spark, [(i, f"http://h{i % 5}/", "2024", f"page {i}") for i in range(40)]), spark).collect()
+    archives = warc.Archives()
+    for r in out:
+        fields, _, payload = warc.read_record(archives.read(r.file, r.offset, 10000))
+        assert warc.number(fields["WARC-Record-ID"]) == r.page_id and payload == f"page {r.page_id}".encode()
+    monkeypatch.setattr(common, "shared_folder", lambda spark: "wasb://store/shared")
+    with pytest.raises(ValueError, match="pyarrow"):
+        warc.captures(pages(spark, []), spark)
