@@ -215,12 +215,13 @@ def subtrees(batch: pa.RecordBatch) -> pa.RecordBatch:
     for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
         nodes, _ = parsed(html or "")
         own = [n for n in nodes if removable(n)]
-        hosts.append(host_of(url))
+        host = host_of(url)
+        hosts.append(host)
         contents.append(nodes[0].hash)
         numbers.append([n.number for n in own])
-        hashes.append([n.hash for n in own])
+        hashes.append([xxhash.xxh3_64_intdigest(f"{host}\0{n.hash}") >> 1 for n in own])
     lists = {"number": (numbers, pa.list_(pa.int32())), "hash": (hashes, pa.list_(pa.int64()))}
-    return record_batch({"key": (batch.column("key"), pa.string()), "host": (hosts, pa.string()), "content": (contents, pa.int64())} | lists)
+    return record_batch({"key": (batch.column("key"), pa.binary()), "host": (hosts, pa.string()), "content": (contents, pa.int64())} | lists)
 
 
 def main_text(html: str, templates: set[int]) -> str:
@@ -275,17 +276,17 @@ def extract(pages: DataFrame, spark: SparkSession) -> DataFrame:
     empty text; a null or broken url has the empty host; pages that are alike but for scripts and markup count once,
     and repeated rows have equal results; very long pages are parsed whole; an empty table gives an empty one.
 
-    A subtree on a third of all pages is a sum before it is shuffled; its removal is a join that Spark can split.
+    Hashes take in the host, so one number names a subtree of a host. A subtree on a third of all pages is a sum before it is shuffled; its removal is a join that Spark can split.
     """
     scratch = Scratch(spark, "html")
-    keyed = pages.select(row_key("page_id", "url", "html").alias("key"), "page_id", "url", "html")
-    trees = scratch.table(per_batch(keyed.select("key", "url", "html"), subtrees, "key string, host string, content long, number array<int>, hash array<long>"), "trees")
+    keyed = pages.select(F.unhex(row_key("page_id", "url", "html")).alias("key"), "page_id", "url", "html")
+    trees = scratch.table(per_batch(keyed.select("key", "url", "html"), subtrees, "key binary, host string, content long, number array<int>, hash array<long>"), "trees")
     different = trees.groupBy("host", "content").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("pages"))
-    often = trees.select("host", F.explode(F.array_distinct("hash")).alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).drop("n")
-    found = trees.select("key", "host", "content", F.inline(F.arrays_zip("number", "hash"))).join(often, ["host", "hash"])
-    counted = found.groupBy("host", "hash", "content").agg(F.lit(1).alias("x")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MANY)
-    template = counted.join(different, "host").where((F.col("n") >= SHARE * F.col("pages")) | (F.col("n") >= ENOUGH)).select("host", "hash")
-    gone = found.join(scratch.table(template, "template"), ["host", "hash"]).groupBy("key").agg(F.collect_set("number").alias("gone"))
+    often = trees.select("host", F.explode(F.array_distinct("hash")).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"), F.first("host").alias("host")).where(F.col("n") >= MANY).drop("n")
+    found = scratch.table(trees.select("key", "content", F.inline(F.arrays_zip("number", "hash"))).join(often, "hash"), "found")
+    counted = found.groupBy("hash", "content").agg(F.first("host").alias("host")).groupBy("hash").agg(F.count("*").alias("n"), F.first("host").alias("host")).where(F.col("n") >= MANY)
+    template = counted.join(different, "host").where((F.col("n") >= SHARE * F.col("pages")) | (F.col("n") >= ENOUGH)).select("hash")
+    gone = found.join(scratch.table(template, "template"), "hash").groupBy("key").agg(F.collect_set("number").alias("gone"))
     gone = scratch.table(gone, "gone")
     scratch.drop_all_but(gone)
     return per_batch(keyed.join(gone, "key", "left").select("page_id", "url", "html", "gone"), extracted, "page_id long, url string, text string, n_chars long")
