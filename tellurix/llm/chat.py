@@ -148,7 +148,7 @@ def turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     turn is a call of the tool `reply`, and an assistant's turn t the result of turn t - 1. Other roles do neither.
 
     With r = turn div 2 mod 5, a call refers to nothing (r = 4), or to turns after it: t + 2 and t + 6 (0), t + 2 (1),
-    t + 4 (2); or before it: t - 2 (3). In every seventh conversation, r = 4 refers to t - 4, which closes a cycle.
+    t + 4 (2); or before it: t - 2 (3). In every seventh conversation, r = 1 refers to t - 2, which closes a cycle.
     Every eleventh turn calls an unknown tool; a text of a multiple of 13 characters is left out of the arguments, the
     `limit` of r = 3 is no integer, and r = 1 has an argument that the schema doesn't know.
     """
@@ -156,7 +156,7 @@ def turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     ref = lambda at: F.concat(F.lit("$"), id_(at))
     user, assistant = (conversations.where((F.col("role") == r) & F.col("turn").isNotNull()) for r in ("user", "assistant"))
     r = F.expr("turn div 2") % 5
-    after = F.when(r <= 1, ref(2)).when(r == 2, ref(4)).when(r == 3, ref(-2)).when(F.col("conv_id") % 7 == 3, ref(-4))
+    after = F.when((r == 1) & (F.col("conv_id") % 7 == 3), ref(-2)).when(r <= 1, ref(2)).when(r == 2, ref(4)).when(r == 3, ref(-2))
     plain = F.to_json(F.struct(
         after.alias("after"), F.when(r == 0, ref(6)).alias("also"), F.when(r == 1, F.lit(True)).alias("extra"), F.when(r != 3, F.col("turn")).alias("limit"),
         F.when(F.length("text") % 13 != 0, F.col("text")).alias("prompt"),
@@ -177,7 +177,7 @@ def op2(conversations: DataFrame, spark: SparkSession) -> DataFrame:
 SQL = """
 WITH RECURSIVE u AS (SELECT conv_id, turn, text, turn // 2 % 5 AS r FROM conversations WHERE role = 'user'),
 c AS (
-  SELECT *, CASE WHEN r <= 1 THEN turn + 2 WHEN r = 2 THEN turn + 4 WHEN r = 3 THEN turn - 2 WHEN conv_id % 7 = 3 THEN turn - 4 END AS after,
+  SELECT *, CASE WHEN r = 1 AND conv_id % 7 = 3 THEN turn - 2 WHEN r <= 1 THEN turn + 2 WHEN r = 2 THEN turn + 4 WHEN r = 3 THEN turn - 2 END AS after,
          CASE WHEN r = 0 THEN turn + 6 END AS also FROM u),
 e AS (
   SELECT a.conv_id, a.turn, a.x AS to_turn, (a.x >= a.turn)::INTEGER AS step
