@@ -94,16 +94,18 @@ def pivoted(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    SELECT l_returnflag, sum(l_extendedprice::DECIMAL(18, 2))::DECIMAL(28, 2)::VARCHAR AS total FROM lineitem GROUP BY l_returnflag""")
+    SELECT l_returnflag, sum(l_extendedprice::DECIMAL(18, 2))::DECIMAL(28, 2)::VARCHAR AS total, avg(l_extendedprice::DECIMAL(18, 2))::DECIMAL(28, 2)::VARCHAR AS mean FROM lineitem GROUP BY l_returnflag""")
 def decimal_sum(spark: SparkSession, d: str) -> DataFrame:
-    total = F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(28,2)").cast("string")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(total.alias("total"))
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    text = lambda x: x.cast("decimal(28,2)").cast("string")
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(text(F.sum(price)).alias("total"), text(F.avg(price)).alias("mean"))
 
 
-@query("SELECT (floor(value / 50) + 1)::BIGINT AS bin, count(*)::BIGINT AS n FROM events WHERE value > 0 AND value < 500 GROUP BY 1")
+@query("SELECT CASE WHEN value < 50 THEN 0 WHEN value >= 450 THEN 9 ELSE floor((value - 50) / 50) + 1 END::BIGINT AS bin, count(*)::BIGINT AS n FROM events GROUP BY 1")
 def histogram(spark: SparkSession, d: str) -> DataFrame:
-    inside = table(spark, d, "events").where((F.col("value") > 0) & (F.col("value") < 500))
-    return inside.groupBy(F.width_bucket("value", F.lit(0.0), F.lit(500.0), F.lit(10)).alias("bin")).agg(F.count("*").alias("n"))
+    """Bins of 50 from 50 to 450, with one for what lies below them and one above."""
+    bin_ = F.width_bucket("value", F.lit(50.0), F.lit(450.0), F.lit(8))
+    return table(spark, d, "events").groupBy(bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query("""

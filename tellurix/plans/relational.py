@@ -136,6 +136,23 @@ def intersect_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")).intersectAll(table(spark, d, "customer").select("c_nationkey"))
 
 
+@query("SELECT s_nationkey AS nation FROM supplier INTERSECT SELECT c_nationkey FROM customer")
+def intersect_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("nation")).intersect(table(spark, d, "customer").select("c_nationkey"))
+
+
+@query("""
+    SELECT c_nationkey AS nation, count(*)::BIGINT AS orders, count(DISTINCT c_custkey)::BIGINT AS customers FROM orders JOIN customer ON o_custkey = c_custkey
+    JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1""")
+def join_hints(spark: SparkSession, d: str) -> DataFrame:
+    """Sorted merge of two large sides, a hash table of the side that is known to be the smaller, and a broadcast of a
+    table of fixed size."""
+    nations = table(spark, d, "nation").hint("shuffle_hash").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    both = table(spark, d, "orders").hint("merge").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    counts = both.groupBy("c_nationkey").agg(F.count("*").alias("orders"), F.countDistinct("c_custkey").alias("customers"))
+    return counts.join(nations.hint("shuffle_hash"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_nationkey").alias("nation"), "orders", "customers")
+
+
 @query("SELECT c_nationkey AS nation FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
 def except_all(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("nation")).exceptAll(table(spark, d, "supplier").select("s_nationkey"))

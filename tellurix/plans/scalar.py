@@ -39,14 +39,14 @@ def number_functions(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     SELECT doc_id, length(text)::INTEGER AS n, octet_length(encode(text))::INTEGER AS bytes, substr(text, 3, 12) AS part, md5(text) AS hash,
            len(string_split(text, ' '))::INTEGER AS pieces, len(regexp_extract_all(text, '[aeiou]+'))::INTEGER AS vowels,
-           regexp_replace(substr(text, 1, 40), '[^a-zA-Z]+', '_', 'g') AS slug, lpad(lang, 4, '*') AS tag, position('the' IN text)::INTEGER AS place,
+           md5(regexp_replace(text, '[^a-zA-Z]+', '_', 'g')) AS slug, md5(lower(text)) AS small, upper(source) AS big, lpad(lang, 4, '*') AS tag, position('the' IN text)::INTEGER AS place,
            reverse(lang) AS back, source || '/' || lang AS path
     FROM documents""")
 def string_functions(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "documents").select(
         "doc_id", F.length(t).alias("n"), F.octet_length(t).alias("bytes"), F.substring(t, 3, 12).alias("part"), F.md5(t).alias("hash"), F.size(F.split(t, " ")).alias("pieces"),
-        F.regexp_count(t, F.lit("[aeiou]+")).alias("vowels"), F.regexp_replace(F.substring(t, 1, 40), "[^a-zA-Z]+", "_").alias("slug"), F.lpad("lang", 4, "*").alias("tag"),
+        F.regexp_count(t, F.lit("[aeiou]+")).alias("vowels"), F.md5(F.regexp_replace(t, "[^a-zA-Z]+", "_")).alias("slug"), F.md5(F.lower(t)).alias("small"), F.upper("source").alias("big"), F.lpad("lang", 4, "*").alias("tag"),
         F.locate("the", t).alias("place"), F.reverse("lang").alias("back"), F.concat_ws("/", "source", "lang").alias("path"),
     )
 
@@ -75,10 +75,10 @@ def array_functions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     SELECT doc_id, i::INTEGER AS at, w AS word FROM (
-      SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT doc_id, string_split(substr(text, 1, 60), ' ') AS ws FROM documents))""")
+      SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents))""")
 def exploded(spark: SparkSession, d: str) -> DataFrame:
-    """The words of each document's first 60 characters with their places."""
-    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 60), " ")).alias("at", "word"))
+    """The words of each document with their places."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("at", "word"))
 
 
 @query("""

@@ -40,3 +40,8 @@ def test_sketches_keep_their_error(spark):
     for r in QUERIES["approximate"](spark, SMALL).collect():
         assert abs(r.about_n - exact[r.event_type]) <= 0.1 * exact[r.event_type]
         assert abs(r.hll_n - exact[r.event_type]) <= 0.1 * exact[r.event_type]
+
+
+def test_join_hints_choose_the_join(spark):
+    plan = QUERIES["join_hints"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert all(x in plan for x in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin"))
