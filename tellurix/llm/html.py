@@ -282,8 +282,8 @@ def extract(pages: DataFrame, spark: SparkSession) -> DataFrame:
     keyed = pages.select(F.unhex(row_key("page_id", "url", "html")).alias("key"), "page_id", "url", "html")
     trees = scratch.table(per_batch(keyed.select("key", "url", "html"), subtrees, "key binary, host string, content long, number array<int>, hash array<long>"), "trees")
     different = trees.groupBy("host", "content").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("pages"))
-    often = trees.select("host", F.explode(F.array_distinct("hash")).alias("hash")).groupBy("hash").agg(F.count("*").alias("n"), F.first("host").alias("host")).where(F.col("n") >= MANY).drop("n")
-    found = scratch.table(trees.select("key", "content", F.inline(F.arrays_zip("number", "hash"))).join(often, "hash"), "found")
+    often = trees.select(F.explode(F.array_distinct("hash")).alias("hash")).groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") >= MANY).drop("n")
+    found = scratch.table(trees.select("key", "host", "content", F.inline(F.arrays_zip("number", "hash"))).join(often, "hash"), "found")
     counted = found.groupBy("hash", "content").agg(F.first("host").alias("host")).groupBy("hash").agg(F.count("*").alias("n"), F.first("host").alias("host")).where(F.col("n") >= MANY)
     template = counted.join(different, "host").where((F.col("n") >= SHARE * F.col("pages")) | (F.col("n") >= ENOUGH)).select("hash")
     gone = found.join(scratch.table(template, "template"), "hash").groupBy("key").agg(F.collect_set("number").alias("gone"))
