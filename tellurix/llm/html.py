@@ -277,6 +277,7 @@ def extract(pages: DataFrame, spark: SparkSession) -> DataFrame:
     and repeated rows have equal results; very long pages are parsed whole; an empty table gives an empty one.
 
     Hashes take in the host, so one number names a subtree of a host. A subtree on a third of all pages is a sum before it is shuffled; its removal is a join that Spark can split.
+    Pages meet their templates by shuffle at every size: the numbers grow with the pages, and are not for sending to all tasks.
     """
     scratch = Scratch(spark, "html")
     keyed = pages.select(F.unhex(row_key("page_id", "url", "html")).alias("key"), "page_id", "url", "html")
@@ -289,4 +290,4 @@ def extract(pages: DataFrame, spark: SparkSession) -> DataFrame:
     gone = found.join(scratch.table(template, "template"), "hash").groupBy("key").agg(F.collect_set("number").alias("gone"))
     gone = scratch.table(gone, "gone")
     scratch.drop_all_but(gone)
-    return per_batch(keyed.join(gone, "key", "left").select("page_id", "url", "html", "gone"), extracted, "page_id long, url string, text string, n_chars long")
+    return per_batch(keyed.hint("merge").join(gone, "key", "left").select("page_id", "url", "html", "gone"), extracted, "page_id long, url string, text string, n_chars long")
