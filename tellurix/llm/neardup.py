@@ -114,20 +114,24 @@ def within_reach(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def open_lists(rows: DataFrame, by: list[str], scratch: Scratch, hub: Column | None = None) -> DataFrame:
-    """The rows (id, n, component) of the lists, named by `by`, that hold several components: each row once, with its
-    list's most frequent component, the number `few` of its rows of other components, its pivot (the smallest set, by n
-    and id) and the row that is largest by `hub`.
+    """The rows (id, n, size, top, component) of the lists, named by `by`, that hold several components: each row once,
+    with its list's most frequent component, the number `few` of its rows of other components, its pivot (the smallest
+    set, by n and id) and the row that is largest by `hub`.
 
-    Rows of one component have nothing left to find out about each other. Lists are counted before they are shuffled,
-    and rows meet their list's counts in a join that Spark can split.
+    Rows of one component have nothing left to find out about each other, nor has a second list of a band with the same
+    rows, as variants of one text make very many. Lists are counted before they are shuffled, with two hashes of what
+    rows they hold, and rows meet their list's counts in a join that Spark can split.
     """
     largest = F.lit(None) if hub is None else F.max(F.struct(hub.alias("by"), "id"))
-    own = rows.groupBy(*by, "component").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("_least"), largest.alias("_hub"))
+    held = [F.bit_xor(F.xxhash64(F.lit(k), "id")).alias(f"_held{k}") for k in range(2)]
+    own = rows.groupBy(*by, "component").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("_least"), largest.alias("_hub"), *held)
     own = own.groupBy(*by).agg(
         F.count("*").alias("_n"), F.max(F.struct("c", "component"))["component"].alias("most"), (F.sum("c") - F.max("c")).alias("few"), F.min("_least")["id"].alias("pivot"),
-        (F.lit(None).cast("long") if hub is None else F.max("_hub")["id"]).alias("hub"),
+        (F.lit(None).cast("long") if hub is None else F.max("_hub")["id"]).alias("hub"), *[F.bit_xor(f"_held{k}").alias(f"_held{k}") for k in range(2)],
     )
-    return scratch.table(rows.select(*by, "id", "n", "top", "component").join(own.where("_n > 1").drop("_n"), by), "members")
+    own = own.where("_n > 1").groupBy("band", "most", "few", "pivot", "hub", "_held0", "_held1").agg(F.min(F.struct(*[x for x in by if x != "band"])).alias("_by"))
+    own = own.select("_by.*", "band", "most", "few", "pivot", "hub")
+    return scratch.table(rows.select(*by, "id", "n", "size", "top", "component").join(own, by), "members")
 
 
 def stars(members: DataFrame, center: str, few: int) -> DataFrame:
@@ -138,11 +142,14 @@ def stars(members: DataFrame, center: str, few: int) -> DataFrame:
 
 def all_pairs(members: DataFrame, by: list[str], few: int) -> DataFrame:
     """Pairs (a, b), a below b, of different components in each list with up to `few` rows beside its most frequent
-    component: those rows with all."""
-    short = members.where(F.col("few") <= few)
-    others = short.where("component != most").groupBy(*by).agg(F.collect_set(F.struct("id", "component", "n", "top")).alias("others"))
-    pairs = short.select(*by, "id", "component", "n", "top").join(others, by).select("id", "component", "n", "top", F.explode("others").alias("o"))
-    return pairs.where("o.component != component and n <= o.top and o.n <= top").select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
+    component: those rows with all. A pair is formed in the band of its smaller set alone, and only if neither set is
+    too large for the other."""
+    short, own = members.where(F.col("few") <= few), ["id", "component", "n", "size", "top"]
+    others = short.where("component != most").groupBy(*by).agg(F.collect_set(F.struct(*own)).alias("others"))
+    fits = "o.component != component AND n <= o.top AND o.n <= top AND least(size, o.size) = band AND (component = most OR id < o.id)"
+    found = F.expr(f"transform(filter(others, o -> {fits}), o -> o.id)")
+    pairs = short.select(*by, *own, "most").join(others, by).select("id", F.explode(found).alias("o"))
+    return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
 def needed(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -233,7 +240,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
     compared = sets.likely(near.distinct())
     done = sets.confirmed(compared.withColumn("star", F.lit(False)), sets.texts(compared.select("a").union(compared.select("b"))))
     joined = scratch.table(components(done.where("linked").select("a", "b"), scratch), "components")
-    rows = first.where(F.col("few") > SMALL).select("v", "band", "id", "n", "top").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = first.where(F.col("few") > SMALL).select("v", "band", "id", "n", "size", "top").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = open_lists(rows, ["v", "band"], scratch)
     if members.isEmpty():
         return joined
