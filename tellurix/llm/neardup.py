@@ -19,11 +19,14 @@ from tellurix.llm.graph import components
 WORDS, PERCENT = 5, 75
 #: Values kept in a sketch, and standard deviations allowed for when a sketch stands for its set.
 KEPT, SLACK = 64, 5
-#: Lists with up to this many documents beside their most frequent component give all pairs of these, others pairs with a
-#: hub or pivot. The first lists are many and hold mostly what is soon ruled out; those of later rounds are few.
+#: Lists with up to this many documents beside their most frequent component give all pairs of these, others pairs with
+#: their hub: lists of retained values, and lists of what members differ from a hub by, which hold less that is soon ruled out.
 SMALL, MORE = 8, 300
-#: Size classes between the sizes of two sets that may just link, for the first lists and for those of the rounds.
-CLASSES, FINE = 2, 6
+#: Rounds in which lists have hubs; after them, all lists give all their pairs.
+ROUNDS = 4
+#: Size classes between the sizes of two sets that may just link, for the first lists and for those left after them;
+#: classes of excess for the size of a hub, and the highest one.
+CLASSES, FINE, STEPS, FARTHEST = 2, 6, 56, 24
 SPREAD = math.sqrt(KEPT * PERCENT / 100 * (1 - PERCENT / 100))
 LEAST = int(KEPT * PERCENT / 100 - SLACK * SPREAD)
 #: Up to this size, a set and all that may link with it are kept whole in their sketches.
@@ -75,22 +78,23 @@ def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def confirmed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Whether the whole sets of a and b are similar enough; with a pivot a, also what b has besides the pivot's set. A
-    pivot's set is kept from row to row."""
+    """Whether the whole sets of a and b are similar enough; of a star, also the values that only one of its hub a and b
+    has, and b's excess. A hub's set is kept from row to row."""
 
     @lru_cache(8)
     def of(z: bytes) -> np.ndarray:
         return shingles(zstandard.ZstdDecompressor().decompress(z).decode())
 
-    linked, sizes, rest = [], [], []
+    linked, step, excess, rest = [], [], [], []
     for za, zb, star in zip(batch.column("za").to_pylist(), batch.column("zb").to_pylist(), batch.column("star").to_pylist(), strict=True):
         a, b = of(za), of(zb)
         both = len(np.intersect1d(a, b, assume_unique=True))
         linked.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        sizes.append(len(b))
-        rest.append(np.setdiff1d(b, a, assume_unique=True) if star else b[:0])
-    own = [pa.array(linked, pa.bool_()), pa.array(sizes, pa.int64()), long_lists(rest)]
-    return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *own], names=["a", "b", "linked", "n", "rest"])
+        step.append(len(a) / STEPS)
+        excess.append(len(b) * PERCENT / (100 + PERCENT) + len(a) / 2 - both)
+        rest.append(np.setxor1d(a, b, assume_unique=True) if star else b[:0])
+    own = [pa.array(linked, pa.bool_()), pa.array(step, pa.float64()), pa.array(excess, pa.float64()), long_lists(rest)]
+    return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *own], names=["a", "b", "linked", "step", "excess", "rest"])
 
 
 def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -113,54 +117,65 @@ def within_reach(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(low.where("low is not null"), by).where("top >= low").drop("low")
 
 
-def open_lists(rows: DataFrame, by: list[str], scratch: Scratch, hub: Column | None = None) -> DataFrame:
-    """The rows (id, n, component) of the lists, named by `by`, that hold several components: each row once, with its
-    list's most frequent component, the number `few` of its rows of other components, its pivot (the smallest set, by n
-    and id) and the row that is largest by `hub`.
+def open_lists(rows: DataFrame, by: list[str], scratch: Scratch, hub: Column) -> DataFrame:
+    """The rows (id, n, top, component, side, sides) of the lists, named by `by`, that hold several components: each row
+    once, with its list's most frequent component, the number `few` of its rows of other components, and the row that is
+    largest by `hub`.
 
     Rows of one component have nothing left to find out about each other. Lists are counted before they are shuffled,
     and rows meet their list's counts in a join that Spark can split.
     """
-    largest = F.lit(None) if hub is None else F.max(F.struct(hub.alias("by"), "id"))
-    own = rows.groupBy(*by, "component").agg(F.count("*").alias("c"), F.min(F.struct("n", "id")).alias("_least"), largest.alias("_hub"))
-    own = own.groupBy(*by).agg(
-        F.count("*").alias("_n"), F.max(F.struct("c", "component"))["component"].alias("most"), (F.sum("c") - F.max("c")).alias("few"), F.min("_least")["id"].alias("pivot"),
-        (F.lit(None).cast("long") if hub is None else F.max("_hub")["id"]).alias("hub"),
-    )
-    return scratch.table(rows.select(*by, "id", "n", "top", "component").join(own.where("_n > 1").drop("_n"), by), "members")
+    own = rows.groupBy(*by, "component").agg(F.count("*").alias("c"), F.max(F.struct(hub.alias("by"), "id")).alias("_hub"))
+    own = own.groupBy(*by).agg(F.count("*").alias("_n"), F.max(F.struct("c", "component"))["component"].alias("most"), (F.sum("c") - F.max("c")).alias("few"), F.max("_hub")["id"].alias("hub"))
+    return scratch.table(rows.select(*by, "id", "n", "top", "component", "side", "sides").join(own.where("_n > 1").drop("_n"), by), "members")
 
 
-def stars(members: DataFrame, center: str, few: int) -> DataFrame:
-    """Pairs (a, b) of the center of each list with more than `few` rows beside its most frequent component, and the
-    list's other rows."""
-    return members.where(F.col("few") > few).where(f"id != {center}").select(F.col(center).alias("a"), F.col("id").alias("b")).distinct()
+def stars(members: DataFrame, few: int) -> DataFrame:
+    """Pairs (a, b) of the hub of each list with more than `few` rows beside its most frequent component, and the list's
+    other rows."""
+    return members.where(F.col("few") > few).where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
 def all_pairs(members: DataFrame, by: list[str], few: int) -> DataFrame:
     """Pairs (a, b), a below b, of different components in each list with up to `few` rows beside its most frequent
-    component: those rows with all."""
+    component: those rows with all whose side and their own make up the list's sides, if their sizes may link."""
     short = members.where(F.col("few") <= few)
-    others = short.where("component != most").groupBy(*by).agg(F.collect_set(F.struct("id", "component", "n", "top")).alias("others"))
-    pairs = short.select(*by, "id", "component", "n", "top").join(others, by).select("id", "component", "n", "top", F.explode("others").alias("o"))
-    return pairs.where("o.component != component and n <= o.top and o.n <= top").select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b")).distinct()
-
-
-def needed(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Of rows (of, id, n, top, size, component, rest, v, band) those whose value a new link may be found by.
-
-    In a band, one member of a pair is of its lowest size class, so the least size bounds from below how many values
-    the pair has in common. All but those in the pivot's set are among the values that members have besides, and of
-    these only lists with several components count. So a member needs a number of such values in common with another,
-    and as in any prefix filter all but that number less one of its most common ones can be left out.
+    others = short.where("component != most").groupBy(*by).agg(F.collect_set(F.struct("id", "component", "n", "top", "side")).alias("others"))
+    fit = lambda o: (
+        (o["component"] != F.col("component")) & (F.col("n") <= o["top"]) & (o["n"] <= F.col("top")) & (o["side"] + F.col("side") == F.col("sides"))
+        & (100 * F.least("n", o["n"]) >= PERCENT * F.greatest("n", o["n"]))
+    )
+    pairs = short.join(others, by).select("id", F.explode(F.filter("others", fit)["id"]).alias("o"))
+    return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
+
+
+def needed(rest: DataFrame, scratch: Scratch) -> DataFrame:
+    """Lists, by hub (of), value and two classes of excess, of what members of stars differ from their hub by. `rest` has
+    of, id, n, top, hot, component, step, excess and rest.
+
+    Take a hub p and two members b and c. What b and c have in common is the size of p, less what each one lacks of p,
+    plus what both lack of it and what both have besides; that is, plus the number of values in both their differences
+    from p. They link if it is at least PERCENT / (100 + PERCENT) of the sum of their sizes. So they link if their
+    differences share at least as many values as the sum of their excesses, where the excess of b is that share of b's
+    size, plus half the size of p, less what b and p have in common. If that sum is 0 or less, both are linked with p: what b
+    and p have in common is then at least the share of the sizes of b and c, plus what c lacks of p; and c is as large as
+    p, or lacks the difference, of which the share is a part. So members of different components need a value in common, and
+    more of them, the farther they are from p. Only values with several components count, and as in any
+    prefix filter all but that number less one of a member's most common ones can be left out. For this, partners are
+    taken by classes of excess, each with its lower bound.
     """
-    lists = rows.groupBy("of", "v", "band").agg(F.count("*").alias("c"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-    lists = lists.where("_lo < _hi").select("of", "v", "band", "c")
-    lowest = F.pow(F.lit(100 / PERCENT), F.col("band") / FINE)
-    common = F.ceil((F.col("n") + lowest - 1e-6) * (PERCENT / (100 + PERCENT)) - 1e-6)
-    need = F.greatest(F.lit(1), common - (F.col("n") - F.col("rest")))
-    own = Window.partitionBy("of", "band", "id")
-    ranked = rows.join(lists, ["of", "v", "band"]).withColumns({"_r": F.row_number().over(own.orderBy("c", "v")), "_n": F.count("*").over(own)})
-    return scratch.table(ranked.where(F.col("_r") <= F.col("_n") - need + 1).drop("_r", "_n", "c"), "needed")
+    rest = rest.withColumn("side", F.least(F.floor(F.col("excess") / F.col("step")), F.lit(FARTHEST)))
+    classes = rest.groupBy("of", "side").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    classes = classes.groupBy("of").agg(F.collect_list(F.struct("side", "lo", "hi")).alias("_classes"))
+    values = rest.withColumn("v", F.explode("rest")).drop("rest")
+    lists = values.groupBy("of", "v").agg(F.count("*").alias("c"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    own = Window.partitionBy("of", "id")
+    ranked = values.join(lists.where("_lo < _hi").select("of", "v", "c"), ["of", "v"]).withColumns({"_r": F.row_number().over(own.orderBy("c", "v")), "_n": F.count("*").over(own)})
+    share = lambda x: F.greatest(F.lit(1), F.ceil(F.col("excess") + x["side"] * F.col("step") - 1e-6))
+    fit = lambda x: ((x["lo"] != F.col("component")) | (x["hi"] != F.col("component"))) & (F.col("_r") <= F.col("_n") - share(x) + 1)
+    out = ranked.join(classes, "of").select("of", "v", "id", "n", "top", "hot", "side", F.explode(F.filter("_classes", fit)["side"]).alias("_o"))
+    sides = {"low": F.least("side", "_o"), "sides": F.col("side") + F.col("_o")}
+    return scratch.table(out.withColumns(sides).drop("_o"), "needed")
 
 
 def listed(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -197,19 +212,19 @@ class Sets:
         return self.scratch.table(per_batch(self.docs.select("doc_id", "text").join(wanted, "doc_id"), packed, "id long, packed binary"), "texts")
 
     def tops(self, texts: DataFrame) -> DataFrame:
-        """For the whole sets of `texts` id, n and the size (top) beyond which no other one of them links with it: what they
-        have in common is among the values that two of them hold."""
+        """For the whole sets of `texts` id, n, the size (top) beyond which no other one of them links with it, as what they
+        have in common is among the values that two of them hold, and how many hold one of its values on average (hot)."""
         sets = self.scratch.table(per_batch(texts, opened, "id long, n long, v array<long>"), "sets")
         values = sets.select("id", F.explode("v").alias("v"))
-        held = values.join(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1").drop("df"), "v").groupBy("id").agg(F.count("*").alias("held"))
+        held = values.join(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "v").groupBy("id").agg(F.count("*").alias("held"), F.sum("df").alias("df"))
         top = F.floor(F.col("held") * ((100 + PERCENT) / PERCENT) - F.col("n") + 1e-6)
-        return self.scratch.table(sets.select("id", "n").join(held, "id").select("id", "n", top.alias("top")).where(F.col("top") >= F.col("n") * (PERCENT / 100)), "tops")
+        return self.scratch.table(sets.select("id", "n").join(held, "id").select("id", "n", top.alias("top"), (F.col("df") / F.col("n")).alias("hot")).where(F.col("top") >= F.col("n") * (PERCENT / 100)), "tops")
 
     def confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """`pairs` (a, b, star) with linked, b's size n and its rest."""
+        """`pairs` (a, b, star) with linked and, of stars, the step of the hub's classes, b's excess and its rest."""
         of = lambda x: texts.select(F.col("id").alias(x), F.col("packed").alias(f"z{x}"))
         both = pairs.join(of("b"), "b").join(of("a"), "a")
-        return self.scratch.table(per_batch(both, confirmed, "a long, b long, linked boolean, n long, rest array<long>"), "confirmed")
+        return self.scratch.table(per_batch(both, confirmed, "a long, b long, linked boolean, step double, excess double, rest array<long>"), "confirmed")
 
 
 def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -217,45 +232,45 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
 
     First, short lists give all their pairs, and long ones the pairs of their hub, which in a group of copies links
     most of it at once. Long lists that then still hold several components are finished exactly. Of their members, many
-    have so many values that no other one holds that they can link with none of their size, and drop out. A list in
-    which all but a few are of one component gives the pairs of these few. The others go through rounds. In each,
-    all members of a list meet its pivot, the smallest of their sets. Take two members b and c that are linked. If all
-    that they have in common is in the pivot's set, both are linked with the pivot, as it is no larger than either and
-    has as much in common with each; they are in one component. Else they have a value in common that the pivot
-    lacks. So what members have besides their pivot makes new lists, of whole sets and not of sketches, and lists
-    with several components go on to the next round. Pivots grow from round to round, so there is an end. How few rows
-    a list must hold to give all their pairs decides only which way links are found.
+    have so many values that no other one holds that they can link with none of their size, and drop out. The others
+    meet their list's hub, a document whose values are the most common. Two of them that are not both linked with
+    it differ from it in common values (see `needed`), so these differences, of whole sets and not of sketches, make new
+    lists, and those with several components go on in the same way. A list in which all but a few rows are of one component,
+    and after some rounds any list, gives the pairs of these few. Both decide only which way links are found.
     """
     sets = Sets(docs, classes, scratch)
-    rows = in_bands(listed(classes, scratch)).withColumns({"component": F.col("id"), "top": F.lit(1 << 62)})
+    alone = {"side": F.lit(0), "sides": F.lit(0)}
+    rows = in_bands(listed(classes, scratch)).withColumns({"component": F.col("id"), "top": F.lit(1 << 62), **alone})
     first = open_lists(scratch.table(rows, "rows"), ["v", "band"], scratch, F.struct(-F.col("size"), "hot", -F.col("n"), -F.col("id")))
-    near = stars(first, "hub", SMALL).union(all_pairs(first, ["v", "band"], SMALL)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = stars(first, SMALL).union(all_pairs(first, ["v", "band"], SMALL)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     compared = sets.likely(near.distinct())
     done = sets.confirmed(compared.withColumn("star", F.lit(False)), sets.texts(compared.select("a").union(compared.select("b"))))
     joined = scratch.table(components(done.where("linked").select("a", "b"), scratch), "components")
-    rows = first.where(F.col("few") > SMALL).select("v", "band", "id", "n", "top").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    members = open_lists(rows, ["v", "band"], scratch)
+    now = lambda rows: rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    hub = F.struct("hot", -F.col("n"), -F.col("id"))
+    left = first.where(F.col("few") > SMALL).select("v", "band", "id", "n", "top", "side", "sides").withColumn("hot", F.lit(0))
+    members = open_lists(now(left), ["v", "band"], scratch, hub)
     if members.isEmpty():
         return joined
     texts = sets.texts(members.select("id"))  # those of the rounds, too
     tops = sets.tops(texts)
-    rows, by = in_bands(members.select("v", "id").distinct().join(tops, "id"), FINE), ["v", "band"]
-    while True:
-        rows = within_reach(rows, by).join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        members = open_lists(rows, by, scratch)
+    by = ["v", "band"]
+    rows = within_reach(in_bands(members.select("v", "id").distinct().join(tops, "id"), FINE), by).withColumns(alone)
+    for few in [SMALL, *[MORE] * (ROUNDS - 1), 1 << 62]:
+        members = open_lists(now(rows), by, scratch, hub)
         if members.isEmpty():
-            return joined
-        short = sets.likely(all_pairs(members, by, MORE).join(compared, ["a", "b"], "left_anti"))
+            break
+        short = sets.likely(all_pairs(members, by, few).join(compared, ["a", "b"], "left_anti"))
         compared = compared.union(short)
-        done = sets.confirmed(stars(members, "pivot", MORE).withColumn("star", F.lit(True)).union(short.withColumn("star", F.lit(False))), texts)
+        done = sets.confirmed(stars(members, few).withColumn("star", F.lit(True)).union(short.withColumn("star", F.lit(False))), texts)
         fresh = done.where("linked").select("a", "b")
         if not fresh.isEmpty():
             joined = scratch.table(components(fresh.union(joined), scratch), "components")
-        rest = done.where("size(rest) > 0").select(F.col("a").alias("of"), F.col("b").alias("id"), "rest").join(tops, "id").join(joined, "id", "left")
-        rest = scratch.table(rest.withColumn("component", F.coalesce("component", "id")), "rest")
+        rest = done.where("size(rest) > 0").select(F.col("a").alias("of"), F.col("b").alias("id"), "step", "excess", "rest")
+        rest = scratch.table(now(rest.join(tops, "id")), "rest")
         open_ = rest.groupBy("of").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("of")
-        rest = rest.join(open_, "of").select("of", "id", "n", "top", "component", F.size("rest").alias("rest"), F.explode("rest").alias("v"))
-        rows, by = needed(in_bands(rest, FINE), scratch).select("of", "v", "band", "size", "id", "n", "top"), ["of", "v", "band"]
+        rows, by = needed(rest.join(open_, "of"), scratch), ["of", "v", "low", "sides"]
+    return joined
 
 
 def near_duplicates(docs: DataFrame, spark: SparkSession) -> DataFrame:
