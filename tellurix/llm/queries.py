@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tellurix.llm import bpe, chat, embeddings, html, licenses, mixing, neardup, quality, secrets, warc
+from tellurix.llm import bpe, bytebpe, chat, codes, divergence, embeddings, html, licenses, mixing, neardup, quality, secrets, warc
 from tellurix.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +52,18 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), spark)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.op11(table(spark, sf_dir, "embeddings"), spark)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), spark)
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encode(table(spark, sf_dir, "documents"), BYTE_BPE, public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # which itself imports this module
 
@@ -70,6 +83,9 @@ QUERIES = {
         op8_secret_scan,
         op9_embedding_neardup,
         op10_html_extraction,
+        op11_vector_codes,
+        op12_source_divergence,
+        op13_byte_bpe,
         pipeline,
     )
 }
@@ -80,4 +96,6 @@ ORACLE_SQL = {
     "op4_mixing": mixing.SQL,
     "op7_minhash_neardup": neardup.SQL,
     "op9_embedding_neardup": embeddings.SQL,
+    "op11_vector_codes": codes.SQL,
+    "op12_source_divergence": divergence.SQL,
 }

@@ -18,8 +18,8 @@ def test_query(spark, name):
     assert rows_of(df) == rows
 
 
-def test_ten_operators_and_the_pipeline():
-    assert {x.split("_")[0] for x in QUERIES} == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+def test_thirteen_operators_and_the_pipeline():
+    assert {x.split("_")[0] for x in QUERIES} == {f"op{i}" for i in range(1, 14)} | {"pipeline"}
 
 
 @pytest.mark.parametrize("name", NATIVE)
