@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from array import array
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from operator import methodcaller
@@ -23,31 +23,27 @@ MEMO, SHORT = 400_000, 64
 NONE, PLACE = (1 << 62), 32
 
 
-class LeastPair:
-    """A segment tree over byte positions: a leaf holds the key of the pair that starts there, an inner node the smaller of
-    its two children, so that the root has the leftmost pair of the least rank."""
+def grown(keys: list[int]) -> list[int]:
+    """A segment tree over byte positions: leaf i, at len(keys) + i, holds the key of the pair that starts at byte i, an
+    inner node the smaller of its two children, so that the root, at 1, is the leftmost pair of the least rank."""
+    n = len(keys)
+    tree = [NONE] * n + keys
+    for i in range(n - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    return tree
 
-    def __init__(self, keys: list[int]):
-        self.leaves = len(keys)
-        self.tree = tree = array("q", [NONE]) * len(keys) + array("q", keys)
-        for i in range(self.leaves - 1, 0, -1):
-            tree[i] = min(tree[2 * i], tree[2 * i + 1])
 
-    def put(self, at: int, key: int) -> None:
-        """Changes a leaf, and the nodes above it up to the first that stays as it is."""
-        tree, i = self.tree, at + self.leaves
-        tree[i] = key
-        while i > 1:
-            i >>= 1
-            a, b = tree[2 * i], tree[2 * i + 1]
-            least = a if a < b else b
-            if tree[i] == least:
-                return
-            tree[i] = least
-
-    @property
-    def top(self) -> int:
-        return self.tree[1]
+def put(tree: list[int], node: int, key: int) -> None:
+    """Changes a leaf, and the nodes above it up to the first that stays as it is."""
+    tree[node] = key
+    while node > 1:
+        other = tree[node ^ 1]
+        least = key if key < other else other
+        node >>= 1
+        if tree[node] == least:
+            return
+        tree[node] = key = least
 
 
 class Pieces(dict):
@@ -60,34 +56,29 @@ class Pieces(dict):
         if any(bytes([x]) not in self.ranks for x in range(256)):
             raise ValueError(f"{path}: not every byte has a rank")
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
         self.pattern = regex.compile(pattern)
 
     def merged(self, raw: bytes) -> list[int]:
         """Ids of a piece of at least two bytes. `after` and `before` link the starts of the parts that are left. A merge
         changes three leaves: its own pair, that of the part before it, and that of the part it swallowed."""
-        n, rank, longest = len(raw), self.ranks.get, self.longest
-        after, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-
-        def key(i: int) -> int:
-            j = after[i]
-            if j == n or after[j] - i > longest:
-                return NONE
-            r = rank(raw[i : after[j]])
-            return NONE if r is None else r << PLACE | i
-
-        pairs = LeastPair([key(i) for i in range(n - 1)] or [NONE])
-        while pairs.top < NONE:
-            i = pairs.top & (1 << PLACE) - 1
+        n, rank, place = len(raw), self.ranks.get, (1 << PLACE) - 1
+        leaves = n - 1
+        found = [rank(raw[i : i + 2], NONE) for i in range(leaves)]
+        tree = grown([NONE if r == NONE else r << PLACE | i for i, r in enumerate(found)])
+        after, before = list(range(1, n + 1)), list(range(-1, n))
+        while (top := tree[1]) < NONE:
+            i = top & place
             gone = after[i]
             after[i] = then = after[gone]
-            if then < n:
-                before[then] = i
-            if gone < n - 1:  # the last byte starts no pair and has no leaf
-                pairs.put(gone, NONE)
-            pairs.put(i, key(i))
-            if before[i] >= 0:
-                pairs.put(before[i], key(before[i]))
+            before[then] = i
+            if gone < leaves:  # the last byte starts no pair and has no leaf
+                put(tree, leaves + gone, NONE)
+            r = NONE if then == n else rank(raw[i : after[then]], NONE)
+            put(tree, leaves + i, NONE if r == NONE else r << PLACE | i)
+            if i:
+                j = before[i]
+                r = rank(raw[j:then], NONE)
+                put(tree, leaves + j, NONE if r == NONE else r << PLACE | j)
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[raw[i : after[i]]])
@@ -97,7 +88,7 @@ class Pieces(dict):
     def __missing__(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.ranks.get(raw)  # a piece that is a token is that token, however merges would build it
-        ids = np.array([whole] if whole is not None else self.merged(raw), "<u4").tobytes()
+        ids = struct.pack("<I", whole) if whole is not None else struct.pack(f"<{len(m := self.merged(raw))}I", *m)
         if len(piece) <= SHORT:
             self[piece] = ids
         return ids

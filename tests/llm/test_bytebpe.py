@@ -54,12 +54,12 @@ def test_the_tree_keeps_the_leftmost_least_key():
     r = random.Random(2)
     for n in range(1, 40):
         keys = [r.randint(0, 5) << bytebpe.PLACE | i for i in range(n)]
-        tree = bytebpe.LeastPair(keys)
+        tree = bytebpe.grown(keys)
         for _ in range(60):
-            assert tree.top == min(keys)
+            assert tree[1] == min(keys)
             i = r.randrange(n)
             keys[i] = r.choice([bytebpe.NONE, r.randint(0, 5) << bytebpe.PLACE | i])
-            tree.put(i, keys[i])
+            bytebpe.put(tree, n + i, keys[i])
 
 
 def check(spark, docs):
