@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tellurix.operators.ranks import cumulative, quantiles
+
 #: Sums of doubles depend on their order in the last bits; results are given to so many places.
 DIGITS = 6
 
@@ -74,17 +76,19 @@ def weighted_mean(df: DataFrame, value: str, weight: Column, by: Sequence[str])
     return df.groupBy(*by).agg(F.count("*").alias("n"), rounded(ratio(F.sum(F.col(value) * weight), F.sum(weight)), "mean"))
 
 
-def auc(pairs: DataFrame, steps: int = 1000) -> DataFrame:
-    """Area under the ROC curve of the score `p` in [0, 1], rounded to 1 / steps, for the event `y`: the rank sum with ties
-    at their mean rank. Rows are counted by score first, so the window over all scores has steps + 1 rows at most,
-    whatever the number of pairs."""
-    counts = complete(pairs, "p", "y").groupBy(F.round(F.col("p") * steps).cast("long").alias("s")).agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = counts.select("pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins")).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("wins").alias("w"))
+def auc(pairs: DataFrame) -> DataFrame:
+    """Area under the ROC curve of the score `p` for the event `y` (0 or 1): the rank sum with ties at their mean rank, over
+    the exact scores."""
+    ranked = cumulative(complete(pairs, "p", "y"), [], "p", {"pos": F.col("y").cast("long"), "neg": (1 - F.col("y")).cast("long")})
+    wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
+    total = ranked.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), wins.alias("w"))
     return total.select("n_pos", "n_neg", rounded(ratio(F.col("w"), F.col("n_pos") * F.col("n_neg")), "auc"))
 
 
 def quantile_error(pairs: DataFrame, by: Sequence[str], at: Sequence[float] = (0.1, 0.5, 0.9)) -> DataFrame:
-    """Difference of the quantiles of `f` and `o`, by stratum. Exact; for very large strata use approx_percentile."""
-    cols = [rounded(F.percentile("f", F.lit(q)) - F.percentile("o", F.lit(q)), f"q{round(q * 100)}") for q in at]
-    return complete(pairs, "f", "o").groupBy(*by).agg(F.count("*").alias("n"), *cols)
+    """Difference of the exact quantiles of `f` and `o`, by stratum."""
+    names = {f"q{round(q * 100)}": q for q in at}
+    rows = complete(pairs, "f", "o").select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("_of"), F.col(c).cast("double").alias("_v")) for c in ("f", "o")])))
+    each = quantiles(rows, [*by, "_of"], "_v", names)
+    of = lambda c, q: F.max(F.when(F.col("_of") == c, F.col(q)))
+    return each.groupBy(*by).agg(F.max("n").alias("n"), *[rounded(of("f", q) - of("o", q), q) for q in names])

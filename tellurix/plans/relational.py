@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellurix.functions.scores import rounded
-from tellurix.operators import pairing
+from tellurix.operators import pairing, ranks
 from tellurix.plans.registry import query
 from tellurix.sources import formats
 from tellurix.sources.tables import table
@@ -60,9 +60,10 @@ def left_anti(spark: SparkSession, d: str) -> DataFrame:
     SELECT s.s_suppkey, count(*)::BIGINT AS richer FROM supplier s JOIN customer c ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal
     GROUP BY s.s_suppkey""")
 def theta_join(spark: SparkSession, d: str) -> DataFrame:
-    """An inequality beside an equality, so that the join is dealt out by a key."""
-    on = (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_acctbal") > F.col("s_acctbal"))
-    return table(spark, d, "supplier").join(table(spark, d, "customer"), on).groupBy("s_suppkey").agg(F.count("*").alias("richer"))
+    """An inequality beside an equality, of which only the number of matches is asked: by ranks, without any pair."""
+    poorer = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
+    out = ranks.count_above(poorer, table(spark, d, "customer").withColumnRenamed("c_nationkey", "nation"), ["nation"], "s_acctbal", "c_acctbal", "richer")
+    return out.where("richer > 0").select("s_suppkey", "richer")
 
 
 @query("""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tellurix.operators import pairing
 from tellurix.plans.registry import query
 from tellurix.sources import formats
 from tellurix.sources.tables import table
@@ -17,8 +18,8 @@ PAIRS = "SELECT ts, event_type, value AS o, lag(value) OVER (PARTITION BY user_i
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("ts", "event_type", F.lag("value").over(w).alias("f"), F.col("value").alias("o")).where("f is not null")
+    out = pairing.persistence(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value", keep=["ts", "event_type"])
+    return out.select("ts", "event_type", "f", "o").where("f is not null")
 
 
 @query(f"""

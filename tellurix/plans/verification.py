@@ -74,7 +74,7 @@ def weighted_means(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-    WITH s AS (SELECT round(p * 1000)::BIGINT AS s, quality AS y FROM ({JUDGED})),
+    WITH s AS (SELECT p AS s, quality AS y FROM ({JUDGED})),
     c AS (SELECT s, sum(y) AS pos, sum(1 - y) AS neg FROM s GROUP BY s),
     w AS (SELECT pos, neg, pos * (coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + neg / 2) AS wins FROM c)
     SELECT sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg, round(sum(wins) / nullif(sum(pos) * sum(neg), 0), 6) AS auc FROM w""")

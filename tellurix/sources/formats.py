@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -38,10 +39,28 @@ def stream(spark: SparkSession, folder: str, schema: StructType | str, kind: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share (spark.checkpoint.dir); a local master may do without."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder in the one that driver and executors share (spark.checkpoint.dir); a local master may do without, as it
+    has no other machines. The folder goes when the driver's Python ends."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/tellurix/{uuid.uuid4().hex}"
+    folder = f"{base.rstrip('/')}/tellurix/{uuid.uuid4().hex}"
+    atexit.register(delete, spark, folder)
+    return folder
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the session has ended before; the folder is the cluster's to clean
+        pass
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read again: its rows are then fixed, and survive the loss of any executor."""
+    folder = shared_folder(df.sparkSession)
+    write(df, folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tellurix.functions import scores
@@ -35,6 +38,45 @@ def test_persistence(spark):
     assert sorted((r.k, r.f, r.o) for r in pairing.persistence(df, ["k"], ["t"], "v").where("f is not null").collect()) == [("a", 3.0, 5.0)]
 
 
+def spread(r, n):
+    """Rows of few keys over 30 years, some at once, some at the same instants, some without key, time or value."""
+    at_ = lambda: None if r.random() < 0.02 else datetime(1960, 1, 1) + timedelta(hours=r.choice([r.randint(0, 270_000), r.randint(90_000, 90_030)]))
+    return [(i, r.choice(["a", "a", "a", "b", None]), at_(), r.choice([None, float(r.randint(0, 9))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "int"])
+def test_keys_cut_into_buckets_give_the_rows_of_one_window_a_key(spark, kind):
+    r = random.Random(kind)
+    schema, to = "id int, k string, t timestamp_ntz, v double", "datediff(t, date'1970-01-01')" if kind == "int" else f"cast(t as {kind})"
+    left, right = (spark.createDataFrame(spread(r, n), schema).withColumn("t", F.expr(to)) for n in (300, 400))
+    w = Window.partitionBy("k").orderBy("t", "_side", F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    both = left.select("id", "k", "t", F.lit(None).cast("double").alias("v"), F.lit(1).alias("_side")).unionByName(right.select("id", "k", "t", "v", F.lit(0).alias("_side")))
+    want = {x.id: x.x for x in both.withColumn("x", F.last("v", ignorenulls=True).over(w)).where("_side = 1").collect()}
+    for length in (7, 86400):
+        assert {x.id: x.x for x in pairing.as_of(left, right, ["k"], "t", "v", "x", length).collect()} == want
+        plain = right.select("id", F.lag("v").over(Window.partitionBy("k").orderBy("t", "id")).alias("f"), "v")
+        assert sorted(map(repr, (tuple(x) for x in pairing.persistence(right, ["k"], ["t", "id"], "v", ["id"], length).select("id", "f", "o").collect()))) == sorted(repr(tuple(x)) for x in plain.collect())
+
+
+def test_one_key_makes_many_tasks(spark):
+    """Nothing is dealt out by the key alone, and the only key's rows lie in most partitions of the result."""
+    df = spark.range(20000).select((F.col("id") % 1).cast("string").alias("k"), F.timestamp_seconds(F.col("id") * 3600).alias("t"), F.col("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for out in (pairing.persistence(df, ["k"], ["t"], "v"), pairing.as_of(df, df, ["k"], "t", "v", "x")):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            dealt = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+            assert dealt and all(x.count("#") > 1 for x in dealt)
+            assert out.groupBy(F.spark_partition_id()).count().where("count > 1000").count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_other_orders_are_refused(spark):
+    with pytest.raises(ValueError):
+        pairing.persistence(spark.createDataFrame([("a", "b", 1.0)], "k string, t string, v double"), ["k"], ["t"], "v")
+
+
 def test_deterministic_leaves_out_missing_values(spark):
     df = spark.createDataFrame([(1.0, 2.0), (3.0, 2.0), (None, 1.0), (float("nan"), 1.0), (5.0, 5.0)], "f double, o double")
     r = scores.deterministic(df, by=[]).first()
@@ -56,6 +98,8 @@ def test_auc_gives_ties_half(spark):
     df = spark.createDataFrame([(0.9, 1), (0.5, 1), (0.5, 0), (0.1, 0)], "p double, y int")
     assert scores.auc(df).first().auc == 0.875
     assert scores.auc(df.where("y = 1")).first().auc is None
+    close = spark.createDataFrame([(0.50001, 1), (0.50002, 0), (0.50003, 1), (0.2, None), (None, 1)], "p double, y int")
+    assert scores.auc(close).first().auc == 0.5
 
 
 def test_reliability_puts_one_into_the_last_bin(spark):
