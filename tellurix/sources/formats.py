@@ -59,6 +59,12 @@ def delete(spark: SparkSession, folder: str) -> None:
         pass
 
 
+def made(spark: SparkSession, folder: str) -> None:
+    """Makes a folder, unless it is there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read again: its rows are then fixed, and survive the loss of any executor."""
     folder = shared_folder(df.sparkSession)

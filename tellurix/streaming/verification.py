@@ -36,12 +36,13 @@ def once(events: DataFrame, time: str, keys: Sequence[str], late: str = "10 minu
     return timed(events, time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def matched(forecasts: DataFrame, observations: DataFrame, key: str, seconds: int, late: str = "10 minutes") -> DataFrame:
-    """Forecasts (key, ft, f) with the observations (key, ot, o) of the `seconds` after them. Both watermarks and the
-    bound on the times let Spark forget old rows of either side."""
+def matched(forecasts: DataFrame, observations: DataFrame, key: str, seconds: int, late: str = "10 minutes", how: str = "inner") -> DataFrame:
+    """Forecasts (key, ft, f) with the observations (key, ot, o) of the `seconds` after them; with `how` left_outer also those
+    that have none, once the watermark has passed their time. Both watermarks and the bound on the times let Spark forget
+    old rows of either side."""
     a, b = timed(forecasts, "ft", late).alias("a"), timed(observations, "ot", late).alias("b")
-    near = (F.col("b.ot") >= F.col("a.ft")) & (F.col("b.ot") <= F.col("a.ft") + F.make_dt_interval(secs=F.lit(seconds)))
-    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & near).select(f"a.{key}", "ft", "ot", "f", "o")
+    near = (F.col("b.ot") >= F.col("a.ft")) & (F.col("b.ot") <= F.col("a.ft") + F.expr(f"interval {seconds} seconds"))
+    return a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & near, how).select(f"a.{key}", "ft", "ot", "f", "o")
 
 
 class LastValue(StatefulProcessor):
@@ -69,3 +70,47 @@ def running_persistence(events: DataFrame) -> DataFrame:
     """Persistence pairs of a stream of (event_id, ts, user_id, value): state is one number for each user."""
     rows = events.select("event_id", "ts", "user_id", "value").groupBy("user_id")
     return rows.transformWithStateInPandas(LastValue(), "user_id long, event_id long, f double, o double", "append", "none")
+
+
+class TimedSessions(StatefulProcessor):
+    """Keeps each key's open sessions, and a timer for the end of each. A session is a run of times with pauses of less than
+    the gap; when the watermark has passed its last time by the gap, its timer emits and forgets it."""
+
+    def __init__(self, gap_seconds: int):
+        self.gap = gap_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "start long, last long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        times = pd.concat([p["micros"] for p in rows])
+        runs = [(int(t), int(t), 1) for t in times] + [tuple(r) for r in self.open.get()]
+        merged: list[tuple[int, int, int]] = []
+        for start, last, n in sorted(runs):
+            if merged and start < merged[-1][1] + self.gap:
+                merged[-1] = (merged[-1][0], max(last, merged[-1][1]), n + merged[-1][2])
+            else:
+                merged.append((start, last, n))
+        self.open.put(merged)
+        for _, last, _ in merged:
+            self.handle.registerTimer(-(-(last + self.gap) // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        runs = [tuple(r) for r in self.open.get()]
+        closed, still = [r for r in runs if r[1] + self.gap <= now], [r for r in runs if r[1] + self.gap > now]
+        if closed:
+            self.open.put(still) if still else self.open.clear()
+            yield pd.DataFrame([(key[0], start, last, n) for start, last, n in closed], columns=["key", "start", "last", "n"])
+
+    def close(self) -> None:
+        pass
+
+
+def timed_sessions(events: DataFrame, time: str, gap_seconds: int, key: str, late: str = "10 minutes") -> DataFrame:
+    """`key, start, last, n` of each closed session; times in microseconds. A key's state is its open sessions, in whole
+    numbers, however many events they have. Spark's state protocol needs protobuf, and the RocksDB state store."""
+    rows = timed(events, time, late).select(F.col(key).cast("string").alias("key"), F.unix_micros(time).alias("micros"), time)
+    return rows.groupBy("key").transformWithStateInPandas(TimedSessions(gap_seconds), "key string, start long, last long, n long", "append", "EventTime")

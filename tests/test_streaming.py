@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from tellurix.sources import formats
-from tellurix.streaming import verification
+from tellurix.streaming import sinks, verification
 
 T = datetime(2024, 1, 1)
 SCHEMA = "event_id long, user_id long, ts timestamp_ntz, value double"
@@ -69,3 +69,84 @@ def test_running_persistence_keeps_the_last_value(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     assert sorted((r.event_id, r.f, r.o) for r in rows) == [(2, 1.0, 3.0), (3, 3.0, 7.0)]
+
+
+def frames_of(spark, parts):
+    return [spark.createDataFrame([(e, u, T + timedelta(minutes=m), v) for e, u, m, v in p], SCHEMA) for p in parts]
+
+
+PARTS = [[(1, 1, 0, 1.0), (2, 1, 5, 3.0)], [(3, 1, 300, 2.0)], [(4, 1, 10, 9.0), (5, 2, 310, 4.0)], [(6, 2, 4000, 5.0)]]
+
+
+def test_a_parquet_sink_goes_on_from_its_checkpoint(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    start = lambda s: sinks.to_parquet(verification.once(s, "ts", ["event_id"]).select("event_id"), folder)
+    parts = frames_of(spark, [PARTS[0], PARTS[0], PARTS[1], PARTS[3]])
+    sinks.fed(parts[:2], folder, start)
+    sinks.fed(parts[2:], folder, start)
+    start(formats.stream(spark, f"{folder}/in", SCHEMA)).awaitTermination()
+    assert sorted(r.event_id for r in sinks.rows(spark, f"{folder}/rows", "event_id long").collect()) == [1, 2, 3, 6]
+
+
+def replayed(folder, start, spark):
+    """Runs the last batch again, as after a crash between its output and its commit."""
+    done = sorted(folder.glob("state/commits/[0-9]*"), key=lambda p: int(p.name))[-1]
+    done.unlink()
+    (done.parent / f".{done.name}.crc").unlink(missing_ok=True)
+    start(formats.stream(spark, f"file://{folder}/in", SCHEMA)).awaitTermination()
+
+
+def test_a_batch_that_comes_again_adds_nothing(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    start = lambda s: sinks.by_batch(s, folder, sinks.late_apart("ts", "1 hour", folder))
+    sinks.fed(frames_of(spark, PARTS), folder, start)
+    read = lambda name: sorted(r.event_id for r in sinks.rows(spark, f"{folder}/{name}", SCHEMA).collect())
+    want = ([1, 2, 3, 5, 6], [4])
+    assert (read("on_time"), read("late")) == want
+    replayed(tmp_path, start, spark)
+    assert (read("on_time"), read("late")) == want
+
+
+def test_updates_come_to_the_last_of_each_key(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    start = lambda s: sinks.by_batch(s.groupBy("user_id").count(), folder, lambda batch, _: {"rows": batch}, "update")
+    sinks.fed(frames_of(spark, PARTS), folder, start)
+    read = lambda: sorted(map(tuple, sinks.latest(sinks.rows(spark, f"{folder}/rows", "user_id long, count long, batch long"), ["user_id"]).collect()))
+    assert read() == [(1, 4), (2, 2)]
+    replayed(tmp_path, start, spark)
+    assert read() == [(1, 4), (2, 2)]
+
+
+def state_rows(query):
+    return sum(s["numRowsTotal"] for s in query.recentProgress[-1]["stateOperators"])
+
+
+def test_forecasts_without_a_match_are_emitted_and_state_is_let_go(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    start = lambda s: sinks.to_parquet(verification.matched(s.selectExpr("user_id", "ts as ft", "event_id as f"), s.selectExpr("user_id", "ts as ot", "event_id as o").where("o % 2 = 0"), "user_id", 600, "10 minutes", "left_outer"), folder)
+    parts = [[(i, i % 7, i, 1.0) for i in range(k * 200, k * 200 + 200)] for k in range(4)] + [[(10_000, 99, 100_000, 1.0)]]
+    runs = sinks.fed(frames_of(spark, parts), folder, start)
+    out = sinks.rows(spark, f"{folder}/rows", "user_id long, ft timestamp, ot timestamp, f long, o long").where("f < 10000").collect()
+    events = [(e, u, m) for p in parts[:4] for e, u, m, _ in p]
+    want = {(e, o) for e, u, m in events for o, v, n in events if v == u and o % 2 == 0 and 0 <= n - m <= 10}
+    want |= {(e, None) for e, *_ in events if not any(x == e for x, _ in want)}
+    assert {(r.f, r.o) for r in out} == want and len(out) == len(want)
+    assert max(map(state_rows, runs[:4])) < 800 and state_rows(runs[-1]) <= 2
+
+
+def test_timers_close_sessions_and_leave_no_state(spark, tmp_path):
+    pytest.importorskip("google.protobuf", reason="Spark's state protocol needs protobuf")
+    folder = f"file://{tmp_path}"
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        parts = [[(1, 1, 0, 1.0), (2, 1, 50, 1.0), (3, 2, 0, 1.0)], [(4, 1, 25, 1.0), (5, 1, 90, 1.0)], [(6, 3, 9000, 1.0)]]
+        sinks.fed(frames_of(spark, parts), folder, lambda s: sinks.to_parquet(verification.timed_sessions(s, "ts", 1800, "user_id", "3 hours"), folder))
+    finally:
+        spark.conf.set(name, old)
+    out = sinks.rows(spark, f"{folder}/rows", "key string, start long, last long, n long").collect()
+    minute = lambda m: int((T + timedelta(minutes=m) - datetime(1970, 1, 1)).total_seconds() * 1e6)
+    assert sorted(map(tuple, out)) == [("1", minute(0), minute(50), 3), ("1", minute(90), minute(90), 1), ("2", minute(0), minute(0), 1)]
+    held = spark.read.format("statestore").option("stateVarName", "open").load(f"{folder}/state")
+    assert [r.key.key for r in held.select("key").distinct().collect()] == ["3"]
