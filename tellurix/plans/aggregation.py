@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tellurix.functions.scores import rounded
+from tellurix.operators import sketches
 from tellurix.operators.ranks import quantiles
+from tellurix.operators.sampling import prioritised
 from tellurix.plans.registry import query
+from tellurix.sources import formats
 from tellurix.sources.tables import table
 
 
@@ -74,6 +77,34 @@ def approximate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""
+    WITH e AS (SELECT *, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '2024-01-01') AS w FROM events)
+    SELECT strftime(w, '%Y-%m-%d') AS week, event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users, true AS users_within, true AS median_within FROM e GROUP BY 1, 2""")
+def stored_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Users and median by week from sketches stored by day, and whether they are within the stated errors of exact ones."""
+    events = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    days = formats.kept(sketches.stored(events, ["day", "event_type"], "user_id", "value"))
+    week = F.date_add(F.lit("2024-01-01").cast("date"), (F.floor(F.datediff("day", F.lit("2024-01-01")) / 7) * 7).cast("int"))
+    about = sketches.merged(days.withColumn("week", week), ["week", "event_type"])
+    exact = events.withColumn("week", week).join(about, ["week", "event_type"])
+    at_most = F.avg((F.col("value") <= F.col("about_q50")).cast("int"))
+    below = F.avg((F.col("value") < F.col("about_q50")).cast("int"))
+    out = exact.groupBy("week", "event_type").agg(F.max("n").alias("n"), F.countDistinct("user_id").alias("users"), F.max("about_distinct").alias("about"), at_most.alias("at_most"), below.alias("below"))
+    near = F.abs(F.col("about") - F.col("users")) <= F.greatest(F.lit(1), F.col("users") * sketches.DISTINCT_ERROR)
+    return out.select(F.date_format("week", "yyyy-MM-dd").alias("week"), "event_type", "n", "users", near.alias("users_within"), ((F.col("at_most") >= 0.5 - sketches.RANK_ERROR) & (F.col("below") <= 0.5 + sketches.RANK_ERROR)).alias("median_within"))
+
+
+@query("""
+    WITH p AS (SELECT event_id, event_type, value, value / ((('0x' || substr(md5('s1|' || event_id), 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496.0) AS priority FROM events WHERE value > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY priority DESC, event_id) AS k FROM p),
+    c AS (SELECT *, max(priority) FILTER (WHERE k = 51) OVER (PARTITION BY event_type) AS cut FROM r)
+    SELECT event_type, event_id, round(greatest(value, cut), 6) AS weight FROM c WHERE k <= 50""")
+def priority_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty events of each type, drawn by their values, the same ones each time."""
+    out = prioritised(table(spark, d, "events"), ["event_type"], 50, "value", ["event_id"], "s1")
+    return out.select("event_type", "event_id", rounded(F.col("weight"), "weight"))
+
+
 @query("""
     SELECT c_nationkey, arg_max(c_name, (c_acctbal, c_custkey)) AS richest, arg_min(c_name, (c_acctbal, c_custkey)) AS poorest FROM customer GROUP BY c_nationkey""")
 def arg_extremes(spark: SparkSession, d: str) -> DataFrame:

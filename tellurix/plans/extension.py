@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,15 +35,77 @@ def pandas_aggregate(spark: SparkSession, d: str) -> DataFrame:
 @query("""
     SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 9) AS anomaly FROM events""")
 def grouped_map(spark: SparkSession, d: str) -> DataFrame:
-    """Anomalies from each user's mean. A user's events must fit a task; a window function has no such bound."""
+    """Anomalies from each user's mean. The mean comes from an aggregate, and a user's events of one week are what a call gets."""
 
     def anomalies(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"event_id": g["event_id"], "anomaly": g["value"] - g["value"].mean()})
+        return pd.DataFrame({"event_id": g["event_id"], "anomaly": g["value"] - g["mean"]})
 
-    out = table(spark, d, "events").select("event_id", "user_id", "value").groupBy("user_id").applyInPandas(anomalies, "event_id long, anomaly double")
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    events = events.join(events.groupBy("user_id").agg(F.avg("value").alias("mean")), "user_id")
+    out = events.groupBy("user_id", F.date_trunc("week", "ts").alias("week")).applyInPandas(anomalies, "event_id long, anomaly double")
     return out.select("event_id", F.round("anomaly", 9).alias("anomaly"))
 
 
+@query("""
+    WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT event_id AS view, user_id, ts AS seen FROM events WHERE event_type = 'view'),
+    n AS (SELECT event_id, view, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(seen) - epoch_us(ts)), seen, view) AS k FROM p JOIN v ON p.user_id = v.user_id AND abs(epoch_us(seen) - epoch_us(ts)) <= 21600000000)
+    SELECT p.event_id, n.view FROM p LEFT JOIN (SELECT * FROM n WHERE k = 1) n USING (event_id)""")
+def cogrouped_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """For each purchase the user's nearest view within six hours, before or after. A call gets a user's purchases of one week,
+    and the views of that week and of six hours on either side."""
+    reach, week = 6 * 3600 * 1_000_000, 7 * 86400 * 1_000_000
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    bucket = lambda t: F.floor(t / week)
+    purchases = events.where("event_type = 'purchase'").select("event_id", "user_id", "t", bucket(F.col("t")).alias("bucket"))
+    reached = F.array_distinct(F.array(bucket(F.col("t") - reach), bucket(F.col("t") + reach)))
+    views = events.where("event_type = 'view'").select("event_id", "user_id", "t", F.explode(reached).alias("bucket"))
+
+    def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({"event_id": a["event_id"], "view": pd.array([pd.NA] * len(a), "Int64")})
+        b = b.sort_values(["t", "event_id"])
+        seen, t = b["t"].to_numpy(), a["t"].to_numpy()
+        after = np.searchsorted(seen, t)  # the first view at or after; before it, the first of those at the same instant
+        before = np.searchsorted(seen, seen[np.maximum(after - 1, 0)])
+        far = np.iinfo(np.int64).max
+        to_after = np.where(after < len(seen), np.abs(seen[np.minimum(after, len(seen) - 1)] - t), far)
+        to_before = np.where(after > 0, np.abs(t - seen[before]), far)
+        best = np.where(to_before <= to_after, before, np.minimum(after, len(seen) - 1))
+        view = pd.Series(b["event_id"].to_numpy()[best], index=a.index).astype("Int64")
+        return pd.DataFrame({"event_id": a["event_id"], "view": view.mask(np.minimum(to_before, to_after) > reach)})
+
+    both = purchases.groupBy("user_id", "bucket").cogroup(views.groupBy("user_id", "bucket"))
+    return both.applyInPandas(nearest, "event_id long, view long")
+
+
+@query("""
+    WITH m AS (SELECT user_id, ts::DATE AS day, event_id, ts, CASE WHEN value > lag(value) OVER w THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id, day ORDER BY ts, event_id) AS run FROM m),
+    n AS (SELECT user_id, day, run, count(*) AS n FROM g GROUP BY ALL)
+    SELECT user_id, strftime(day, '%Y-%m-%d') AS day, count(*)::INTEGER AS runs, max(n)::INTEGER AS longest FROM n GROUP BY user_id, day""")
+def partitioned_table_function(spark: SparkSession, d: str) -> DataFrame:
+    """Rising runs in each user's values of a day: a function over a table, partition by partition and in order, that gives its
+    row when a partition ends."""
+
+    @F.udtf(returnType="user_id long, day string, runs int, longest int")
+    class Runs:
+        def __init__(self):
+            self.of, self.runs, self.longest, self.length, self.last = None, 0, 0, 0, None
+
+        def eval(self, row):
+            rises = self.last is not None and row["value"] is not None and row["value"] > self.last
+            self.length = self.length + 1 if rises else 1
+            self.runs += not rises
+            self.of, self.last, self.longest = (row["user_id"], row["day"]), row["value"], max(self.longest, self.length)
+
+        def terminate(self):
+            if self.of:
+                yield *self.of, self.runs, self.longest
+
+    events = table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts", "event_id", "value")
+    return Runs(events.asTable().partitionBy("user_id", "day").orderBy("ts", "event_id"))
+
+
 @query("SELECT r_regionkey, (unnest(range(1, r_regionkey + 1)))::INTEGER AS i FROM region")
 def table_function(spark: SparkSession, d: str) -> DataFrame:
     @F.udtf(returnType="i int")
