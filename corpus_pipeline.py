@@ -16,8 +16,9 @@ from tellurix.llm.queries import WORD_BPE
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go; the others lose the lines that are frequent on their host."""
-    return quality.cleaned(docs, quality.rules(docs, spark))
+    """Documents that the quality rules reject go; the others lose the lines that are frequent on their host, but for the first
+    text with a line, which keeps it: of near copies, whose lines are all frequent, one is left."""
+    return quality.cleaned(docs, quality.rules(docs, spark, first_stays=True))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,13 +88,17 @@ def text_statistics(batch: pa.RecordBatch, memo=[Numbers()]) -> pa.RecordBatch:
     return record_batch({"doc_id": (batch.column("doc_id"), pa.int64()), "host": (batch.column("host"), pa.string()), "row_key": (batch.column("row_key"), pa.string())} | own)
 
 
-def rules(docs: DataFrame, spark: SparkSession, host: str = "source") -> DataFrame:
+def rules(docs: DataFrame, spark: SparkSession, host: str = "source", first_stays: bool = False) -> DataFrame:
     """A verdict for each row of `docs` (doc_id, text and the host column; other columns are dropped).
 
     Lines are lower-cased in A-Z, their white space made single blanks, and hashed. For each host and line, distinct
     documents are counted, exact copies once. A line above MAX_DOCS documents and MAX_SHARE of its host's is removed.
     A document that keeps less than MIN_LEFT of its words, or fewer than LEAST_WORDS, is depleted.
 
+    With `first_stays` a frequent line stays in one text of its host: the first, in the order of a hash of host and text, of
+    those that pass the base rules. So a group of copies or near copies, whose lines are all frequent, is not rejected
+    as a whole: the first text keeps its lines, and the others go.
+
     Returns doc_id, the statistics, base_failed, kept, removed_words, removed (hashes of its removed lines) and row_key, by
     which `cleaned` finds a row's verdict. A null or empty text, however many, has no words and so fails the base
     rules; null hosts are one host; repeated rows are judged each, and alike; very long texts are judged whole; an
@@ -107,12 +111,14 @@ def rules(docs: DataFrame, spark: SparkSession, host: str = "source") -> DataFra
     own = docs.select("doc_id", F.col(host).alias("host"), row_key(host, "text").alias("row_key"), "text")
     stats = scratch.table(per_batch(own, text_statistics, SCHEMA).withColumn("_row", F.monotonically_increasing_id()), "stats")
     host_key = F.concat(F.col("host").isNull().cast("string"), F.coalesce("host", F.lit("")))
-    lines = stats.select("_row", host_key.alias("_host"), "row_key", F.inline(F.arrays_zip("line_hash", "line_words")))
+    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    place = F.when(~base_failed, F.xxhash64("row_key")) if first_stays else F.lit(None).cast("long")
+    lines = stats.select("_row", host_key.alias("_host"), "row_key", place.alias("place"), F.inline(F.arrays_zip("line_hash", "line_words")))
     hosts = stats.groupBy(host_key.alias("_host"), "row_key").agg(F.lit(1).alias("x")).groupBy("_host").agg(F.count("*").alias("_docs"))
-    counted = lines.groupBy("_host", "line_hash", "row_key").agg(F.lit(1).alias("x")).groupBy("_host", "line_hash").agg(F.count("*").alias("n"))
+    counted = lines.groupBy("_host", "line_hash", "row_key").agg(F.min("place").alias("place")).groupBy("_host", "line_hash").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    elsewhere = ~F.col("place").eqNullSafe(F.col("first")) | F.col("first").isNull()
     frequent = counted.where(F.col("n") > MAX_DOCS).join(hosts, "_host").where(F.col("n") > MAX_SHARE * F.col("_docs"))
-    gone = lines.join(frequent.select("_host", "line_hash"), ["_host", "line_hash"]).groupBy("_row").agg(F.sum("line_words").alias("removed_words"), F.array_sort(F.collect_list("line_hash")).alias("removed"))
-    base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    gone = lines.join(frequent.select("_host", "line_hash", "first"), ["_host", "line_hash"]).where(elsewhere).groupBy("_row").agg(F.sum("line_words").alias("removed_words"), F.array_sort(F.collect_list("line_hash")).alias("removed"))
     out = stats.drop("line_hash", "line_words").join(gone, "_row", "left").withColumns(
         {"base_failed": base_failed, "removed_words": F.coalesce("removed_words", F.lit(0)), "removed": F.coalesce("removed", F.array().cast("array<bigint>"))}
     )
