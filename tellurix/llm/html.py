@@ -20,18 +20,25 @@ MANY, SHARE, ENOUGH = 5, 0.05, 100
 
 # Kinds of elements, by tag, role, and words of class and id.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
+NESTS = {"svg", "object", "canvas", "audio", "video", "map"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 CHROME = RAW | {"head", "nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "audio", "video", "dialog", "menu", "map"}
 CHROME_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar"}
 CHROME_WORDS = set(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
     "footer masthead cookie cookies consent notice popup modal newsletter subscribe share sharing social related recommended comment comments "
-    "commentlist respond disqus reply replies pagination pager widget toolbar topbar login signup adsbygoogle adbox adslot notices alert announcement".split()
+    "commentlist respond disqus reply replies pagination pager widget widgets toolbar topbar login signup adsbygoogle adbox adslot notices alert announcement".split()
 )
 # Words that may stand beside those above in the name of page furniture, as in site-footer or share-buttons.
-BESIDE = set("site main page top bottom left right box list area bar button buttons block container wrapper wrap section inner outer link links post posts form item items title unit slot zone".split())
+BESIDE = set("site main page top bottom left right box list area bar button buttons block container wrapper wrap section inner outer link links post posts form item items title unit slot zone law info".split())
+# Whole names of page furniture whose words are not.
+CHROME_NAMES = {"author-bio", "author-box", "site-info"}
 # Names by which an article element itself is no article: a comment, a teaser, an advert.
 NO_ARTICLE = set("comment comments reply replies related recommended promo promotion sponsored ad ads advert advertisement".split())
+# Words that may stand beside a comment's in an article's name, as in div-comment-17 or comment-body.
+OF_COMMENTS = BESIDE | {"div", "body", "content", "text", "entry", "thread", "author", "meta"}
+# Words of the names by which even prose within an article is none of it: adverts, sharing, readers' comments.
+NO_PROSE = set("ad ads advert adverts advertisement advertising adsbygoogle adbox adslot sponsor sponsored promo share sharing social comment comments reply replies".split())
 MAIN = {"article", "main"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3",
@@ -41,56 +48,85 @@ PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "td", "th", "tr", "dd",
 #: An opening tag ends an open element of these kinds, within the nearest element of the others.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
+#: An attribute, as browsers read one: quotes count only after the equals sign, and one that is never closed is part of the value.
+VALUE = r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+NAME = r"""(?:=[^\s/>=]*+|[^\s/>=]++)"""
+TAG = re.compile(rf"""<!--.*?(?:-->|$)|<[!?][^>]*+>|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{NAME}(?:{VALUE})?)*+)>""", re.S)
+ATTRIBUTE = re.compile(rf"({NAME})({VALUE})?")
 PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    """An element. `chrome` is what its own tag and names say; `holds` is whether it is, or an element within it, a main or
-    article element; `size` counts the characters of all text within."""
+    """An element. `chrome` is what its own tag and names say, and `article` that it may be the page's main element; `main` is
+    the main element that it is or stands in, and `holds` whether it is one or one stands in it (see `settled`); `size`
+    counts the characters of all text within."""
 
-    __slots__ = ("tag", "parent", "chrome", "by_tag", "main", "prose", "holds", "pieces", "hash", "size", "number")
+    __slots__ = ("tag", "parent", "chrome", "by_tag", "article", "main", "prose", "holds", "pieces", "hash", "size", "number", "names")
 
     def __init__(self, tag: str, parent: Node | None, number: int):
         self.tag, self.parent, self.number = tag, parent, number
-        self.chrome = self.by_tag = self.holds = False
-        self.main, self.prose = (parent.main, parent.prose) if parent else (None, False)
+        self.chrome = self.by_tag = self.article = self.holds = False
+        self.main, self.prose, self.names = None, parent.prose if parent else False, ()
         self.pieces, self.hash, self.size = [], None, 0
 
 
 def names_of(attributes: str) -> tuple[set[str], set[str]]:
     """An opening tag's class and id names, and its roles."""
-    names, roles = set(), set()
+    found = {"class": set(), "id": set(), "role": set()}
     for name, value in ATTRIBUTE.findall(attributes) if "=" in attributes else ():
-        (roles if name.lower() == "role" else names).update(value.strip("\"'").split())
-    return names, {r.lower() for r in roles}
+        if name.lower() in found:
+            found[name.lower()].update(value.lstrip().removeprefix("=").strip().strip("\"'").split())
+    return found["class"] | found["id"], {r.lower() for r in found["role"]}
 
 
-def of_furniture(name: str, words: set[str] = CHROME_WORDS) -> bool:
+def of_furniture(name: str, words: set[str] = CHROME_WORDS, beside: set[str] = BESIDE) -> bool:
     """A whole class or id name made of such words and, beside at least one, of those that go with them: site-footer is one,
     no-sidebar and comments-open are not. A number may follow, as in comment-17."""
     parts = [p.lower() for p in PARTS.split(name) if p and not p.isdigit()]
-    return any(p in words for p in parts) and all(p in words or p in BESIDE for p in parts)
+    return any(p in words for p in parts) and all(p in words or p in beside for p in parts)
 
 
 def described(node: Node, attributes: str) -> None:
     """Fills in what an element is by its tag and names."""
     names, roles = names_of(attributes)
-    if node.tag in MAIN and not any(of_furniture(x, NO_ARTICLE) for x in names):
-        node.main, up = node.main or node, node
-        while up is not None and not up.holds:
-            up.holds, up = True, up.parent
-        return
-    header = node.tag == "header" or any(of_furniture(x, {"header", "heading"}) and "header" in x.lower() for x in names)
-    node.by_tag = node.tag in CHROME
-    node.chrome = node.by_tag or bool(roles & CHROME_ROLES) or any(map(of_furniture, names)) or (header and node.main is None)
-    if node.tag in PROSE:
-        node.prose = True
-        if node.main is not None and not node.by_tag:
-            node.chrome = False  # prose of an article, whatever its class
-    if node.tag in ("html", "body"):
-        node.chrome = False
+    node.names, node.by_tag = names, node.tag in CHROME
+    node.prose = node.prose or node.tag in PROSE
+    if node.tag in MAIN:
+        node.article = not any(of_furniture(x, NO_ARTICLE, OF_COMMENTS) for x in names)
+        node.chrome = not node.article
+    elif node.tag not in ("html", "body"):
+        node.chrome = node.by_tag or bool(roles & CHROME_ROLES) or any(of_furniture(x) or x.lower() in CHROME_NAMES for x in names)
+
+
+def settled(nodes: list[Node]) -> None:
+    """Finds the page's main elements: the outermost articles that no chrome holds; where there is none, the one with the most text
+    of those in chrome, other than navigation and the like by their tags. What holds a main element is no chrome by its
+    names, what stands in one may be a header, and its prose is chrome only by the names of adverts and comments."""
+    within, deep = {0: (False, False)}, []  # by number: whether chrome holds an element, and chrome by its tag
+    for n in nodes[1:]:  # parents come before their children
+        up = n.parent
+        chrome, by_tag = within[up.number]
+        if n.article and up.main is None and not chrome:
+            n.main = n
+        else:
+            n.main = up.main
+            if n.article and not by_tag and n.main is None:
+                deep.append(n)
+        within[n.number] = (chrome or n.chrome and n.tag != "form", by_tag or n.by_tag and n.tag != "form")
+    tops = [n for n in nodes if n.main is n]
+    if not tops and deep:
+        tops = [max(deep, key=lambda n: (n.size, -n.number))]
+        tops[0].main = tops[0]
+        for n in nodes[1:]:
+            n.main = n.main or n.parent.main
+    for n in tops:
+        while n is not None and not n.holds:
+            n.holds, n = True, n.parent
+    for n in nodes[1:]:
+        if n.main is None and n.tag not in ("html", "body"):
+            n.chrome = n.chrome or n.tag == "header" or any(of_furniture(x, {"header", "heading"}) and "header" in x.lower() for x in n.names)
+        elif n.main is not None and n.tag in PROSE and not n.by_tag:
+            n.chrome = any(of_furniture(x, NO_PROSE) for x in n.names)
 
 
 def parsed(html: str) -> tuple[list[Node], list[list[tuple[str, Node]]]]:
@@ -177,8 +213,8 @@ def parsed(html: str) -> tuple[list[Node], list[list[tuple[str, Node]]]]:
             continue
         if tag in CHROME and not block:
             flush()
-            if end := re.compile(rf"</{tag}(?=[\s/>])[^>]*+>", re.I).search(html, at):
-                at = end.end()  # nothing within is text
+            if (end := past(tag, html, at)) is not None:
+                at = end  # nothing within is text
                 continue
         now = Node(tag, now, len(nodes))
         nodes.append(now)
@@ -190,9 +226,24 @@ def parsed(html: str) -> tuple[list[Node], list[list[tuple[str, Node]]]]:
     while now is not None:
         close(now)
         now = now.parent
+    settled(nodes)
     return nodes, blocks
 
 
+def past(tag: str, html: str, at: int) -> int | None:
+    """Where the element that begins before `at` ends, elements of its kind within it having ends of their own; if they have
+    not, its first end; None if there is none."""
+    depth, first = 1, None
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*+>", re.I).finditer(html, at):
+        depth += -1 if m[1] else not m[0].endswith("/>")
+        first = m.end() if m[1] and first is None else first
+        if not depth:
+            return m.end()
+        if first is not None and tag not in NESTS:
+            return first
+    return first
+
+
 def removable(node: Node) -> bool:
     """Templates are made of elements about the article. What is or holds an article, or is more than three quarters of one, is none; nor are
     sentences of an article, or inline elements of any sentence, that others have, too."""
