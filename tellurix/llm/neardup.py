@@ -22,6 +22,8 @@ KEPT, SLACK = 64, 5
 #: Lists with up to this many documents beside their most frequent component give all pairs of these, others pairs with
 #: their hub: lists of retained values, and lists of what members differ from a hub by, which hold less that is soon ruled out.
 SMALL, MORE = 8, 300
+#: Rows of a list that are put side by side in one.
+BLOCK = 512
 #: Rounds in which lists have hubs; after them, all lists give all their pairs.
 ROUNDS = 4
 #: Size classes between the sizes of two sets that may just link, for the first lists and for those left after them;
@@ -138,14 +140,15 @@ def stars(members: DataFrame, few: int) -> DataFrame:
 
 def all_pairs(members: DataFrame, by: list[str], few: int) -> DataFrame:
     """Pairs (a, b), a below b, of different components in each list with up to `few` rows beside its most frequent
-    component: those rows with all whose side and their own make up the list's sides, if their sizes may link."""
-    short = members.where(F.col("few") <= few)
-    others = short.where("component != most").groupBy(*by).agg(F.collect_set(F.struct("id", "component", "n", "top", "side")).alias("others"))
+    component: those rows with all whose side and their own make up the list's sides, if their sizes may link. Those rows are
+    dealt out in blocks, each of which meets all rows, so a row holds about BLOCK of them at most, however long the list."""
+    short, blocks = members.where(F.col("few") <= few), F.ceil(F.col("few") / BLOCK)
+    others = short.where("component != most").groupBy(*by, F.pmod(F.xxhash64("id"), blocks).alias("_block")).agg(F.collect_set(F.struct("id", "component", "n", "top", "side")).alias("others"))
     fit = lambda o: (
         (o["component"] != F.col("component")) & (F.col("n") <= o["top"]) & (o["n"] <= F.col("top")) & (o["side"] + F.col("side") == F.col("sides"))
         & (100 * F.least("n", o["n"]) >= PERCENT * F.greatest("n", o["n"]))
     )
-    pairs = short.join(others, by).select("id", F.explode(F.filter("others", fit)["id"]).alias("o"))
+    pairs = short.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(others, [*by, "_block"]).select("id", F.explode(F.filter("others", fit)["id"]).alias("o"))
     return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 

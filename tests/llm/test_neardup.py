@@ -115,6 +115,7 @@ def test_links_beside_a_larger_document_of_their_lists(spark, monkeypatch, few):
     Whether lists give pairs or go through rounds, the links are the same."""
     monkeypatch.setattr(neardup, "SMALL", few[0])
     monkeypatch.setattr(neardup, "MORE", few[1])
+    monkeypatch.setattr(neardup, "BLOCK", few[1] // 3)
     word = lambda p, n: [f"{p}{i}" for i in range(n)]
     shared, more = word("s", 53), word("m", 19)
     texts = [[*shared, *word(f"own{k}.", 8)] for k in range(12)] + [[*shared, *more[4:]]] + [[*more, *word(f"x{k}.", 3)] for k in range(40)]
