@@ -1,5 +1,5 @@
 """BPE encoding and decoding with reuse of content-defined chunks: a chunk that stands in several places is encoded
-once, and the words that chunk borders cut are put together and encoded again."""
+once, as it stands, and where its borders cut words, the joins are repaired."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ IS_SPACE[list(SPACES)] = True
 
 def borders(raw: bytes) -> list[int]:
     """Ends of a text's chunks. They depend on the bytes before them only, so that the same passage is cut alike in
-    any text, some bytes after its start."""
+    any text, some bytes after its start. An end within a character's bytes moves behind them."""
     h = GEAR[np.frombuffer(raw, np.uint8)]
     for step in (1, 2, 4, 8, 16):  # each doubles the window
         if len(h) > step:
@@ -39,6 +39,8 @@ def borders(raw: bytes) -> list[int]:
     ends, last = [], 0
     for end in (np.flatnonzero(h >> np.uint32(32 - MEAN_BITS) == 0) + 1).tolist():
         if end - last >= LEAST:
+            while end < len(raw) and raw[end] & 0xC0 == 0x80:
+                end += 1
             ends.append(end)
             last = end
     if last < len(raw):
@@ -86,30 +88,15 @@ class Words(dict):
         if self.tokenizer.decode(ids, skip_special_tokens=False) != " ".join(self.tokenizer.id_to_token(i) or "" for i in ids):
             raise ValueError(f"{path}: not a tokenizer that decodes to its pieces with blanks between")
 
-    def settled(self, raw: bytes, at: int, first: int, last: int, end: int) -> tuple[int, int, int, int] | None:
-        """Where in a chunk's body from `first` to `last` the ids that it has by itself begin and end to hold in a text, and
-        how many of its ids come before and after; None if nowhere. At each join, the word of the text beside the body
-        (which the chunk border may have cut, and which stands between `at` and `end`) is encoded again together
-        with words of the body, one more, then two, four and so on, until the last of these has the ids that it has
-        alone: from there on the ids agree exactly, and the words before it go to the text around."""
-        words = [(m.start(), m.end()) for m in WORDS.finditer(raw, first, last)]
-        beside = [(m.start(), m.end()) for m in WORDS.finditer(raw, at, first)][-1:], [m.span() for m in (WORDS.search(raw, last, end),) if m]
-        cuts = []
-        for side, order in zip(beside, (words, words[::-1]), strict=True):
-            n = 0
-            while side and n < len(order):
-                a, b = order[n]
-                left = order is words
-                lo, hi = (side[0][0], b) if left else (a, side[0][1])
-                own, around = self.plain(raw[a:b]), self.plain(raw[lo:a] if left else raw[b:hi])
-                if self.plain(raw[lo:hi]) == (around + own if left else own + around):
-                    break
-                n = max(1, 2 * n)
-            cuts.append(n)
-        if not words or sum(cuts) >= len(words):
-            return None
-        head, tail = (sum(len(self[raw[a:b]]) for a, b in x) // self.kind().itemsize for x in (words[: cuts[0]], words[len(words) - cuts[1] :]))
-        return (words[cuts[0]][0] if cuts[0] else first, words[-1 - cuts[1]][1] if cuts[1] else last, head, tail)
+    def repaired(self, raw: bytes, start: int, end: int) -> tuple[int, int, int, int]:
+        """Where in a text the ids of the chunk at `start` to `end` hold, and how many of those that it has by itself come
+        before and after. From a border inwards, the text's words and the chunk's are compared until one has the same
+        place in both, and so the same ids; the ids of the chunk's words before it are dropped, and the text's own are
+        encoded again with what stands around. As no word's ids depend on another, that is the word the border cuts."""
+        first, last = body(raw, start, end)
+        cut = [0 < at < len(raw) and not IS_SPACE[raw[at - 1]] and not IS_SPACE[raw[at]] for at in (start, end)]
+        head, tail = (len(self.encode(x)) // self.kind().itemsize if c else 0 for x, c in zip((raw[start:first], raw[last:end]), cut, strict=True))
+        return (first if cut[0] else start, last if cut[1] else end, head, tail)
 
     def __missing__(self, word: bytes) -> bytes:
         self[word] = ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
@@ -154,14 +141,10 @@ def encoded(path: str):
             for text, shared in zip(b.column("text").to_pylist(), b.column("shared").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 at, run_, own, need, head, tail, gave, size = 0, [], [], [], [], [], {}, w.kind().itemsize
-                for s, after in zip(shared or [], [*(shared or []), None][1:], strict=True):
-                    first, last = body(raw, s["from"], s["to"])
+                for s in shared or []:
                     if s["owned"]:
-                        gave[s["hash"]] = w.encode(raw[first:last])
-                    held = w.settled(raw, at, first, last, body(raw, after["from"], after["to"])[0] if after else len(raw))
-                    if held is None:  # the joins never agree: the chunk is encoded with the text around
-                        continue
-                    start, end, skip, drop = held
+                        gave[s["hash"]] = w.encode(raw[s["from"] : s["to"]])
+                    start, end, skip, drop = w.repaired(raw, s["from"], s["to"])
                     run_.append(w.encode(raw[at:start]))
                     if s["hash"] in gave:
                         run_.append(gave[s["hash"]][skip * size : len(gave[s["hash"]]) - drop * size])
@@ -210,10 +193,9 @@ def encode(docs: DataFrame, spark: SparkSession, tokenizer: str) -> DataFrame:
 
     1. Each text is cut into chunks by a rolling hash; only chunk hashes leave the first pass.
     2. Chunks found in several places get the first of these as their owner.
-    3. Each text meets its list of such chunks. It encodes all other text, and the chunks it owns. A chunk's ids are
-       those of its body, from its first to its last white space. Each join of a body with the text around, whose words
-       the chunk border cut, is repaired: words on both sides are encoded again together, more and more of them, until
-       the ids agree exactly with the body's own, and what comes before that goes to the text around.
+    3. Each text meets its list of such chunks. It encodes all other text, and the chunks it owns, each with the pieces
+       of words at its borders. Each join of a chunk with the text around is repaired: words are encoded again from
+       the border on until text and chunk agree on a word's place, and the chunk's ids before that are dropped.
     4. The ids of owned chunks go to the texts that borrow them.
     Texts move once; a chunk held by a third of all texts is joined as a row, not gathered.
     """

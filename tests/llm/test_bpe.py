@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from itertools import pairwise
 
 import pytest
 from hypothesis import given, settings
@@ -54,16 +55,27 @@ def test_odd_documents(spark):
     assert bpe.encode(no_documents(spark), spark, WORD_BPE).count() == 0
 
 
-def test_joins_are_repaired_until_they_agree(monkeypatch):
-    """With a tokenizer in which a word's ids hang on the two words before it, so many words go to the text around."""
-    w = bpe.Words(WORD_BPE)
-    raw = b"cut ted word one two three four five six sev en"
-    assert w.settled(raw, 0, 3, 44, len(raw)) == (3, 44, 0, 0)
-    near = lambda x: [hash(tuple(x.split()[max(0, i - 2) : i + 1])) & 0xFFFF for i in range(len(x.split()))]
-    monkeypatch.setattr(w, "plain", near)
-    monkeypatch.setattr(bpe.Words, "__missing__", lambda self, word: b"\0" * 2)
-    start, end, head, tail = w.settled(raw, 0, 3, 44, len(raw)) or (None,) * 4
-    assert start is None or (raw[start:end].split() and head + tail > 0)
+def test_joins_are_repaired_until_they_agree():
+    """Chunks have ids of their own for the pieces of words at their borders, which are not those of the text."""
+    w, r = bpe.Words(WORD_BPE), random.Random(3)
+    raw = " ".join("".join(r.choice("etaoinshrdluéß가") for _ in range(r.randint(1, 12))) for _ in range(4000)).encode()
+    at, ids, dropped, differ = 0, b"", 0, 0
+    for start, end in pairwise([0, *bpe.borders(raw)]):
+        own, size = w.encode(raw[start:end]), w.kind().itemsize
+        a, b, head, tail = w.repaired(raw, start, end)
+        held = own[head * size : len(own) - tail * size]
+        assert held == w.encode(raw[a:b]) and start <= a <= b <= end
+        ids += w.encode(raw[at:a]) + held
+        at, dropped = b, dropped + head + tail
+        differ += bool(head) and own[:size] != w.encode(raw[raw.rindex(b" ", 0, start) + 1 : a])[:size]
+    assert w.digests(ids + w.encode(raw[at:])) == whole(raw.decode()) and dropped > 20 and differ > 10
+
+
+def test_shared_chunks_come_with_cut_words(spark):
+    """The same passage behind openings of different lengths: its chunks are borrowed, and words at their borders cut."""
+    r = random.Random(4)
+    passage = "-".join("".join(r.choice("etaoin") for _ in range(9)) + (" " if r.random() < 0.3 else "") for _ in range(3000))
+    check(spark, spark.createDataFrame([(i, "ab" * i + passage + "x" * i) for i in range(8)], "doc_id long, text string"))
 
 
 def test_other_tokenizers_are_refused():
