@@ -1,5 +1,6 @@
 """WARC archives with an external merge of their indexes: each task writes an archive and a locally sorted run of index
-rows; the runs are merged by URL key and time in a tree of losers, which gives captures in one global order."""
+rows; the runs are merged by URL key and time in trees of losers, a bounded number at a time, which gives captures in one
+global order."""
 
 from __future__ import annotations
 
@@ -11,6 +12,7 @@ import uuid
 import zlib
 from collections import OrderedDict
 from collections.abc import Iterator
+from itertools import batched
 
 import pyarrow as pa
 from pyarrow import fs
@@ -23,7 +25,9 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD_ID = "urn:tellurix:page:"
 #: Level of compression of each record, and archives that a merging task has open at a time.
 LEVEL, OPEN = 3, 64
-#: Bytes of records that a merging task reads back, about, and bytes that it holds of all runs' index files at a time.
+#: Runs that are merged at a time: what a merging task has open as index files.
+FAN_IN = 512
+#: Bytes of records that a merging task reads back, about, and bytes that it holds of its runs' index files at a time.
 TASK_BYTES, BUFFER = 64 << 20, 64 << 20
 INDEX = "url_key string, timestamp string, page_id long, run string, `from` long, `to` long, length long"
 CAPTURES = "page_id long, url_key string, timestamp string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, part int, place long"
@@ -71,6 +75,10 @@ def opened(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
 
 
+def index_line(key: str, when: str | None, page_id: int | None, archive: str, offset: int, length: int) -> bytes:
+    return json.dumps([key, when, page_id, archive, offset, length], ensure_ascii=False).encode() + b"\n"
+
+
 def written(folder: str):
     """Writes a task's rows, which come sorted, as one archive and one index file, and yields the index rows with their bytes'
     places in that file. A second attempt of a task writes other files, and only the rows of the attempt that Spark
@@ -88,7 +96,7 @@ def written(folder: str):
             rest = [b.column(c).to_pylist() for c in ("url_key", "url", "page_id", "timestamp", "digest", "refers_to")]
             for i, (key, url, page_id, when, digest, refers_to) in enumerate(zip(*rest, strict=True)):
                 data = record(url, page_id, when, payloads[i].as_py() or b"", base64.b32encode(bytes.fromhex(digest)).decode(), refers_to)
-                line = json.dumps([key, when, page_id, offset, len(data)], ensure_ascii=False).encode() + b"\n"
+                line = index_line(key, when, page_id, name, offset, len(data))
                 out.write(data)
                 index.write(line)
                 starts.append(at)
@@ -114,8 +122,8 @@ def index_rows(folder: str, run: str, start: int, end: int, block: int) -> Itera
             start += len(data)
             *lines, rest = (rest + data).split(b"\n")
             for line in lines:
-                key, when, page_id, offset, length = json.loads(line)
-                yield (key, when is not None, when or "", page_id is not None, page_id or 0), run, offset, length
+                key, when, page_id, archive, offset, length = json.loads(line)
+                yield (key, when is not None, when or "", page_id is not None, page_id or 0), archive, offset, length
 
 
 class LoserTree:
@@ -166,6 +174,34 @@ class Archives:
         return self.open[file].read_at(length, offset)
 
 
+def tree_of(folder: str, slices: list[dict]) -> LoserTree:
+    block = max(1 << 12, BUFFER // len(slices))
+    return LoserTree([index_rows(folder, x["run"], x["from"], x["to"], block) for x in slices])
+
+
+def lengthened(folder: str):
+    """Merges the index files of each group of runs into one of a longer run, and yields its rows as `written` does. The
+    records stay in their archives."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = opened(folder)
+        types = {"url_key": pa.string(), "timestamp": pa.string(), "page_id": pa.int64(), "run": pa.string(), "from": pa.int64(), "to": pa.int64(), "length": pa.int64()}
+        for b in batches:
+            for slices in b.column("slices").to_pylist():
+                name, at, rows = uuid.uuid4().hex, 0, tree_of(folder, slices)
+                with store.open_output_stream(f"{path}/{name}.index", compression=None) as index:
+                    for some in batched(rows, 5000):
+                        out = []
+                        for (key, has_time, when, has_id, page_id), file, offset, length in some:
+                            own = (key, when if has_time else None, page_id if has_id else None)
+                            line = index_line(*own, file, offset, length)
+                            index.write(line)
+                            out.append((*own, name, at, at := at + len(line), length))
+                        yield record_batch({n: (list(c), t) for (n, t), c in zip(types.items(), zip(*out, strict=True), strict=True)})
+
+    return run
+
+
 def merged(folder: str):
     """Merges the runs' slices of a key range in a tree of losers, and reads each record back in that order. Index files and
     archives are read as the merge goes on: as each is sorted by the same key, a slice's bytes stand one after the other."""
@@ -173,9 +209,8 @@ def merged(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part, slices in zip(b.column("part").to_pylist(), b.column("slices").to_pylist(), strict=True):
-                block = max(1 << 12, BUFFER // len(slices))
-                tree, archives, out = LoserTree([index_rows(folder, x["run"], x["from"], x["to"], block) for x in slices]), Archives(), []
-                for place, (key, name, offset, length) in enumerate(tree):
+                archives, out = Archives(), []
+                for place, (key, name, offset, length) in enumerate(tree_of(folder, slices)):
                     file = f"{folder}/{name}.warc.gz"
                     out.append((*capture(archives.read(file, offset, length), key), file, offset, part, place))
                     if len(out) == 5000:
@@ -226,11 +261,29 @@ def archive(pages: DataFrame, spark: SparkSession, least_bytes: int = 0) -> tupl
     return scratch.table(rows.mapInArrow(written(f"{scratch.base}/archives"), INDEX), "runs"), scratch
 
 
+def groups_of_runs(runs: DataFrame, n: int) -> DataFrame:
+    """The `n` runs in groups of FAN_IN at most: group, part, slices. They are dealt by a hash of their names, about FAN_IN to
+    a group, and larger groups are cut."""
+    whole = runs.groupBy("run").agg(F.lit(0).cast("long").alias("from"), F.max("to").alias("to"))
+    dealt = whole.groupBy(F.pmod(F.xxhash64("run"), F.lit(-(-n // FAN_IN))).alias("group")).agg(F.array_sort(F.collect_list(F.struct("run", "from", "to"))).alias("all"))
+    return dealt.select("group", "all", F.explode(F.sequence(F.lit(0), F.size("all") - 1, F.lit(FAN_IN))).alias("part")).select("group", "part", F.slice("all", F.col("part") + 1, F.lit(FAN_IN)).alias("slices"))
+
+
+def few_runs(runs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The index rows of FAN_IN runs at most: passes over groups of runs make one longer run of each, until there are so few."""
+    while (n := runs.agg(F.count_distinct("run")).first()[0]) > FAN_IN:
+        groups = scratch.table(groups_of_runs(runs, n), "groups")
+        before, runs = runs, scratch.table(groups.repartitionByRange(-(-2 * n // FAN_IN), "group", "part").mapInArrow(lengthened(f"{scratch.base}/archives"), INDEX), "runs")
+        scratch.drop(before, groups)
+    return runs
+
+
 def captures(pages: DataFrame, spark: SparkSession, least_bytes: int = 0) -> DataFrame:
     """Archives `pages` (see `archive`) and reads all records back in the global order of URL key, time and page_id:
     page_id, url_key, timestamp, payload_bytes, payload_digest, record_type, refers_to, file, offset, and part and place,
     by which the captures are in that order.
 
+    Runs are as many as tasks that write; passes of merges make them FAN_IN at most, whatever the table's size.
     Index rows are dealt by ranges of the whole key, so that the captures of a URL with a third of all rows are spread
     over tasks, in as many ranges as the records' bytes ask for. Of each range, only where each run's slice of it
     begins and ends goes on; a task streams its slices through the merge. A null html is an empty payload, a null url
@@ -239,6 +292,7 @@ def captures(pages: DataFrame, spark: SparkSession, least_bytes: int = 0) -> Dat
     gives an empty one. The archives lie in the shared folder until the driver ends.
     """
     runs, scratch = archive(pages, spark, least_bytes)
+    runs = few_runs(runs, scratch)
     total = runs.agg(F.sum("length")).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     dealt = runs.repartitionByRange(parts, "url_key", "timestamp", "page_id").select(F.spark_partition_id().alias("part"), "run", "from", "to")

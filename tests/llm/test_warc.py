@@ -69,3 +69,26 @@ def test_files_hold_what_the_captures_say(spark, monkeypatch):
     monkeypatch.setattr(common, "shared_folder", lambda spark: "wasb://store/shared")
     with pytest.raises(ValueError, match="pyarrow"):
         warc.captures(pages(spark, []), spark)
+
+
+def test_more_runs_than_are_merged_at_a_time(spark, monkeypatch):
+    """17 runs, 3 at a time: two passes before the last merge, no group above 3, rows and order as without passes."""
+    rows = [(None if i % 50 == 7 else i, None if i % 9 == 0 else f"http://h{i % 4}.org/{i % 5}", None if i % 11 == 0 else f"2024-{i % 3}", f"page {i % 60}") for i in range(200)]
+    docs = pages(spark, rows).repartition(17)
+    whole = warc.captures(docs, spark)
+    monkeypatch.setattr(warc, "FAN_IN", 3)
+    sizes, plain = [], warc.groups_of_runs
+
+    def spied(runs, n):
+        out = plain(runs, n)
+        sizes.append((n, [len(r.slices) for r in out.collect()]))
+        return out
+
+    monkeypatch.setattr(warc, "groups_of_runs", spied)
+    few = warc.captures(docs, spark)
+    assert len(sizes) >= 2 and sizes[0][0] > 9 and all(max(x) <= 3 and sum(x) == n for n, x in sizes)
+    key = lambda r: (r.url_key, r.timestamp or "", -1 if r.page_id is None else r.page_id)
+    got = sorted(few.collect(), key=lambda r: (r.part, r.place))
+    assert list(map(key, got)) == sorted(map(key, got))
+    bare = lambda df: sorted(repr(r[:-4]) for r in df.collect())
+    assert bare(few) == bare(whole) and len(got) == 200
