@@ -77,12 +77,22 @@ def inherited(mask: np.ndarray, above: np.ndarray, of: np.ndarray) -> np.ndarray
     return np.logical_or.reduceat(mask[parent], np.flatnonzero(np.diff(node, prepend=-1)), axis=0)
 
 
+def families(above: np.ndarray, mask: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The nodes of a level, 1,024 at most of one node of the level above (`above`) at a time, each time with the other tree's
+    nodes that `mask` leaves to any of them."""
+    order = np.argsort(above, kind="stable")
+    own = np.split(order, np.flatnonzero(np.diff(above[order])) + 1)
+    pieces = [rows[at : at + 1024] for rows in own for at in range(0, len(rows), 1024)]
+    return [(rows, cols) for rows in pieces if len(cols := np.flatnonzero(mask[rows].any(0)))]
+
+
 def dual(xa: np.ndarray, xb: np.ndarray, ta: list, tb: list) -> tuple[list, np.ndarray]:
     """Linked pairs of two blocks: node pairs all of whose points link, as (nodes' points a, points b), and pairs of
     points. Level by level, node pairs farther apart than their covering radii and the threshold are dropped, and
     pairs that lie within the threshold with their radii are taken whole; what is left in the end is compared point by
     point. A level with nearly as many nodes as the next one is passed over, as it can drop nothing that this doesn't.
-    A node pair is dropped for a level above only if all pairs of nodes that their points are of there were.
+    A node pair is dropped for a level above only if all pairs of nodes that their points are of there were. Distances
+    are measured between the children of nodes that are left, so a pair that was dropped costs its children none.
     """
     depth = min(len(ta), len(tb))
     alive = None
@@ -95,25 +105,26 @@ def dual(xa: np.ndarray, xb: np.ndarray, ta: list, tb: list) -> tuple[list, np.n
         if alive is not None:
             pa_, pb_, mask = alive
             mask = inherited(inherited(mask, pa_, oa).T, pb_, ob).T
-        whole, split = [], []
-        for at in range(0, len(na), 1024):  # bounds the memory of a level
-            rows = slice(at, at + 1024)
-            d = distances(xa[na[rows]], xb[nb])
-            low = d - ra[rows, None] - rb[None, :]
-            maybe = low <= NEAR + ROUNDING
+            parts = families(pa_[na], mask)
+        else:
+            parts = [(np.arange(at, min(at + 1024, len(na))), np.arange(len(nb))) for at in range(0, len(na), 1024)]  # bounds the memory of a level
+        whole, split, left = [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)], np.zeros((0 if last else len(na), len(nb)), bool)
+        ya, yb = xa[na], xb[nb]
+        for rows, cols in parts:
+            d, r = distances(ya[rows], yb if len(cols) == len(nb) else yb[cols]), ra[rows, None] + rb[None, cols]
+            maybe = d - r <= NEAR + ROUNDING
             if alive is not None:
-                maybe &= mask[rows]
+                maybe &= mask[rows[:, None], cols]
             if not last:
-                split.append(maybe)
+                left[rows[:, None], cols] = maybe
                 continue
-            sure = maybe & (d + ra[rows, None] + rb[None, :] <= NEAR - ROUNDING)
-            i, j = np.nonzero(sure)
-            whole.append(np.stack([i + at, j]))
-            i, j = np.nonzero(maybe & ~sure)
-            split.append(np.stack([i + at, j]))
+            sure = maybe & (d + r <= NEAR - ROUNDING)
+            for into, some in ((whole, sure), (split, maybe & ~sure)):
+                i, j = np.nonzero(some)
+                into.append(np.stack([rows[i], cols[j]]))
         if not last:
-            alive = (oa, ob, np.concatenate(split))
-            if not alive[2].any():
+            alive = (oa, ob, left)
+            if not left.any():
                 return [], np.zeros((2, 0), np.int64)
             continue
         points = lambda of, n: np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=n))[:-1])

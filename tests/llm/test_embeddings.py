@@ -92,3 +92,27 @@ def test_doubles_stay_doubles(spark):
         df = spark.createDataFrame(some, "vec_id long, embedding array<double>").selectExpr("vec_id", f"cast(embedding AS array<{kind}>) AS embedding")
         out = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df, spark).collect()}
         assert out == ({1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)} if kind == "double" else {1: (0, 1), 4: (0, 4)})
+
+
+def measured(monkeypatch, x, y):
+    """Links, and the share of node pairs' distances that the traversal measures, of all at the levels it looks at."""
+    trees, counts, own = (embeddings.cover_tree(x), embeddings.cover_tree(y)), [], embeddings.distances
+    with monkeypatch.context() as m:
+        m.setattr(embeddings, "distances", lambda a, b: counts.append(len(a) * len(b)) or own(a, b))
+        whole, pairs = embeddings.dual(x, y, *trees)
+    n = len(whole) and sum(len(p) * len(q) for p, q in whole)
+    return n + pairs.shape[1], sum(counts) / (len(x) * len(y))
+
+
+def test_pruned_pairs_cost_their_children_no_distance(monkeypatch):
+    """In clusters, node pairs stand for most pairs of points and far ones are dropped early; without clusters all are measured."""
+    r = np.random.default_rng(8)
+    around = r.normal(size=(60, 32))
+    clusters = lambda spread: embeddings.unit(np.concatenate([cloud(r, 20, 32, spread, c) for c in around]))
+    for spread, most in ((0.01, 0.02), (0.2, 0.35)):
+        x, y = clusters(spread), clusters(spread)
+        n, share = measured(monkeypatch, x, y)
+        assert n == (x @ y.T >= embeddings.COSINE).sum() and share < most, share
+    x, y = embeddings.unit(r.normal(size=(1200, 32))), embeddings.unit(r.normal(size=(1200, 32)))
+    n, share = measured(monkeypatch, x, y)
+    assert n == (x @ y.T >= embeddings.COSINE).sum() and share <= 1.0
