@@ -3,6 +3,8 @@ schemas, and written as canonical JSON. DataFrame operations only."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from tellurix.llm.common import Scratch
 Schema = dict[str, tuple[str, bool]]
 #: A reference to another call of the conversation: a string argument "$id".
 REFERENCE = r'"\$([^"\\]+)"'
+#: References to one call that a task takes at most, and rounds of levels in one job at most.
+PART, ROUNDS = 50_000, 16
 
 
 def has_type(value: Column, kind: str) -> Column:
@@ -50,9 +54,8 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     Conversations without forward references need nothing. In the others, calls with one reference are a step of a
     chain: chains are doubled, a step of 2^k calls joined with the one that it ends at, until they end at a call with
     none or several, in as many rounds as the logarithm of the longest chain; a chain still open when it has more steps
-    than its conversation has such calls runs into a cycle. Then calls with several references get their level once
-    all that they refer to have theirs, in as many rounds as such calls stand behind each other; who never gets one is
-    cyclic, however long the cycle.
+    than its conversation has such calls runs into a cycle. Calls with several references then get theirs from `peeled`;
+    who never gets one is cyclic, however long the cycle.
     """
     nodes = calls.select("conv_id", "call_id", "position")
     refs = calls.select("conv_id", "call_id", "position", F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("to"))
@@ -77,19 +80,11 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
 
     single = chains.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("end"), F.col("step").alias("more"))
     several = edges.where("out > 1").join(single, ["conv_id", "to"], "left")
-    several = several.select("conv_id", "call_id", F.coalesce("end", "to").alias("to"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"))
+    several = several.select("conv_id", "call_id", F.coalesce("end", "to").alias("to"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"), "out")
     several = scratch.table(several, "several")  # what a cycle's chain ends at is a step of it, and never has a level
     sources = edges.select("conv_id", "call_id").distinct()
     known = edges.select("conv_id", F.col("to").alias("call_id")).distinct().join(sources, ["conv_id", "call_id"], "left_anti")
-    known = scratch.table(known.withColumn("level", F.lit(0).cast("long")), "known")
-    while True:
-        met = several.join(known.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left")
-        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.count("level").alias("have"), F.max(F.col("level") + F.col("step")).alias("level")).where("n = have")
-        ready = scratch.table(ready.select("conv_id", "call_id", "level"), "ready")
-        if ready.isEmpty():
-            break
-        known = known.union(ready)
-        several = scratch.table(several.join(ready, ["conv_id", "call_id"], "left_anti"), "several")
+    known = peeled(several, known, scratch)
     ends = known.select("conv_id", F.col("call_id").alias("to"), "level")
     known = known.union(chains.join(ends, ["conv_id", "to"]).select("conv_id", "call_id", (F.col("level") + F.col("step")).alias("level")))
     out = flat.join(most, "conv_id", "left").join(known, ["conv_id", "call_id"], "left").join(sources.withColumn("refers", F.lit(True)), ["conv_id", "call_id"], "left")
@@ -98,6 +93,51 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     return out.select("conv_id", "call_id", level.alias("level"), cyclic.alias("cyclic"))
 
 
+def told(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """One round: calls that have heard of all their references tell their level to those that refer to them."""
+    ready = ~F.col("done") & (F.col("have") == F.col("out"))
+    salts = F.when(ready, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(-1)))
+    met = state.withColumn("salt", F.explode(salts)).join(edges, ["conv_id", "call_id", "salt"], "left")
+    own = F.struct("call_id", "have", "out", "parts", "level", (F.col("done") | (F.col("salt") >= 0)).alias("done"))
+    word = F.struct(
+        F.col("from_id").alias("call_id"), F.lit(1).cast("long").alias("have"), F.col("from_out").alias("out"), F.col("from_parts").alias("parts"),
+        (F.col("level") + F.col("step")).alias("level"), F.lit(False).alias("done"),
+    )
+    rows = met.select("conv_id", F.inline(F.array_compact(F.array(own, F.when(F.col("from_id").isNotNull(), word)))))
+    return rows.groupBy("conv_id", "call_id").agg(F.sum("have").alias("have"), *[F.max(c).alias(c) for c in ("out", "parts", "level", "done")])
+
+
+def peeled(several: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """Levels (conv_id, call_id, level) of the calls of `known` (conv_id, call_id), which refer to nothing, and of those
+    whose references in `several` (conv_id, call_id, to, step, out: how many the call has) all get one.
+
+    Only calls that are new or wait for some of their references are carried on: a round joins the new ones with what
+    refers to them, and adds up what each call has heard. A job is 1, 2, 4, 8 and then 16 rounds, and writes one table;
+    from there on the references that were used go as well. References to one call are dealt in parts of PART.
+    """
+    fan = several.groupBy("conv_id", F.col("to").alias("call_id")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    edges = several.join(fan, ["conv_id", "call_id"], "left").withColumn("from_parts", F.coalesce("parts", F.lit(1))).drop("parts")
+    edges = edges.withColumnsRenamed({"call_id": "from_id", "to": "call_id", "out": "from_out"}).join(fan, ["conv_id", "call_id"])
+    edges = scratch.table(edges.withColumn("salt", F.pmod(F.hash("from_id"), "parts")).drop("parts"), "dealt")
+    nothing = F.lit(0).cast("long")
+    state = known.join(fan, ["conv_id", "call_id"], "left").select("conv_id", "call_id", nothing.alias("have"), nothing.alias("out"), F.coalesce("parts", F.lit(1)).alias("parts"), nothing.alias("level"), F.lit(False).alias("done"))
+    rounds, found = 1, []
+    while True:
+        for _ in range(rounds):
+            state = told(state, edges)
+        state = scratch.table(state, "peeled")
+        new = state.where("done").select("conv_id", "call_id", "level")
+        found.append(new)
+        state = state.where("not done")
+        if state.where("have = out").isEmpty():
+            return reduce(DataFrame.union, found)
+        if len(found) == ROUNDS:
+            found = [scratch.table(reduce(DataFrame.union, found), "found")]
+        if rounds == ROUNDS:
+            edges = scratch.table(edges.join(new, ["conv_id", "call_id"], "left_anti"), "dealt")
+        rounds = min(2 * rounds, ROUNDS)
+
+
 def first_of(df: DataFrame, *rest: str) -> DataFrame:
     """The first row by position of each (conv_id, call_id). A minimum, so that an id repeated very often is summed up
     before it is shuffled."""

@@ -89,6 +89,24 @@ def test_levels_of_random_references(spark):
     assert [by["99", f"c{i}"].level for i in range(300)] == list(range(299, -1, -1)) and all(by["98", f"c{i}"].status == "cyclic" for i in range(300))
 
 
+def test_calls_of_several_references_behind_each_other(spark, monkeypatch):
+    """Chains in which each call refers to two before it in the order: tables follow the logarithm, also when all refer
+    to one call as well and references are dealt in parts, and levels are the plain ones."""
+    from tellurix.llm.common import Scratch
+
+    tables, before = [], Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: tables.append(name) or before(self, df, name))
+    monkeypatch.setattr(chat, "PART", 7)
+    written = []
+    for n in (8, 128):
+        to = {i: [j for j in dict.fromkeys((i + 1, i + 2, n)) if j <= n] for i in range(n)}
+        tables.clear()
+        _, by = link(spark, [(1, f"c{i}", i, "list", json.dumps({"items": [f"$c{j}" for j in to.get(i, [])]})) for i in range(n + 1)], [])
+        assert [by["1", f"c{i}"].level for i in range(n + 1)] == list(range(n, -1, -1)) and all(r.status != "cyclic" for r in by.values())
+        written.append(tables.count("peeled") + tables.count("dealt") + tables.count("found"))
+    assert written[0] <= 6 and written[1] <= 22, written
+
+
 def test_very_long_contents(spark):
     long = "é\"\n" * 6_000_000
     _, by = link(spark, [(1, "a", 1, "sum", json.dumps({"a": 1, "note": "x" * 300_000}))], [(1, "a", 2, long)])
