@@ -25,6 +25,8 @@ MEMO = 400_000
 GEAR = np.random.default_rng(5).integers(0, 1 << 32, 256, dtype=np.uint32)
 WORDS = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
 SPACES = b" \t\n\r\x0b\x0c"
+#: Marks that may stand behind a word's letters and leave their ids as they are; tried out for each tokenizer.
+MARKS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 
@@ -54,6 +56,12 @@ def body(raw: bytes, start: int, end: int) -> tuple[int, int] | None:
     return (start + int(space[0]), start + int(space[-1])) if len(space) > 1 else None
 
 
+def latin(word: bytes) -> bool:
+    """Latin letters only, in lower case too, none of which joins with a mark behind it."""
+    text = word.decode().lower()
+    return text.isalpha() and (text.isascii() or max(text) < "\u0250")
+
+
 class Words(dict):
     """A word's ids, as 2 or 4 bytes each. White space ends every piece that merges can reach in such a tokenizer, so a
     word's ids are the same in every text; that this is so is tried out on its own pieces when it is read."""
@@ -84,6 +92,12 @@ class Words(dict):
         for space in (" ", "\n", "\t", "\r", "\x0b", "\x0c", "  \n"):
             if self.plain(space.join(x.decode() for x in probes).encode()) != [i for ids in alone for i in ids] or self.plain(space.encode()):
                 raise ValueError(f"{path}: a word's ids depend on what stands beyond {space!r}")
+        letters = [x for x in probes if latin(x)]
+        behind = [MARKS[i : i + 1] * k for i in range(len(MARKS)) for k in (1, 2, 3)] + [MARKS, MARKS[::-1]]
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        own = all(self.plain(x + m) == self.plain(x) + self.plain(m) for x in letters[:5] for m in behind)
+        own = own and all(self.plain(t) == self.plain(x) + self.plain(t[len(x) :]) for t in added if latin(x := t.rstrip(MARKS)))
+        self.marks = MARKS if own and all(self.plain(x + b"#,") == self.plain(x) + self.plain(b"#,") for x in letters) else b""
         ids = [i for some in alone for i in some]
         if self.tokenizer.decode(ids, skip_special_tokens=False) != " ".join(self.tokenizer.id_to_token(i) or "" for i in ids):
             raise ValueError(f"{path}: not a tokenizer that decodes to its pieces with blanks between")
@@ -99,6 +113,10 @@ class Words(dict):
         return (first if cut[0] else start, last if cut[1] else end, head, tail)
 
     def __missing__(self, word: bytes) -> bytes:
+        """Letters with marks behind them are put together from the two, which fewer of are new."""
+        core = word.rstrip(self.marks) if self.marks else word
+        if core and len(core) < len(word) and latin(core):
+            return self[core] + self[word[len(core) :]]
         self[word] = ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
         return ids
 

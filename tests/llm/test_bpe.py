@@ -4,6 +4,7 @@ import hashlib
 import random
 from itertools import pairwise
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -29,6 +30,21 @@ def test_words_give_the_ids_of_the_whole_text(text):
     assert w.digests(w.encode(text.encode())) == whole(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("aZéİßſǅɐΣ́1'!#$~<>=\"", min_size=1, max_size=8), max_size=12))
+def test_letters_with_marks_behind_them(parts):
+    w = bpe.words(WORD_BPE)
+    assert w.marks == bpe.MARKS and w.digests(w.encode(" ".join(parts).encode())) == whole(" ".join(parts))
+
+
+def test_marks_stay_with_words_where_a_token_joins_them(tmp_path):
+    t = Tokenizer.from_file(WORD_BPE)
+    t.add_tokens(["o!"])
+    t.save(f"{tmp_path}/joined.json")
+    w = bpe.Words(f"{tmp_path}/joined.json")
+    assert w.marks == b"" and w.encode(b"foo!") == np.array(t.encode("foo!", add_special_tokens=False).ids, w.kind).tobytes()
+
+
 def test_borders_depend_on_what_stands_before_them():
     r = random.Random(1)
     passage = " ".join(f"w{r.randint(0, 999)}" for _ in range(4000)).encode()
