@@ -73,6 +73,8 @@ def streamed_first_rows(spark: SparkSession, d: str) -> DataFrame:
     return sinks.rows(spark, f"{folder}/rows", first.schema).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
+#: Blocks of users whose sessions are kept together.
+BLOCKS = 512
 #: Staged events come up to so many hours after their time, event by event, in SLICES of ten days of arrival.
 DELAYS, SLICES = 72, 4
 SLICE = f"least(floor(epoch(ts + to_hours((event_id % {DELAYS})::INTEGER) - TIMESTAMP '2024-01-01') / 864000), {SLICES - 1})"
@@ -140,12 +142,12 @@ def streamed_outer_match(spark: SparkSession, d: str) -> DataFrame:
     g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM m)
     SELECT user_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) AS last, count(*)::BIGINT AS n FROM g GROUP BY user_id, s""")
 def streamed_timed_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Sessions of events that come out of order, each closed by a timer of its own."""
+    """Sessions of events that come out of order, closed by timers, of which a block of users has one at a time."""
     folder, name = formats.shared_folder(spark), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        sinks.fed(arrivals(spark, d), folder, lambda stream: sinks.to_parquet(verification.timed_sessions(stream, "ts", 12 * 3600, "user_id", f"{DELAYS + 240} hours"), folder))
+        sinks.fed(arrivals(spark, d), folder, lambda stream: sinks.to_parquet(verification.timed_sessions(stream, "ts", 12 * 3600, "user_id", f"{DELAYS + 240} hours", BLOCKS), folder))
     finally:
         spark.conf.set(name, before)
     out = sinks.rows(spark, f"{folder}/rows", "key string, start long, last long, n long")

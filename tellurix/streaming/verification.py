@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,44 +74,59 @@ def running_persistence(events: DataFrame) -> DataFrame:
 
 
 class TimedSessions(StatefulProcessor):
-    """Keeps each key's open sessions, and a timer for the end of each. A session is a run of times with pauses of less than
-    the gap; when the watermark has passed its last time by the gap, its timer emits and forgets it."""
+    """Keeps the open sessions of a block of keys, and one timer, for the first of them to end. A session is a run of times
+    with pauses of less than the gap. When the watermark has passed the last time of one by the gap, the timer emits and
+    forgets all that have ended by then, and is set anew for the first of the others. So what a call costs besides
+    its rows is for a block, and not for each key or session."""
 
     def __init__(self, gap_seconds: int):
         self.gap = gap_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "start long, last long, n long")
+        self.open = handle.getValueState("open", "key array<string>, start array<long>, last array<long>, n array<long>")
+
+    def held(self) -> pd.DataFrame:
+        key, *numbers = self.open.get() if self.open.exists() else [[]] * 4
+        columns = zip(("start", "last", "n"), numbers, strict=True)
+        return pd.DataFrame({"key": pd.Series(key, dtype=object)} | {c: np.array(v, np.int64) for c, v in columns})
+
+    def hold(self, runs: pd.DataFrame) -> None:
+        if runs.empty:
+            self.open.clear()
+            return
+        self.open.update(tuple(runs[c].tolist() for c in ("key", "start", "last", "n")))
+        self.handle.registerTimer(-(-(int(runs["last"].min()) + self.gap) // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
-        times = pd.concat([p["micros"] for p in rows])
-        runs = [(int(t), int(t), 1) for t in times] + [tuple(r) for r in self.open.get()]
-        merged: list[tuple[int, int, int]] = []
-        for start, last, n in sorted(runs):
-            if merged and start < merged[-1][1] + self.gap:
-                merged[-1] = (merged[-1][0], max(last, merged[-1][1]), n + merged[-1][2])
-            else:
-                merged.append((start, last, n))
-        self.open.put(merged)
-        for _, last, _ in merged:
-            self.handle.registerTimer(-(-(last + self.gap) // 1000))
+        new = pd.concat([p[["of", "micros"]] for p in rows])
+        times = new["micros"].to_numpy().astype(np.int64)
+        runs = pd.concat([pd.DataFrame({"key": new["of"].astype(object), "start": times, "last": times, "n": 1}), self.held()], ignore_index=True)
+        runs["code"] = pd.factorize(runs["key"], use_na_sentinel=False)[0]
+        runs = runs.sort_values(["code", "start"], ignore_index=True)
+        code, reached = runs["code"].to_numpy(), runs.groupby("code")["last"].cummax().to_numpy()
+        fresh = np.append(True, (code[1:] != code[:-1]) | (runs["start"].to_numpy()[1:] >= reached[:-1] + self.gap))
+        at = np.flatnonzero(fresh)
+        last, n = np.maximum.reduceat(runs["last"].to_numpy(), at), np.add.reduceat(runs["n"].to_numpy(), at)
+        self.hold(runs.loc[at, ["key", "start"]].assign(last=last, n=n))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        runs = [tuple(r) for r in self.open.get()]
-        closed, still = [r for r in runs if r[1] + self.gap <= now], [r for r in runs if r[1] + self.gap > now]
-        if closed:
-            self.open.put(still) if still else self.open.clear()
-            yield pd.DataFrame([(key[0], start, last, n) for start, last, n in closed], columns=["key", "start", "last", "n"])
+        runs = self.held()
+        over = runs["last"] + self.gap <= timerValues.getCurrentWatermarkInMs() * 1000
+        if not runs.empty:
+            self.hold(runs[~over])
+        if over.any():
+            yield runs[over]
 
     def close(self) -> None:
         pass
 
 
-def timed_sessions(events: DataFrame, time: str, gap_seconds: int, key: str, late: str = "10 minutes") -> DataFrame:
-    """`key, start, last, n` of each closed session; times in microseconds. A key's state is its open sessions, in whole
-    numbers, however many events they have. Spark's state protocol needs protobuf, and the RocksDB state store."""
-    rows = timed(events, time, late).select(F.col(key).cast("string").alias("key"), F.unix_micros(time).alias("micros"), time)
-    return rows.groupBy("key").transformWithStateInPandas(TimedSessions(gap_seconds), "key string, start long, last long, n long", "append", "EventTime")
+def timed_sessions(events: DataFrame, time: str, gap_seconds: int, key: str, late: str = "10 minutes", blocks: int | None = None) -> DataFrame:
+    """`key, start, last, n` of each closed session; times in microseconds. State is the open sessions of each key, or, with
+    `blocks`, of all keys whose hash falls into one of so many blocks; in whole numbers, however many events they have.
+    Spark's state protocol needs protobuf, and the RocksDB state store."""
+    rows = timed(events, time, late).select(F.col(key).cast("string").alias("of"), F.unix_micros(time).alias("micros"), time)
+    by = F.pmod(F.xxhash64("of"), F.lit(blocks)) if blocks else F.col("of")
+    return rows.withColumn("key", by).groupBy("key").transformWithStateInPandas(TimedSessions(gap_seconds), "key string, start long, last long, n long", "append", "EventTime")

@@ -150,3 +150,36 @@ def test_timers_close_sessions_and_leave_no_state(spark, tmp_path):
     assert sorted(map(tuple, out)) == [("1", minute(0), minute(50), 3), ("1", minute(90), minute(90), 1), ("2", minute(0), minute(0), 1)]
     held = spark.read.format("statestore").option("stateVarName", "open").load(f"{folder}/state")
     assert [r.key.key for r in held.select("key").distinct().collect()] == ["3"]
+
+
+def test_a_block_of_keys_has_one_row_of_state(spark, tmp_path):
+    pytest.importorskip("google.protobuf", reason="Spark's state protocol needs protobuf")
+    folder = f"file://{tmp_path}"
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        user = lambda e: None if e % 41 == 40 else e % 41
+        first = [(e, user(e), e * 37 % 400, 1.0) for e in range(300)]
+        second = [(e, user(e), 200 + e * 53 % 900, 1.0) for e in range(300, 500)]
+        start = lambda s: sinks.to_parquet(verification.timed_sessions(s, "ts", 1800, "user_id", "10 hours", 4), folder)
+        sinks.fed(frames_of(spark, [first, second]), folder, start)
+        open_ = spark.read.format("statestore").option("stateVarName", "open").load(f"{folder}/state")
+        assert 1 <= open_.count() <= 4
+        sinks.fed(frames_of(spark, [[(900, 77, 90_000, 1.0)]]), folder, start)
+    finally:
+        spark.conf.set(name, old)
+    want, times = [], {}
+    for e, u, m, _ in first + second:
+        times.setdefault(u, []).append(m)
+    for u, ms in times.items():
+        runs = []
+        for m in sorted(ms):
+            if runs and m < runs[-1][-1] + 30:
+                runs[-1].append(m)
+            else:
+                runs.append([m])
+        want += [(str(u), r[0], r[-1], len(r)) for r in runs]
+    minute = lambda us: (us - int((T - datetime(1970, 1, 1)).total_seconds() * 1e6)) // 60_000_000
+    out = sinks.rows(spark, f"{folder}/rows", "key string, start long, last long, n long").collect()
+    assert sorted((str(r.key), minute(r.start), minute(r.last), r.n) for r in out) == sorted(want)
