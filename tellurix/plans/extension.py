@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tellurix.plans.registry import query
@@ -32,6 +32,16 @@ def pandas_aggregate(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("event_type").agg(F.round(spread("v"), 6).alias("spread"))
 
 
+#: Rows, of all types, of a week and a block of users: a call costs some milliseconds, however few rows it gets.
+ROWS = 20_000
+
+
+def blocks(events: DataFrame) -> Column:
+    """A number for each user, by hash, so that a block has about ROWS events in the busiest week; more only if a user has."""
+    busiest = events.groupBy(F.date_trunc("week", "ts")).count().agg(F.max("count").alias("n")).first().n or 0
+    return F.pmod(F.xxhash64("user_id"), F.lit(busiest // ROWS + 1))
+
+
 @query("""
     SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 9) AS anomaly FROM events""")
 def grouped_map(spark: SparkSession, d: str) -> DataFrame:
@@ -51,31 +61,37 @@ def grouped_map(spark: SparkSession, d: str) -> DataFrame:
     n AS (SELECT event_id, view, row_number() OVER (PARTITION BY event_id ORDER BY abs(epoch_us(seen) - epoch_us(ts)), seen, view) AS k FROM p JOIN v ON p.user_id = v.user_id AND abs(epoch_us(seen) - epoch_us(ts)) <= 21600000000)
     SELECT p.event_id, n.view FROM p LEFT JOIN (SELECT * FROM n WHERE k = 1) n USING (event_id)""")
 def cogrouped_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """For each purchase the user's nearest view within six hours, before or after. A call gets a user's purchases of one week,
-    and the views of that week and of six hours on either side."""
+    """For each purchase the user's nearest view within six hours, before or after. A call gets the purchases of a block of
+    users in one week, and the views of that week and of six hours on either side; it sorts them by user and time."""
     reach, week = 6 * 3600 * 1_000_000, 7 * 86400 * 1_000_000
-    events = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
-    bucket = lambda t: F.floor(t / week)
-    purchases = events.where("event_type = 'purchase'").select("event_id", "user_id", "t", bucket(F.col("t")).alias("bucket"))
+    events = table(spark, d, "events").select("event_id", "user_id", "event_type", "ts", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    block, bucket = blocks(events).alias("block"), lambda t: F.floor(t / week)
+    purchases = events.where("event_type = 'purchase'").select("event_id", "user_id", "t", block, bucket(F.col("t")).alias("bucket"))
+    known = F.col("user_id").isNotNull() & F.col("t").isNotNull()  # the others are near nothing
     reached = F.array_distinct(F.array(bucket(F.col("t") - reach), bucket(F.col("t") + reach)))
-    views = events.where("event_type = 'view'").select("event_id", "user_id", "t", F.explode(reached).alias("bucket"))
+    views = events.where("event_type = 'view'").where(known).select("event_id", "user_id", "t", block, F.explode(reached).alias("bucket"))
 
     def nearest(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"event_id": a["event_id"], "view": pd.array([pd.NA] * len(a), "Int64")})
-        b = b.sort_values(["t", "event_id"])
-        seen, t = b["t"].to_numpy(), a["t"].to_numpy()
-        after = np.searchsorted(seen, t)  # the first view at or after; before it, the first of those at the same instant
-        before = np.searchsorted(seen, seen[np.maximum(after - 1, 0)])
-        far = np.iinfo(np.int64).max
-        to_after = np.where(after < len(seen), np.abs(seen[np.minimum(after, len(seen) - 1)] - t), far)
-        to_before = np.where(after > 0, np.abs(t - seen[before]), far)
-        best = np.where(to_before <= to_after, before, np.minimum(after, len(seen) - 1))
-        view = pd.Series(b["event_id"].to_numpy()[best], index=a.index).astype("Int64")
+        b = b.sort_values(["user_id", "t", "event_id"], ignore_index=True)
+        # the row of b at or after each one of a, in order of user and time, and where the views of its instant begin
+        both = pd.concat([a[["user_id", "t"]].assign(side=0), b[["user_id", "t"]].assign(side=1)], ignore_index=True).sort_values(["user_id", "t", "side"])
+        after = np.empty(len(both), np.int64)
+        after[both.index] = both["side"].cumsum().to_numpy()
+        after = after[: len(a)]
+        seen, t, of = b["t"].to_numpy(), a["t"].to_numpy(), b["user_id"].to_numpy()
+        starts = np.append(True, (of[1:] != of[:-1]) | (seen[1:] != seen[:-1]))
+        instant = np.maximum.accumulate(np.where(starts, np.arange(len(b)), 0))
+        before, after_ = instant[np.maximum(after - 1, 0)], np.minimum(after, len(b) - 1)
+        user, far = a["user_id"].to_numpy(), np.iinfo(np.int64).max
+        to_after = np.where((after < len(b)) & (of[after_] == user), np.abs(seen[after_] - t), far)
+        to_before = np.where((after > 0) & (of[before] == user), np.abs(t - seen[before]), far)
+        view = pd.Series(b["event_id"].to_numpy()[np.where(to_before <= to_after, before, after_)], index=a.index).astype("Int64")
         return pd.DataFrame({"event_id": a["event_id"], "view": view.mask(np.minimum(to_before, to_after) > reach)})
 
-    both = purchases.groupBy("user_id", "bucket").cogroup(views.groupBy("user_id", "bucket"))
-    return both.applyInPandas(nearest, "event_id long, view long")
+    both = purchases.where(known).groupBy("block", "bucket").cogroup(views.groupBy("block", "bucket"))
+    return both.applyInPandas(nearest, "event_id long, view long").union(purchases.where(~known).select("event_id", F.lit(None).cast("long").alias("view")))
 
 
 @query("""
