@@ -45,14 +45,17 @@ def blocks(events: DataFrame) -> Column:
 @query("""
     SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 9) AS anomaly FROM events""")
 def grouped_map(spark: SparkSession, d: str) -> DataFrame:
-    """Anomalies from each user's mean. The mean comes from an aggregate, and a user's events of one week are what a call gets."""
+    """Anomalies from each user's mean. The mean comes from an aggregate, and a call gets the events of a block of users in one week."""
 
     def anomalies(g: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"event_id": g["event_id"], "anomaly": g["value"] - g["mean"]})
 
     events = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
-    events = events.join(events.groupBy("user_id").agg(F.avg("value").alias("mean")), "user_id")
-    out = events.groupBy("user_id", F.date_trunc("week", "ts").alias("week")).applyInPandas(anomalies, "event_id long, anomaly double")
+    block = blocks(events)
+    # a null user is one, too
+    means = events.groupBy("user_id").agg(F.avg("value").alias("mean")).withColumnRenamed("user_id", "of")
+    events = events.join(means, F.col("user_id").eqNullSafe(F.col("of"))).drop("of")
+    out = events.groupBy(block.alias("block"), F.date_trunc("week", "ts").alias("week")).applyInPandas(anomalies, "event_id long, anomaly double")
     return out.select("event_id", F.round("anomaly", 9).alias("anomaly"))
 
 

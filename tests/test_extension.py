@@ -43,6 +43,15 @@ def test_nearest_views_of_many_users_in_a_call(spark, folder, rows_of_a_call):
     assert sorted(map(tuple, extension.cogrouped_nearest(spark, path).collect())) == want
 
 
+def test_anomalies_of_many_users_in_a_call(spark, folder, rows_of_a_call):
+    path, rows = folder
+    values = {}
+    for _, u, _, _, v in rows:
+        values.setdefault(u, []).append(v)
+    got = {r.event_id: r.anomaly for r in extension.grouped_map(spark, path).collect()}
+    assert got == {e: pytest.approx(v - sum(values[u]) / len(values[u]), abs=2e-9) for e, u, _, _, v in rows}
+
+
 @pytest.mark.parametrize("rows, most", [(20_000, 1), (1_000, 8)])
 def test_calls_follow_the_rows_and_not_the_users(spark, folder, monkeypatch, rows, most):
     monkeypatch.setattr(extension, "ROWS", rows)
