@@ -119,17 +119,19 @@ def within_reach(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(low.where("low is not null"), by).where("top >= low").drop("low")
 
 
-def open_lists(rows: DataFrame, by: list[str], scratch: Scratch, hub: Column) -> DataFrame:
+def open_lists(rows: DataFrame, by: list[str], scratch: Scratch, hub: Column, smaller: Column | None = None) -> DataFrame:
     """The rows (id, n, top, component, side, sides) of the lists, named by `by`, that hold several components: each row
     once, with its list's most frequent component, the number `few` of its rows of other components, and the row that is
     largest by `hub`.
 
-    Rows of one component have nothing left to find out about each other. Lists are counted before they are shuffled,
-    and rows meet their list's counts in a join that Spark can split.
+    Rows of one component have nothing left to find out about each other. Where `smaller` says which rows may be the smaller
+    set of a pair, lists without such a row have no pair and go, too: of copies, alike in size, those of all bands but
+    one. Lists are counted before they are shuffled, and rows meet their list's counts in a join that Spark can split.
     """
-    own = rows.groupBy(*by, "component").agg(F.count("*").alias("c"), F.max(F.struct(hub.alias("by"), "id")).alias("_hub"))
-    own = own.groupBy(*by).agg(F.count("*").alias("_n"), F.max(F.struct("c", "component"))["component"].alias("most"), (F.sum("c") - F.max("c")).alias("few"), F.max("_hub")["id"].alias("hub"))
-    return scratch.table(rows.select(*by, "id", "n", "top", "component", "side", "sides").join(own.where("_n > 1").drop("_n"), by), "members")
+    any_ = F.lit(True) if smaller is None else smaller
+    own = rows.groupBy(*by, "component").agg(F.count("*").alias("c"), F.max(any_).alias("_any"), F.max(F.struct(hub.alias("by"), "id")).alias("_hub"))
+    own = own.groupBy(*by).agg(F.count("*").alias("_n"), F.max(F.struct("c", "component"))["component"].alias("most"), (F.sum("c") - F.max("c")).alias("few"), F.max("_hub")["id"].alias("hub"), F.max("_any").alias("_any"))
+    return scratch.table(rows.select(*by, "id", "n", "top", "component", "side", "sides").join(own.where("_n > 1 and _any").drop("_n", "_any"), by), "members")
 
 
 def stars(members: DataFrame, few: int) -> DataFrame:
@@ -176,7 +178,7 @@ def needed(rest: DataFrame, scratch: Scratch) -> DataFrame:
     ranked = values.join(lists.where("_lo < _hi").select("of", "v", "c"), ["of", "v"]).withColumns({"_r": F.row_number().over(own.orderBy("c", "v")), "_n": F.count("*").over(own)})
     share = lambda x: F.greatest(F.lit(1), F.ceil(F.col("excess") + x["side"] * F.col("step") - 1e-6))
     fit = lambda x: ((x["lo"] != F.col("component")) | (x["hi"] != F.col("component"))) & (F.col("_r") <= F.col("_n") - share(x) + 1)
-    out = ranked.join(classes, "of").select("of", "v", "id", "n", "top", "hot", "side", F.explode(F.filter("_classes", fit)["side"]).alias("_o"))
+    out = ranked.join(classes, "of").select("of", "v", "id", "n", "top", "hot", "component", "side", F.explode(F.filter("_classes", fit)["side"]).alias("_o"))
     sides = {"low": F.least("side", "_o"), "sides": F.col("side") + F.col("_o")}
     return scratch.table(out.withColumns(sides).drop("_o"), "needed")
 
@@ -244,7 +246,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
     sets = Sets(docs, classes, scratch)
     alone = {"side": F.lit(0), "sides": F.lit(0)}
     rows = in_bands(listed(classes, scratch)).withColumns({"component": F.col("id"), "top": F.lit(1 << 62), **alone})
-    first = open_lists(scratch.table(rows, "rows"), ["v", "band"], scratch, F.struct(-F.col("size"), "hot", -F.col("n"), -F.col("id")))
+    first = open_lists(scratch.table(rows, "rows"), ["v", "band"], scratch, F.struct(-F.col("size"), "hot", -F.col("n"), -F.col("id")), F.col("size") == F.col("band"))
     near = stars(first, SMALL).union(all_pairs(first, ["v", "band"], SMALL)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     compared = sets.likely(near.distinct())
     done = sets.confirmed(compared.withColumn("star", F.lit(False)), sets.texts(compared.select("a").union(compared.select("b"))))
@@ -252,15 +254,16 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
     now = lambda rows: rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     hub = F.struct("hot", -F.col("n"), -F.col("id"))
     left = first.where(F.col("few") > SMALL).select("v", "band", "id", "n", "top", "side", "sides").withColumn("hot", F.lit(0))
-    members = open_lists(now(left), ["v", "band"], scratch, hub)
+    members = open_lists(scratch.table(now(left), "left"), ["v", "band"], scratch, hub)
     if members.isEmpty():
         return joined
     texts = sets.texts(members.select("id"))  # those of the rounds, too
     tops = sets.tops(texts)
     by = ["v", "band"]
-    rows = within_reach(in_bands(members.select("v", "id").distinct().join(tops, "id"), FINE), by).withColumns(alone)
+    # rows have the component of when they were made, after which none changes before they are looked at
+    rows = scratch.table(within_reach(in_bands(members.select("v", "id").distinct().join(now(tops), "id"), FINE), by).withColumns(alone), "rows")
     for few in [SMALL, *[MORE] * (ROUNDS - 1), 1 << 62]:
-        members = open_lists(now(rows), by, scratch, hub)
+        members = open_lists(rows, by, scratch, hub)
         if members.isEmpty():
             break
         short = sets.likely(all_pairs(members, by, few).join(compared, ["a", "b"], "left_anti"))

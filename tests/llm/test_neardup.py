@@ -6,6 +6,7 @@ import re
 import pytest
 from helpers import SMALL
 from odd import no_documents, odd_documents
+from pyspark.sql import functions as F
 
 from tellurix.llm import neardup
 
@@ -140,3 +141,11 @@ def test_random_mixtures_of_passages(spark, seed):
     texts += [[*r.choice(passages), *(f"o{r.random()}" for _ in range(r.randint(1, 60)))] for _ in range(60)]
     r.shuffle(texts)
     check(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+
+
+def test_copies_are_in_lists_of_one_band_alone(spark):
+    """Of sets alike in size, lists of lower bands hold no smaller set, so they are not looked at again."""
+    sets = spark.createDataFrame([(i, 100 + i % 2, v) for i in range(12) for v in range(5)] + [(50, 140, 0)], "id long, n long, v long")
+    rows = neardup.in_bands(sets).withColumns({"component": F.col("id"), "top": F.lit(1 << 62), "side": F.lit(0), "sides": F.lit(0)})
+    found = neardup.open_lists(rows, ["v", "band"], neardup.Scratch(spark, "test"), F.col("n"), F.col("size") == F.col("band"))
+    assert found.where("id < 50").count() == 60 and {r.v for r in found.where("id = 50").collect()} == {0}
