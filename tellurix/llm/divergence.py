@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tellurix.llm.common import Scratch, record_batch
+from tellurix.llm.common import Scratch
 
 #: A term, in UTF-8 after A-Z became a-z: a run of ASCII letters and of all characters beyond ASCII.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
@@ -29,31 +29,30 @@ HELD = 200_000
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Occurrences and documents of each term by group, summed over a task's documents as far as HELD allows."""
-    found, held = defaultdict(dict), 0
+    found, held = defaultdict(lambda: (Counter(), Counter())), 0
 
-    def rows() -> pa.RecordBatch:
-        flat = [(*group, t, *x) for group, terms in found.items() for t, x in terms.items()]
-        lang, source, term, n, docs = zip(*flat, strict=True)
-        types = {"lang": (lang, pa.string()), "source": (source, pa.string()), "n": (n, pa.int64()), "docs": (docs, pa.int64())}
-        out = {k: (list(v), t) for k, (v, t) in types.items()}
-        return record_batch({"term": (pa.array(term, pa.binary()).cast(pa.string()), pa.string())} | out).select(["lang", "source", "term", "n", "docs"])
+    def rows() -> Iterator[pa.RecordBatch]:
+        parts = []
+        for group, (n, docs) in found.items():
+            own = [pa.array(list(n), pa.binary()).cast(pa.string()), pa.array(list(n.values()), pa.int64()), pa.array(list(map(docs.__getitem__, n)), pa.int64())]
+            names = [pa.repeat(pa.scalar(x, pa.string()), len(n)) for x in group]
+            parts.append(pa.RecordBatch.from_arrays([*names, *own], names=["lang", "source", "term", "n", "docs"]))
+        return iter(pa.Table.from_batches(parts).combine_chunks().to_batches() if parts else [])
 
     for b in batches:
-        for lang, source, text in zip(*(b.column(c) for c in ("lang", "source", "text")), strict=True):
-            terms = found[lang.as_py(), source.as_py()]
-            held -= len(terms)
-            for t, n in Counter(map(re.Match.group, TERM.finditer(text.as_py().encode().lower()))).items():
-                if t in terms:
-                    terms[t][0] += n
-                    terms[t][1] += 1
-                else:
-                    terms[t] = [n, 1]
-            held += len(terms)
+        texts = b.column("text").cast(pa.binary())
+        for lang, source, text in zip(b.column("lang"), b.column("source"), texts, strict=True):
+            n, docs = found[lang.as_py(), source.as_py()]
+            held -= len(n)
+            terms = TERM.findall(text.as_py().lower())
+            n.update(terms)
+            docs.update(set(terms))
+            held += len(n)
             if held > HELD:
-                yield rows()
-                found, held = defaultdict(dict), 0
-    if held:
-        yield rows()
+                yield from rows()
+                found.clear()
+                held = 0
+    yield from rows()
 
 
 def div(a: Column, b: Column) -> Column:
@@ -85,7 +84,8 @@ def audit(docs: DataFrame, spark: SparkSession) -> DataFrame:
     scratch = Scratch(spark, "divergence")
     docs = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     groups = scratch.table(docs.select("lang", "source").distinct(), "groups")
-    counts = docs.mapInArrow(counted, "lang string, source string, term string, n long, docs long")
+    # dealt out once for the sums by source and the windows over a term's sources; tasks have added up what is theirs
+    counts = docs.mapInArrow(counted, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
     counts = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     of_term = Window.partitionBy("lang", "term")
     kept = counts.select("lang", "source", "term", "n", F.sum("docs").over(of_term).alias("docs"), F.sum("n").over(of_term).alias("total"), F.row_number().over(of_term.orderBy("source")).alias("nth"))

@@ -68,3 +68,19 @@ def test_a_task_passes_its_counts_on_when_it_holds_many(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(["l"] * 4), pa.array(["s"] * 4), text], names=["lang", "source", "text"])
     out = [tuple(r.values()) for b in divergence.counted(iter([batch])) for r in b.to_pylist()]
     assert sum(n for *_, n, _ in out) == 12 and len(list(divergence.counted(iter([batch])))) > 1 and ("l", "s", "a", 2, 1) in out
+
+
+def test_terms_are_dealt_out_once_before_they_are_kept(spark, monkeypatch):
+    """The sums of a term by source and over its sources come from one shuffle of what the tasks have counted."""
+    plans = []
+    table = divergence.Scratch.table
+
+    def planned(self, df, name):
+        if name == "kept":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, name)
+
+    monkeypatch.setattr(divergence.Scratch, "table", planned)
+    docs = spark.createDataFrame([("x", "en", "aa bb aa"), ("y", "en", "aa cc"), ("x", "en", "aa")], "source string, lang string, text string")
+    assert divergence.audit(docs, spark).where("part = 'pair'").count() == 2
+    assert plans[0].count("Exchange") == plans[0].count("Exchange hashpartitioning(lang") == 1
