@@ -24,6 +24,9 @@ KEPT, SLACK = 64, 5
 SMALL, MORE = 8, 300
 #: Rows of a list that are put side by side in one.
 BLOCK = 512
+#: Members whose majority a star's differences are taken from, and up to how many values of the members beside a star's
+#: most frequent component the others are asked for.
+SAMPLE, ASKED = 15, 2048
 #: Rounds in which lists have hubs; after them, all lists give all their pairs.
 ROUNDS = 4
 #: Size classes between the sizes of two sets that may just link, for the first lists and for those left after them;
@@ -80,23 +83,40 @@ def likely(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def confirmed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Whether the whole sets of a and b are similar enough; of a star, also the values that only one of its hub a and b
-    has, and b's excess. A hub's set is kept from row to row."""
+    """Whether the whole sets of a and b are similar enough. A set a is kept from row to row."""
 
     @lru_cache(8)
     def of(z: bytes) -> np.ndarray:
         return shingles(zstandard.ZstdDecompressor().decompress(z).decode())
 
-    linked, step, excess, rest = [], [], [], []
-    for za, zb, star in zip(batch.column("za").to_pylist(), batch.column("zb").to_pylist(), batch.column("star").to_pylist(), strict=True):
+    linked = []
+    for za, zb in zip(batch.column("za").to_pylist(), batch.column("zb").to_pylist(), strict=True):
         a, b = of(za), of(zb)
         both = len(np.intersect1d(a, b, assume_unique=True))
         linked.append(100 * both >= PERCENT * (len(a) + len(b) - both))
-        step.append(len(a) / STEPS)
-        excess.append(len(b) * PERCENT / (100 + PERCENT) + len(a) / 2 - both)
+    return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+
+def compared(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Whether a and b, of different components, are similar enough by their sizes and the values that they share with
+    other components; of a star, also the step of its classes and the values that only one of its hub a and b has."""
+    linked, step, rest = [], [], []
+    for a, b, na, nb, star in zip(rows_of(batch, "va"), rows_of(batch, "vb"), *(batch.column(c).to_pylist() for c in ("na", "nb", "star")), strict=True):
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        linked.append(100 * both >= PERCENT * (na + nb - both))
+        step.append(na / STEPS if star else None)
         rest.append(np.setxor1d(a, b, assume_unique=True) if star else b[:0])
-    own = [pa.array(linked, pa.bool_()), pa.array(step, pa.float64()), pa.array(excess, pa.float64()), long_lists(rest)]
-    return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *own], names=["a", "b", "linked", "step", "excess", "rest"])
+    own = [pa.array(linked, pa.bool_()), pa.array(step, pa.float64()), long_lists(rest)]
+    return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *own], names=["a", "b", "linked", "step", "rest"])
+
+
+def majority(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The values that more than half of a star's sampled members differ from its hub by."""
+    flips = []
+    for some in batch.column("some").to_pylist():
+        v, n = np.unique(np.array([x for one in some for x in one], np.int64), return_counts=True)
+        flips.append(v[2 * n > len(some)])
+    return pa.RecordBatch.from_arrays([batch.column("of"), long_lists(flips)], names=["of", "flips"])
 
 
 def opened(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -154,17 +174,54 @@ def all_pairs(members: DataFrame, by: list[str], few: int) -> DataFrame:
     return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
 
 
+def differences(done: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of stars the rows of, id, step, rest, e: what members differ from their star's centre by, in place of its hub.
+
+    The centre is the hub, but for the values that more than half of some members differ from it by. So a hub that has much
+    of its own, which all members lack, does not bring that into each one's list. Any set will do as a centre (see `needed`),
+    so the sample does not decide which links are found. e is the excess in 2 * (100 + PERCENT) parts.
+    """
+    stars_ = scratch.table(done.where("step is not null").select(F.col("a").alias("of"), F.col("b").alias("id"), "step", "rest"), "stars")
+    some = stars_.select("of", "id").withColumn("_r", F.row_number().over(Window.partitionBy("of").orderBy(F.xxhash64("id")))).where(F.col("_r") <= SAMPLE).drop("_r")
+    some = some.join(stars_.select("of", "id", "rest"), ["of", "id"]).groupBy("of").agg(F.collect_list("rest").alias("some"))
+    flips = scratch.table(per_batch(some, majority, "of long, flips array<long>"), "flips")
+    rest = F.concat(F.array_except("rest", "flips"), F.array_except("flips", "rest"))
+    e = 2 * PERCENT * F.col("n") + (100 + PERCENT) * (F.size("rest") - F.col("held"))
+    out = stars_.join(flips, "of").withColumn("rest", rest).join(held.select("id", "n", F.size("v").alias("held")), "id")
+    return scratch.table(out.select("of", "id", "step", "rest", e.cast("long").alias("e")), "differences")
+
+
+def certain(rest: DataFrame) -> DataFrame:
+    """The links (a, b) of each star's member with the least excess and those whose excess makes a sum of 0 or less with it."""
+    least = rest.groupBy("of").agg(F.min(F.struct("e", "id")).alias("_least"))
+    return rest.join(least, "of").where("e + _least.e <= 0 and id != _least.id").select(F.col("_least.id").alias("a"), F.col("id").alias("b"))
+
+
+def asked(rest: DataFrame, scratch: Scratch) -> DataFrame:
+    """`rest` of the stars with several components, without values that can be in one component alone: those of the most
+    frequent one that no other member has, unless the others have more than ASKED in all."""
+    own = rest.groupBy("of", "component").agg(F.count("*").alias("c"), F.sum(F.size("rest")).alias("s"))
+    own = own.groupBy("of").agg(F.count("*").alias("_n"), F.max(F.struct("c", "component", "s")).alias("_most"), F.sum("s").alias("_s"))
+    open_ = scratch.table(own.where("_n > 1").select("of", F.col("_most.component").alias("most"), (F.col("_s") - F.col("_most.s")).alias("others")), "open")
+    all_ = rest.join(open_, "of")
+    wanted = all_.where((F.col("component") != F.col("most")) & (F.col("others") <= ASKED)).groupBy("of").agg(F.array_distinct(F.flatten(F.collect_list("rest"))).alias("wanted"))
+    all_ = all_.join(wanted, "of", "left")
+    fewer = F.when((F.col("component") == F.col("most")) & F.col("wanted").isNotNull(), F.array_intersect("rest", "wanted")).otherwise(F.col("rest"))
+    return scratch.table(all_.withColumn("rest", fewer).where("size(rest) > 0").drop("most", "others", "wanted"), "rest")
+
+
 def needed(rest: DataFrame, scratch: Scratch) -> DataFrame:
-    """Lists, by hub (of), value and two classes of excess, of what members of stars differ from their hub by. `rest` has
+    """Lists, by hub (of), value and two classes of excess, of what members of stars differ from a centre by. `rest` has
     of, id, n, top, hot, component, step, excess and rest.
 
-    Take a hub p and two members b and c. What b and c have in common is the size of p, less what each one lacks of p,
+    Take a set p and two members b and c. What b and c have in common is the size of p, less what each one lacks of p,
     plus what both lack of it and what both have besides; that is, plus the number of values in both their differences
     from p. They link if it is at least PERCENT / (100 + PERCENT) of the sum of their sizes. So they link if their
     differences share at least as many values as the sum of their excesses, where the excess of b is that share of b's
-    size, plus half the size of p, less what b and p have in common. If that sum is 0 or less, both are linked with p: what b
-    and p have in common is then at least the share of the sizes of b and c, plus what c lacks of p; and c is as large as
-    p, or lacks the difference, of which the share is a part. So members of different components need a value in common, and
+    size, plus half the size of p, less what b and p have in common: that share of b's size, plus half of what the difference
+    is larger than b. If that sum is 0 or less, they link, and so do both with the member of the least excess (`certain`).
+    All this holds as well if only values are counted that several components share, as what members of different ones have
+    in common is among them. So members of different components need a value in common, and
     more of them, the farther they are from p. Only values with several components count, and as in any
     prefix filter all but that number less one of a member's most common ones can be left out. For this, partners are
     taken by classes of excess, each with its lower bound.
@@ -216,20 +273,31 @@ class Sets:
         wanted = self.scratch.table(ids.toDF("doc_id").distinct(), "wanted")
         return self.scratch.table(per_batch(self.docs.select("doc_id", "text").join(wanted, "doc_id"), packed, "id long, packed binary"), "texts")
 
-    def tops(self, texts: DataFrame) -> DataFrame:
-        """For the whole sets of `texts` id, n, the size (top) beyond which no other one of them links with it, as what they
-        have in common is among the values that two of them hold, and how many hold one of its values on average (hot)."""
+    def held(self, texts: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of the whole sets of `texts` their size and those values (v) that several components hold, among which is what two
+        of different components have in common; and the size (top) beyond which none of another component links with
+        it, for that reason, and how many hold one of its values on average (hot)."""
         sets = self.scratch.table(per_batch(texts, opened, "id long, n long, v array<long>"), "sets")
-        values = sets.select("id", F.explode("v").alias("v"))
-        held = values.join(values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "v").groupBy("id").agg(F.count("*").alias("held"), F.sum("df").alias("df"))
-        top = F.floor(F.col("held") * ((100 + PERCENT) / PERCENT) - F.col("n") + 1e-6)
-        return self.scratch.table(sets.select("id", "n").join(held, "id").select("id", "n", top.alias("top"), (F.col("df") / F.col("n")).alias("hot")).where(F.col("top") >= F.col("n") * (PERCENT / 100)), "tops")
+        values = sets.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"), F.explode("v").alias("v"))
+        several = values.groupBy("v").agg(F.count("*").alias("df"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("v", "df")
+        own = values.select("id", "v").join(several, "v").groupBy("id").agg(F.collect_list("v").alias("v"), F.sum("df").alias("df"))
+        top = F.floor(F.size("v") * ((100 + PERCENT) / PERCENT) - F.col("n") + 1e-6)
+        own = own.join(sets.select("id", "n"), "id").withColumns({"top": top, "hot": F.col("df") / F.col("n")})
+        own = self.scratch.table(own.where(F.col("top") >= F.col("n") * (PERCENT / 100)).drop("df"), "held")
+        return own.select("id", "n", "v"), own.select("id", "n", "top", "hot")
 
     def confirmed(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """`pairs` (a, b, star) with linked and, of stars, the step of the hub's classes, b's excess and its rest."""
+        """`pairs` (a, b) with linked, by their whole texts."""
         of = lambda x: texts.select(F.col("id").alias(x), F.col("packed").alias(f"z{x}"))
         both = pairs.join(of("b"), "b").join(of("a"), "a")
-        return self.scratch.table(per_batch(both, confirmed, "a long, b long, linked boolean, step double, excess double, rest array<long>"), "confirmed")
+        return self.scratch.table(per_batch(both, confirmed, "a long, b long, linked boolean"), "confirmed")
+
+    def compared(self, pairs: DataFrame, held: DataFrame) -> DataFrame:
+        """`pairs` (a, b, star) with linked, by all values that several components hold, and of stars step and rest."""
+        of = lambda x: held.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("v").alias(f"v{x}"))
+        both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "star", "na", "nb", "va", "vb")
+        out = per_batch(both, compared, "a long, b long, linked boolean, step double, rest array<long>")
+        return self.scratch.table(out, "confirmed")
 
 
 def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -238,9 +306,9 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
     First, short lists give all their pairs, and long ones the pairs of their hub, which in a group of copies links
     most of it at once. Long lists that then still hold several components are finished exactly. Of their members, many
     have so many values that no other one holds that they can link with none of their size, and drop out. The others
-    meet their list's hub, a document whose values are the most common. Two of them that are not both linked with
-    it differ from it in common values (see `needed`), so these differences, of whole sets and not of sketches, make new
-    lists, and those with several components go on in the same way. A list in which all but a few rows are of one component,
+    meet their list's hub, a document whose values are the most common. Two of them that link and are not known to be of one
+    component differ from what is common around it in common values (see `needed`), so these differences, of whole sets and
+    not of sketches, make new lists, and those with several components go on in the same way. A list in which all but a few rows are of one component,
     and after some rounds any list, gives the pairs of these few. Both decide only which way links are found.
     """
     sets = Sets(docs, classes, scratch)
@@ -249,7 +317,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
     first = open_lists(scratch.table(rows, "rows"), ["v", "band"], scratch, F.struct(-F.col("size"), "hot", -F.col("n"), -F.col("id")), F.col("size") == F.col("band"))
     near = stars(first, SMALL).union(all_pairs(first, ["v", "band"], SMALL)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     compared = sets.likely(near.distinct())
-    done = sets.confirmed(compared.withColumn("star", F.lit(False)), sets.texts(compared.select("a").union(compared.select("b"))))
+    done = sets.confirmed(compared, sets.texts(compared.select("a").union(compared.select("b"))))
     joined = scratch.table(components(done.where("linked").select("a", "b"), scratch), "components")
     now = lambda rows: rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     hub = F.struct("hot", -F.col("n"), -F.col("id"))
@@ -257,8 +325,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
     members = open_lists(scratch.table(now(left), "left"), ["v", "band"], scratch, hub)
     if members.isEmpty():
         return joined
-    texts = sets.texts(members.select("id"))  # those of the rounds, too
-    tops = sets.tops(texts)
+    held, tops = sets.held(sets.texts(members.select("id")), joined)  # those of the rounds, too
     by = ["v", "band"]
     # rows have the component of when they were made, after which none changes before they are looked at
     rows = scratch.table(within_reach(in_bands(members.select("v", "id").distinct().join(now(tops), "id"), FINE), by).withColumns(alone), "rows")
@@ -268,14 +335,15 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
             break
         short = sets.likely(all_pairs(members, by, few).join(compared, ["a", "b"], "left_anti"))
         compared = compared.union(short)
-        done = sets.confirmed(stars(members, few).withColumn("star", F.lit(True)).union(short.withColumn("star", F.lit(False))), texts)
-        fresh = done.where("linked").select("a", "b")
+        done = sets.compared(stars(members, few).withColumn("star", F.lit(True)).union(short.withColumn("star", F.lit(False))), held)
+        rest = differences(done, held, scratch)
+        links = done.where("linked").select("a", "b").union(certain(rest)).withColumnRenamed("a", "id")
+        links = scratch.table(now(links).withColumnsRenamed({"component": "ca", "id": "a", "b": "id"}), "links")
+        fresh = now(links).where("ca != component").select("a", F.col("id").alias("b"))
         if not fresh.isEmpty():
             joined = scratch.table(components(fresh.union(joined), scratch), "components")
-        rest = done.where("size(rest) > 0").select(F.col("a").alias("of"), F.col("b").alias("id"), "step", "excess", "rest")
-        rest = scratch.table(now(rest.join(tops, "id")), "rest")
-        open_ = rest.groupBy("of").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("of")
-        rows, by = needed(rest.join(open_, "of"), scratch), ["of", "v", "low", "sides"]
+        excess = F.col("e") / (2 * (100 + PERCENT))
+        rows, by = needed(asked(now(rest.join(tops, "id")).withColumn("excess", excess).drop("e"), scratch), scratch), ["of", "v", "low", "sides"]
     return joined
 
 

@@ -149,3 +149,23 @@ def test_copies_are_in_lists_of_one_band_alone(spark):
     rows = neardup.in_bands(sets).withColumns({"component": F.col("id"), "top": F.lit(1 << 62), "side": F.lit(0), "sides": F.lit(0)})
     found = neardup.open_lists(rows, ["v", "band"], neardup.Scratch(spark, "test"), F.col("n"), F.col("size") == F.col("band"))
     assert found.where("id < 50").count() == 60 and {r.v for r in found.where("id = 50").collect()} == {0}
+
+
+def test_what_a_hub_has_of_its_own_is_in_no_list(spark, monkeypatch):
+    """Groups of copies around one passage: what a group, or the hub of all, has besides leads to no other group."""
+    r, values, put = random.Random(3), [], neardup.Scratch.table
+
+    def table(self, df, name):
+        out = put(self, df, name)
+        if name == "rest":
+            values.append(out.selectExpr("coalesce(sum(size(rest)), 0) n").first().n)
+        return out
+
+    monkeypatch.setattr(neardup.Scratch, "table", table)
+    passage, texts = [f"p{i}" for i in range(90)], []
+    for k in range(60):
+        core = [*edited(r, passage, k % 3), *(f"o{k}.{i}" for i in range(r.randint(10, 30)))]
+        texts += [core, *(edited(r, core, 1) for _ in range(2))]
+    r.shuffle(texts)
+    check(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
+    assert values and sum(values) < 15 * len(texts)
