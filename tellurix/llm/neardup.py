@@ -140,18 +140,24 @@ def within_reach(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def open_lists(rows: DataFrame, by: list[str], scratch: Scratch, hub: Column, smaller: Column | None = None) -> DataFrame:
-    """The rows (id, n, top, component, side, sides) of the lists, named by `by`, that hold several components: each row
+    """The rows (id, n, top, component, excess, reach) of the lists, named by `by`, that hold several components: each row
     once, with its list's most frequent component, the number `few` of its rows of other components, and the row that is
     largest by `hub`.
 
     Rows of one component have nothing left to find out about each other. Where `smaller` says which rows may be the smaller
     set of a pair, lists without such a row have no pair and go, too: of copies, alike in size, those of all bands but
-    one. Lists are counted before they are shuffled, and rows meet their list's counts in a join that Spark can split.
+    one. So do rows that nothing in their list is near enough to by excess and reach (see `needed`; where rows have neither,
+    all are). Lists are counted before they are shuffled, and rows meet their list's counts in a join that Spark can split.
     """
+    rows = rows if "reach" in rows.columns else rows.withColumns({"excess": F.lit(0.0), "reach": F.lit(0.0)})
     any_ = F.lit(True) if smaller is None else smaller
-    own = rows.groupBy(*by, "component").agg(F.count("*").alias("c"), F.max(any_).alias("_any"), F.max(F.struct(hub.alias("by"), "id")).alias("_hub"))
-    own = own.groupBy(*by).agg(F.count("*").alias("_n"), F.max(F.struct("c", "component"))["component"].alias("most"), (F.sum("c") - F.max("c")).alias("few"), F.max("_hub")["id"].alias("hub"), F.max("_any").alias("_any"))
-    return scratch.table(rows.select(*by, "id", "n", "top", "component", "side", "sides").join(own.where("_n > 1 and _any").drop("_n", "_any"), by), "members")
+    bounds = [F.min("excess").alias("_least"), F.max(F.col("reach") - F.col("excess")).alias("_most")]
+    own = rows.groupBy(*by, "component").agg(F.count("*").alias("c"), F.max(any_).alias("_any"), F.max(F.struct(hub.alias("by"), "id")).alias("_hub"), *bounds)
+    most = F.max(F.struct("c", "component"))["component"].alias("most")
+    bounds = [F.min("_least").alias("_least"), F.max("_most").alias("_most")]
+    own = own.groupBy(*by).agg(F.count("*").alias("_n"), most, (F.sum("c") - F.max("c")).alias("few"), F.max("_hub")["id"].alias("hub"), F.max("_any").alias("_any"), *bounds)
+    members = rows.select(*by, "id", "n", "top", "component", "excess", "reach").join(own.where("_n > 1 and _any").drop("_n", "_any"), by)
+    return scratch.table(members.where("excess <= _most and _least <= reach - excess").drop("_least", "_most"), "members")
 
 
 def stars(members: DataFrame, few: int) -> DataFrame:
@@ -162,12 +168,12 @@ def stars(members: DataFrame, few: int) -> DataFrame:
 
 def all_pairs(members: DataFrame, by: list[str], few: int) -> DataFrame:
     """Pairs (a, b), a below b, of different components in each list with up to `few` rows beside its most frequent
-    component: those rows with all whose side and their own make up the list's sides, if their sizes may link. Those rows are
-    dealt out in blocks, each of which meets all rows, so a row holds about BLOCK of them at most, however long the list."""
+    component: those rows with all whose excess and their own make up no more than the reach of either, if their sizes may
+    link. Those rows are dealt out in blocks, each of which meets all rows, so a row holds about BLOCK of them at most, however long the list."""
     short, blocks = members.where(F.col("few") <= few), F.ceil(F.col("few") / BLOCK)
-    others = short.where("component != most").groupBy(*by, F.pmod(F.xxhash64("id"), blocks).alias("_block")).agg(F.collect_set(F.struct("id", "component", "n", "top", "side")).alias("others"))
+    others = short.where("component != most").groupBy(*by, F.pmod(F.xxhash64("id"), blocks).alias("_block")).agg(F.collect_set(F.struct("id", "component", "n", "top", "excess", "reach")).alias("others"))
     fit = lambda o: (
-        (o["component"] != F.col("component")) & (F.col("n") <= o["top"]) & (o["n"] <= F.col("top")) & (o["side"] + F.col("side") == F.col("sides"))
+        (o["component"] != F.col("component")) & (F.col("n") <= o["top"]) & (o["n"] <= F.col("top")) & (o["excess"] + F.col("excess") <= F.least("reach", o["reach"]))
         & (100 * F.least("n", o["n"]) >= PERCENT * F.greatest("n", o["n"]))
     )
     pairs = short.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).join(others, [*by, "_block"]).select("id", F.explode(F.filter("others", fit)["id"]).alias("o"))
@@ -211,8 +217,8 @@ def asked(rest: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def needed(rest: DataFrame, scratch: Scratch) -> DataFrame:
-    """Lists, by hub (of), value and two classes of excess, of what members of stars differ from a centre by. `rest` has
-    of, id, n, top, hot, component, step, excess and rest.
+    """Lists, by hub (of) and value, of what members of stars differ from a centre by. `rest` has of, id, n, top, hot,
+    component, step, excess and rest.
 
     Take a set p and two members b and c. What b and c have in common is the size of p, less what each one lacks of p,
     plus what both lack of it and what both have besides; that is, plus the number of values in both their differences
@@ -223,21 +229,21 @@ def needed(rest: DataFrame, scratch: Scratch) -> DataFrame:
     All this holds as well if only values are counted that several components share, as what members of different ones have
     in common is among them. So members of different components need a value in common, and
     more of them, the farther they are from p. Only values with several components count, and as in any
-    prefix filter all but that number less one of a member's most common ones can be left out. For this, partners are
-    taken by classes of excess, each with its lower bound.
+    prefix filter all but that number less one of a member's most common ones can be left out. How many values a member
+    has from one on is that one's reach, so two rows of a list are a pair if the sum of their excesses is not above
+    the reach of either. A row is listed once, whichever its partners, and only if some class of excess has one for it: of another
+    component, and with so many values that the sum can be met.
     """
-    rest = rest.withColumn("side", F.least(F.floor(F.col("excess") / F.col("step")), F.lit(FARTHEST)))
-    classes = rest.groupBy("of", "side").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    classes = classes.groupBy("of").agg(F.collect_list(F.struct("side", "lo", "hi")).alias("_classes"))
     values = rest.withColumn("v", F.explode("rest")).drop("rest")
     lists = values.groupBy("of", "v").agg(F.count("*").alias("c"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
     own = Window.partitionBy("of", "id")
-    ranked = values.join(lists.where("_lo < _hi").select("of", "v", "c"), ["of", "v"]).withColumns({"_r": F.row_number().over(own.orderBy("c", "v")), "_n": F.count("*").over(own)})
-    share = lambda x: F.greatest(F.lit(1), F.ceil(F.col("excess") + x["side"] * F.col("step") - 1e-6))
-    fit = lambda x: ((x["lo"] != F.col("component")) | (x["hi"] != F.col("component"))) & (F.col("_r") <= F.col("_n") - share(x) + 1)
-    out = ranked.join(classes, "of").select("of", "v", "id", "n", "top", "hot", "component", "side", F.explode(F.filter("_classes", fit)["side"]).alias("_o"))
-    sides = {"low": F.least("side", "_o"), "sides": F.col("side") + F.col("_o")}
-    return scratch.table(out.withColumns(sides).drop("_o"), "needed")
+    ranked = values.join(lists.where("_lo < _hi").select("of", "v", "c"), ["of", "v"])
+    ranked = ranked.withColumns({"_r": F.row_number().over(own.orderBy("c", "v")), "_n": F.count("*").over(own), "side": F.least(F.floor(F.col("excess") / F.col("step")), F.lit(FARTHEST))})
+    ranked = scratch.table(ranked.withColumn("reach", (F.col("_n") - F.col("_r") + 1).cast("double")).drop("_n", "c"), "ranked")
+    classes = ranked.where("_r = 1").groupBy("of", "side").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("excess").alias("least"), F.max(F.col("reach") - F.col("excess")).alias("most"))
+    classes = classes.groupBy("of").agg(F.collect_list(F.struct("lo", "hi", "least", "most")).alias("_classes"))
+    fit = lambda x: ((x["lo"] != F.col("component")) | (x["hi"] != F.col("component"))) & (F.col("excess") <= x["most"]) & (x["least"] <= F.col("reach") - F.col("excess"))
+    return scratch.table(ranked.join(classes, "of").where(F.exists("_classes", fit)).select("of", "v", "id", "n", "top", "hot", "component", "excess", "reach"), "needed")
 
 
 def listed(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -312,8 +318,7 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
     and after some rounds any list, gives the pairs of these few. Both decide only which way links are found.
     """
     sets = Sets(docs, classes, scratch)
-    alone = {"side": F.lit(0), "sides": F.lit(0)}
-    rows = in_bands(listed(classes, scratch)).withColumns({"component": F.col("id"), "top": F.lit(1 << 62), **alone})
+    rows = in_bands(listed(classes, scratch)).withColumns({"component": F.col("id"), "top": F.lit(1 << 62)})
     first = open_lists(scratch.table(rows, "rows"), ["v", "band"], scratch, F.struct(-F.col("size"), "hot", -F.col("n"), -F.col("id")), F.col("size") == F.col("band"))
     near = stars(first, SMALL).union(all_pairs(first, ["v", "band"], SMALL)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     compared = sets.likely(near.distinct())
@@ -321,14 +326,14 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
     joined = scratch.table(components(done.where("linked").select("a", "b"), scratch), "components")
     now = lambda rows: rows.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     hub = F.struct("hot", -F.col("n"), -F.col("id"))
-    left = first.where(F.col("few") > SMALL).select("v", "band", "id", "n", "top", "side", "sides").withColumn("hot", F.lit(0))
+    left = first.where(F.col("few") > SMALL).select("v", "band", "id", "n", "top").withColumn("hot", F.lit(0))
     members = open_lists(scratch.table(now(left), "left"), ["v", "band"], scratch, hub)
     if members.isEmpty():
         return joined
     held, tops = sets.held(sets.texts(members.select("id")), joined)  # those of the rounds, too
     by = ["v", "band"]
     # rows have the component of when they were made, after which none changes before they are looked at
-    rows = scratch.table(within_reach(in_bands(members.select("v", "id").distinct().join(now(tops), "id"), FINE), by).withColumns(alone), "rows")
+    rows = scratch.table(within_reach(in_bands(members.select("v", "id").distinct().join(now(tops), "id"), FINE), by), "rows")
     for few in [SMALL, *[MORE] * (ROUNDS - 1), 1 << 62]:
         members = open_lists(rows, by, scratch, hub)
         if members.isEmpty():
@@ -342,8 +347,8 @@ def linked_components(docs: DataFrame, classes: DataFrame, scratch: Scratch) ->
         fresh = now(links).where("ca != component").select("a", F.col("id").alias("b"))
         if not fresh.isEmpty():
             joined = scratch.table(components(fresh.union(joined), scratch), "components")
-        excess = F.col("e") / (2 * (100 + PERCENT))
-        rows, by = needed(asked(now(rest.join(tops, "id")).withColumn("excess", excess).drop("e"), scratch), scratch), ["of", "v", "low", "sides"]
+        excess = F.col("e") / (2 * (100 + PERCENT)) - 1e-6
+        rows, by = needed(asked(now(rest.join(tops, "id")).withColumn("excess", excess).drop("e"), scratch), scratch), ["of", "v"]
     return joined
 
 

@@ -169,3 +169,18 @@ def test_what_a_hub_has_of_its_own_is_in_no_list(spark, monkeypatch):
     r.shuffle(texts)
     check(spark, [(i, " ".join(t)) for i, t in enumerate(texts)])
     assert values and sum(values) < 15 * len(texts)
+
+
+def test_members_are_listed_once_for_all_their_partners(spark):
+    """Sets of 146 values around a centre, from most of which 30 or so are gone, in runs of five: most lie too far from the
+    others to link, so their differences make few rows; all pairs that can link are still found."""
+    r, scratch = random.Random(7), neardup.Scratch(spark, "test")
+    gone = [{a + j for a in r.choices(range(142), k=r.randint(1, 12)) for j in range(5)} for _ in range(200)]
+    excess = [146 * 75 / 175 + 73 - (146 - len(g)) for g in gone]
+    rows = [(0, i, 146, 1 << 40, 1.0, i, 146 / 56, e, sorted(g)) for i, (g, e) in enumerate(zip(gone, excess, strict=True))]
+    rest = spark.createDataFrame(rows, "of long, id long, n long, top long, hot double, component long, step double, excess double, rest array<long>")
+    members = neardup.open_lists(neardup.needed(rest, scratch), ["of", "v"], scratch, F.col("hot"))
+    assert members.count() < 15 * len(gone)
+    found = {(p.a, p.b) for p in neardup.all_pairs(members, ["of", "v"], 1 << 40).collect()}
+    want = {(i, j) for j in range(len(gone)) for i in range(j) if len(gone[i] & gone[j]) >= max(1, excess[i] + excess[j] + 1e-5)}
+    assert len(want) > 100 and want <= found
